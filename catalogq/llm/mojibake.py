@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 VIEWS = {"latin": ("cp1252", "latin-1"), "cyrillic": ("cp1251",), "arabic": ("cp1256",), "dos": ("cp437",), "dos2": ("cp850",), "mac": ("mac_roman",), "turkish": ("cp1254",), "central": ("cp1250",), "greek": ("cp1253",), "hebrew": ("cp1255",), "baltic": ("cp1257",), "latin9": ("iso8859_15",), "iso_arabic": ("iso8859_6",), "iso_cyrillic": ("iso8859_5",), "koi8": ("koi8_r",), "dos_cyrillic": ("cp866",), "dos_arabic": ("cp864",)}
 #: Views tried for single-byte Persian read as another single-byte encoding.
 SINGLE_VIEWS = ("latin", "cyrillic", "dos", "dos2", "mac", "greek", "central", "turkish")
+#: Views whose letters are ordinary ones in Persian text.
+ARABIC_VIEWS = ("arabic", "iso_arabic", "dos_arabic")
 #: Passes over a text: so many times over may it have been garbled.
 PASSES = 4
 PERSIAN_BYTES = "cp1256"
@@ -71,6 +73,16 @@ def automaton(view: str) -> re.Pattern:
     return re.compile(f"(?:{'|'.join(forms)})+")
 
 
+@cache
+def opening(view: str) -> re.Pattern:
+    """A lead byte and a continuation byte; texts of a view without this pair need not be scanned further."""
+    by: dict[bool, list[str]] = {True: [], False: []}
+    for c, b in to_byte(view).items():
+        if b < 0xC0 or 0xC2 <= b <= 0xF4:
+            by[b >= 0xC0].append(re.escape(c))
+    return re.compile(f"[{''.join(by[True])}][{''.join(by[False])}]")
+
+
 def decoded(span: str, view: str) -> str:
     table = to_byte(view)
     return bytes(table[c] for c in span).decode("utf-8")
@@ -95,15 +107,17 @@ def _believable(text: str, m: re.Match, plain: str, view: str) -> bool:
 
 _ARABIC = re.compile("[ء-يٮ-ە]")
 #: Characters of the Arabic view that do not follow an Arabic letter in sound text.
-_ODD = re.compile("[ء-ي][€‚ƒ„†‡ˆ‰ŒٹڈڑںھŠ‘’“•–—™›œ\xa0¢£¤¥¦§¨©¬\xad®¯°±²³´µ¶·¸¹¼½¾]|[ -~][أآ][©¨§¢ª¯±³´µ¶®°¼½¾\xad\xa0ھ‚ƒ„†‡ˆ‰]|â€")
+_ODD = re.compile("[ء-ي][\x80-\x9f€‚ƒ„†‡ˆ‰ŒٹڈڑںھŠ‘’“•–—™›œ\xa0¢£¤¥¦§¨©¬\xad®¯°±²³´µ¶·¸¹¼½¾]|[ -~][أآ][©¨§¢ª¯±³´µ¶®°¼½¾\xad\xa0ھ‚ƒ„†‡ˆ‰]|â€")
 _TOKEN = re.compile(r"[^ \t\n\r]+")
 
 
 def _from_utf8(text: str, view: str) -> tuple[int, str, int]:
     """Characters explained by a view, the text with its garbled spans decoded, and their number."""
+    if not opening(view).search(text) or (view in ARABIC_VIEWS and not _ODD.search(text)):
+        return 0, text, 0
     pattern = automaton(view)
     count = used = 0
-    if view in ("arabic", "iso_arabic", "dos_arabic"):  # the letters are ordinary ones here: whole tokens have to fit
+    if view in ARABIC_VIEWS:  # the letters are ordinary ones here: whole tokens have to fit
         tokens = list(_TOKEN.finditer(text))
         fits, odd = [], []
         for t in tokens:
@@ -160,6 +174,8 @@ def _from_persian(text: str, view: str) -> tuple[int, str, int]:
     """As _from_utf8, for Persian in single bytes."""
     pattern, table = _persian_letters(view)
     found = list(pattern.finditer(text))
+    if not found:
+        return 0, text, 0
     odd = [m for m in found if _impossible(m.group(), view)]
     if len(odd) < 2 and not any(len(m.group()) >= 5 for m in odd):
         return 0, text, 0
