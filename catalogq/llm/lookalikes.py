@@ -36,7 +36,8 @@ ZWNJ, ZWJ = "‌", "‍"
 USUAL = r"[\t\n\r -~«»À-ſ،؛؟ء-ؤئ-غفقل-وً-ْپچژکگی‌]"
 BAD_JOINER = r"(?<![\p{L}\p{M}])‌|‌(?![\p{L}\p{M}])"
 
-_TOKEN = regex.compile(r"[\p{L}\p{M}\p{Nd}]*[\p{Greek}\p{Cyrillic}][\p{L}\p{M}\p{Nd}]*")
+_TOKEN = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
+_FOREIGN = regex.compile(r"[\p{Greek}\p{Cyrillic}]")
 _LETTER = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}]")
 _JOINERS = regex.compile(r"‌+")
 _EMOJI_PART = regex.compile(r"(?<=[\p{Extended_Pictographic}\p{Emoji_Modifier}️])[︎️‍](?=\p{Extended_Pictographic})|(?<=\p{Extended_Pictographic})[︎️]")
@@ -98,6 +99,13 @@ def _invisible(c: str) -> bool:
 
 def consistent_form(text: str) -> str:
     """The text in its one form. Letter case, punctuation and the number of spaces are left alone."""
+    once = _normal(text)
+    while once != text:  # a letter that became a digit, say, may leave a joiner without its letter
+        text, once = once, _normal(once)
+    return once
+
+
+def _normal(text: str) -> str:
     kept = _EMOJI_PART.sub(lambda m: chr(0xF0000 + ord(m.group())), text) if regex.search(r"[‍︎️]", text) else text
     out = []
     for c in kept:
@@ -118,8 +126,12 @@ def consistent_form(text: str) -> str:
     s = unicodedata.normalize("NFC", s)
     s = "".join(PERSIAN_LETTERS.get(c) or PERSIAN_DIGITS.get(c) or c for c in s)
     s = unicodedata.normalize("NFC", s.replace("یٔ", "ئ"))
-    s = _TOKEN.sub(lambda m: one_script(m.group()), s)
-    return _JOINERS.sub(lambda m: _joiner(s, m), s) if ZWNJ in s else s
+    if ZWNJ in s:
+        s = _JOINERS.sub(lambda m, whole=s: _joiner(whole, m), s)
+    if _FOREIGN.search(s):
+        s = _TOKEN.sub(lambda m: one_script(m.group()) if _FOREIGN.search(m.group()) else m.group(), s)
+        s = unicodedata.normalize("NFC", s)
+    return s
 
 
 def _joiner(s: str, m: regex.Match) -> str:

@@ -215,7 +215,7 @@ def restore(text: str) -> tuple[str, int, str]:
         how.append(f"persian as {view}" if single else view)
         if single:
             break
-    if lost := len(re.findall(f"[?{LOST}]*{LOST}[?{LOST}]*", text)):
+    if lost := sum(LOST in run for run in re.findall(f"[?{LOST}]+", text)) if LOST in text else 0:
         total += lost
         how.append("lost")
     return text, total, ", ".join(dict.fromkeys(how))
