@@ -86,10 +86,11 @@ COMMENT_BUNDLES = [
     Bundle("buyer", ("is_buyer",), ("int(is_buyer IS NOT NULL)", "created_at_gregorian", "completeness")),
     Bundle("points", ("advantages", "disadvantages"), ("int(advantages IS NOT NULL) + int(disadvantages IS NOT NULL)", "created_at_gregorian", "completeness")),
     Bundle("votes", ("likes", "dislikes"), ("int(likes IS NOT NULL) + int(dislikes IS NOT NULL)", "created_at_gregorian", "likes", "completeness")),
-    Bundle("seller", ("seller_title", "seller_code"), ("int(seller_title IS NOT NULL) + int(seller_code IS NOT NULL)", "created_at_gregorian", "completeness")),
+    Bundle("seller_name", ("seller_title",), ()),
+    Bundle("seller_id", ("seller_code",), ()),
     Bundle("fit", ("true_to_size_rate",), ("int(true_to_size_rate IS NOT NULL)", "created_at_gregorian", "completeness")),
 ]
-COMMENT_RULES: list[Rule] = []
+COMMENT_RULES = [Rule("seller_code", "seller_title")]
 COMMENT_TRUST = "completeness * 100000 + coalesce(unix_date(created_at_gregorian), 0)"
 PRODUCT_BUNDLES = [
     Bundle("record", (), ("rate_count", "completeness")),
@@ -107,10 +108,9 @@ _ENTITIES = {
 }
 
 
-def _survivors(spark: SparkSession, d: str, entity: str, bundles: list[str] | None = None) -> DataFrame:
-    name, key, all_bundles, rules, trust = _ENTITIES[entity]
-    wanted = [b for b in all_bundles if bundles is None or b.name in bundles]
-    return surviving_rows(table(spark, d, name), key, "source_row", wanted, rules, trust)
+def _survivors(spark: SparkSession, d: str, entity: str) -> DataFrame:
+    name, key, bundles, rules, trust = _ENTITIES[entity]
+    return surviving_rows(table(spark, d, name), key, "source_row", bundles, rules, trust)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +135,7 @@ def p3_stale_choices(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for e, final in (("comment", "final_comments"), ("product", "final_products")):
         key = _ENTITIES[e][1]
-        now = _survivors(spark, d, e, ["record", "category", "shelf"]).select(F.col(key).alias("entity_id"), F.col("record_row").alias("source_row"))
+        now = _survivors(spark, d, e).select(F.col(key).alias("entity_id"), F.col("record_row").alias("source_row"))
         was = table(spark, d, final).select(F.col(key).alias("entity_id"), F.col("canonical_source_row").alias("earlier_row"))
         both = now.join(was, "entity_id", "left").where(~F.col("source_row").eqNullSafe(F.col("earlier_row")))
         parts.append(both.select(F.lit(e).alias("entity"), "entity_id", "source_row", "earlier_row"))

@@ -9,7 +9,6 @@ distinct signature - what the dependencies see of it - as no other can be part o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from catalogq.operators.keyed import attach_keyed
 
@@ -126,20 +126,26 @@ def surviving_rows(df: DataFrame, key: str, row: str, bundles: list[Bundle], rul
         )
         parts.append(c.groupBy("key", "bundle", "demand", "value").agg(F.max("best").alias("best")))
     lists = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.collect_list(F.struct("bundle", "demand", "value", "best")).alias("c"))
-    kind = df.schema[key].dataType
-    schema = T.StructType([T.StructField("__key", kind), *[T.StructField(f"{b.name}_row", T.LongType()) for b in bound]])
-
-    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for cs in pdf["c"]:
-                by: list[list] = [[] for _ in bound]
-                for c in cs:
-                    by[c["bundle"]].append((c["best"]["trust"], -c["best"]["minus_row"], list(c["demand"]), list(c["value"])))
-                rows.append(search(by) if any(len(x) > 1 for x in by) else [x[0][1] for x in by])
-            yield pd.concat([pdf["key"].rename("__key"), pd.DataFrame(rows, columns=[f"{b.name}_row" for b in bound], index=pdf.index)], axis=1)
-
-    picked = lists.mapInPandas(chosen, schema)
+    n = len(bound)
+
+    @pandas_udf(T.ArrayType(T.LongType()))
+    def searched(groups: pd.Series) -> pd.Series:
+        out = []
+        for cs in groups:
+            if cs is None:
+                out.append(None)
+                continue
+            by: list[list] = [[] for _ in range(n)]
+            for c in cs:
+                by[c["bundle"]].append((c["best"]["trust"], -c["best"]["minus_row"], list(c["demand"]), list(c["value"])))
+            out.append(search(by))
+        return pd.Series(out)
+
+    # one candidate per bundle leaves nothing to search
+    only = F.array(*[-F.get(F.filter("c", lambda x, i=i: x["bundle"] == i), F.lit(0))["best"]["minus_row"] for i in range(n)])
+    rows = F.coalesce(searched(F.when(F.size("c") > n, F.col("c"))), only)
+    picked = lists.select(F.col("key").alias("__key"), rows.alias("__rows"))
+    picked = picked.select("__key", *[F.get("__rows", F.lit(i)).alias(f"{b.name}_row") for i, b in enumerate(bound)])
     return out.join(picked, out[key].eqNullSafe(picked["__key"]), "inner").drop("__key")
 
 
