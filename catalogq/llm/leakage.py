@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pandas as pd
@@ -104,11 +105,15 @@ class Finder:
             for item, p in where:
                 if best.get(item) == 0:
                     continue
-                n, w, k = len(self.items[item]), self.window, self.errors
-                for start in range(max(0, p + self.size - w), min(p, n - w) + 1):
+                xs, w, k = self.items[item], self.window, self.errors
+                first, last = max(0, p + self.size - w), min(p, len(xs) - w)
+                if k:  # a word of the window that the neighbourhood lacks costs an edit
+                    near = set(ws[max(0, q - w - k) : q + w + k])
+                    lacks = list(accumulate((x not in near for x in xs[first : last + w]), initial=0))
+                for start in range(first, last + 1):
                     lead = p - start
                     key = (item, start, q - lead)
-                    if key in tried:
+                    if key in tried or k and lacks[start - first + w] - lacks[start - first] > min(k, best.get(item, k + 1) - 1):
                         continue
                     tried.add(key)
                     a, b = max(0, q - lead - k), min(len(ws), q - lead + w + k)
