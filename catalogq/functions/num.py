@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalogq.functions.text import is_blank, stripped
 
 #: A finite decimal number: sign, whole digits, fraction digits (either may be empty, not both), exponent.
-NUMBER = r"^([+-]?)(?:([0-9]+)(?:\.([0-9]*))?|\.([0-9]+))(?:[eE]([+-]?[0-9]+))?$"
+NUMBER = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 #: Powers of ten beyond which a bigint is overflown or a fraction is lost anyway.
 FAR = 60
 
@@ -43,13 +43,15 @@ class Digits:
 
 def _taken_apart(t: Column) -> Column:
     """Struct of a stripped text's parts."""
-    part = lambda i: F.regexp_extract(t, NUMBER, i)
-    power = F.coalesce(F.nullif(part(5), F.lit("")).try_cast("int"), F.when(part(5) == "", 0).when(part(5).startswith("-"), -FAR).otherwise(FAR))
-    fraction = F.concat(part(3), part(4))
+    low = F.lower(t)  # the only letter of a number is its e
+    mantissa = F.ltrim(F.substring_index(low, "e", 1), F.lit("+-"))
+    exponent = F.when(low.contains("e"), F.substring_index(low, "e", -1)).otherwise("0")
+    power = F.coalesce(exponent.try_cast("int"), F.when(exponent.startswith("-"), -FAR).otherwise(FAR))
+    fraction = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
     return F.struct(
         F.coalesce(t.rlike(NUMBER), F.lit(False)).alias("valid"),
-        (part(1) == "-").alias("negative"),
-        F.concat(part(2), fraction).alias("digits"),
+        t.startswith("-").alias("negative"),
+        F.concat(F.substring_index(mantissa, ".", 1), fraction).alias("digits"),
         (F.greatest(F.lit(-FAR), F.least(F.lit(FAR), power)) - F.length(fraction)).alias("shift"),
     )
 

@@ -6,10 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode white space as Python's str.strip() knows it; the zero-width non-joiner is none.
-SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-
-
-#: The same as characters.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -20,7 +16,7 @@ def stripped(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     """True for null and for white space alone."""
-    return c.isNull() | c.rlike(f"^[{SPACE}]*$")
+    return F.coalesce(stripped(c) == "", F.lit(True))
 
 
 def clean_text(c: Column, sentinel: str | None = None) -> Column:

@@ -36,14 +36,26 @@ def parsed(df: DataFrame, numbers: list[str], values: dict[str, Column]) -> Data
     return with_digits(df, numbers).select(*df.columns, one)
 
 
+def _blanks(fields: list[str]) -> dict[str, Column]:
+    """Whether each text field is blank, as columns computed once."""
+    return {f"{f}_blank": is_blank(F.col(f)) for f in fields}
+
+
 def _blank_text(field: str) -> Rule:
-    return Rule("TXT-001", field, F.col(field).isNotNull() & is_blank(F.col(field)))
+    return Rule("TXT-001", field, F.col(field).isNotNull() & F.col(f"{field}_blank"))
+
+
+def _kept(field: str, sentinel: bool = False) -> Column:
+    """The text, null if blank or exactly ``nan`` where that stands for nothing."""
+    blank = F.col(f"{field}_blank")
+    return F.when(~(blank | (F.col(field) == "nan") if sentinel else blank), F.col(field))
 
 
 def product_rows(raw: DataFrame) -> DataFrame:
     """Adds the typed product columns (prefix ``p_``), ``events`` and ``fatal``."""
     values = dict(zip(("id_v", "id_r", "count_v", "count_r", "rate_v", "rate_r"), (*integer("id"), *integer("Rate_cnt"), *rate("Rate", 100, kind="double"))))
-    rows = parsed(raw, ["id", "Rate_cnt", "Rate"], values)
+    text = {"title_fa": "title_fa", "category1": "Category1", "category2": "Category2", "brand": "Brand", "sub_category": "sub_category"}
+    rows = parsed(raw, ["id", "Rate_cnt", "Rate"], values | _blanks(list(text.values())))
     product_id, bad_id, count, bad_count, value, bad_rate = map(F.col, values)
     usable = bad_count.isNull() & bad_rate.isNull()
     zero = usable & (value == 0)
@@ -53,14 +65,13 @@ def product_rows(raw: DataFrame) -> DataFrame:
         Rule("PRD-004", "Rate", bad_rate.isNotNull(), bad_rate, fatal=True),
         Rule("PRD-005", "Rate", zero & (count == 0)),
         Rule("PRD-006", "Rate", zero & (count > 0), row_level=True),
-        *map(_blank_text, ["title_fa", "Category1", "Category2", "Brand", "sub_category"]),
+        *map(_blank_text, text.values()),
     ]
     typed = with_events(rows, rules)
-    text = {"title_fa": "title_fa", "category1": "Category1", "category2": "Category2", "brand": "Brand", "sub_category": "sub_category"}
     return typed.select(
         *raw.columns,
         product_id.alias("p_product_id"),
-        *[clean_text(F.col(c)).alias(f"p_{n}") for n, c in text.items()],
+        *[_kept(c).alias(f"p_{n}") for n, c in text.items()],
         F.when(~(zero & (count == 0)), value).alias("p_rate"),
         count.alias("p_rate_count"),
         (zero & (count == 0)).alias("p_is_unrated"),
@@ -79,7 +90,7 @@ def product_candidates(raw: DataFrame) -> DataFrame:
 def offer_rows(raw: DataFrame) -> DataFrame:
     """Adds the typed offer columns (prefix ``o_``), ``events`` and ``fatal``."""
     values = dict(zip(("id_v", "id_r", "price_v", "price_r", "history_v", "history_r", "fake_v"), (*integer("id"), *integer("Price"), *integer("min_price_last_month", optional=True), strict_boolean(F.col("Is_Fake")))))
-    rows = parsed(raw, ["id", "Price", "min_price_last_month"], values)
+    rows = parsed(raw, ["id", "Price", "min_price_last_month"], values | _blanks(["Seller"]))
     product_id, bad_id, price, bad_price, history, bad_history, fake = map(F.col, values)
     rules = [
         Rule("ID-002", "id", bad_id.isNotNull(), bad_id, fatal=True),
@@ -93,7 +104,7 @@ def offer_rows(raw: DataFrame) -> DataFrame:
     return with_events(rows, rules).select(
         *raw.columns,
         product_id.alias("o_product_id"),
-        clean_text(F.col("Seller")).alias("o_seller"),
+        _kept("Seller").alias("o_seller"),
         F.nullif(price, F.lit(0).cast("bigint")).alias("o_price_raw"),
         (F.nullif(price, F.lit(0).cast("bigint")).cast("decimal(20,0)") / 10).cast("decimal(20,1)").alias("o_price_toman"),
         fake.alias("o_is_fake"),
@@ -111,13 +122,13 @@ def offer_candidates(raw: DataFrame) -> DataFrame:
 
 
 def _sentinel_rules(field: str) -> list[Rule]:
-    c = F.col(field)
+    c, blank = F.col(field), F.col(f"{field}_blank")
     rules = [Rule(SENTINEL_RULES[field], field, c == "nan")]
     if field == "seller_code":
-        return [*rules, Rule("COM-011", field, c == ""), Rule("TXT-001", field, is_blank(c) & (c != "")), Rule("COM-010", field, ~is_blank(c) & (c != "nan"))]
+        return [*rules, Rule("COM-011", field, c == ""), Rule("TXT-001", field, blank & (c != "")), Rule("COM-010", field, ~blank & (c != "nan"))]
     rules.append(_blank_text(field))
     if field == "body":
-        rules.append(Rule("COM-009", field, is_blank(c) | (c == "nan")))
+        rules.append(Rule("COM-009", field, blank | (c == "nan")))
     return rules
 
 
@@ -126,7 +137,7 @@ def comment_rows(raw: DataFrame) -> DataFrame:
     names = ("id_v", "id_r", "product_v", "product_r", "likes_v", "likes_r", "dislikes_v", "dislikes_r", "rate_v", "rate_r", "date_iso", "date_v", "date_r", "buyer_v")
     counts = (*integer("id"), *integer("product_id"), *integer("likes", optional=True), *integer("dislikes", optional=True))
     values = dict(zip(names, (*counts, *rate("rate", 5, scale=2), *jalali.parsed(F.col("created_at")), strict_boolean(F.col("is_buyer")))))
-    rows = parsed(raw, ["id", "product_id", "likes", "dislikes", "rate"], values)
+    rows = parsed(raw, ["id", "product_id", "likes", "dislikes", "rate"], values | _blanks(list(SENTINEL_RULES)))
     comment_id, bad_id, product_id, bad_product, likes, bad_likes, dislikes, bad_dislikes, value, bad_rate, iso, day, bad_date, buyer = map(F.col, values)
     rules = [
         Rule("ID-002", "id", bad_id.isNotNull(), bad_id, fatal=True),
@@ -140,7 +151,7 @@ def comment_rows(raw: DataFrame) -> DataFrame:
         Rule("COM-012", "dislikes", bad_dislikes.isNotNull(), bad_dislikes, row_level=True),
         *[r for f in ("seller_code", "seller_title", "body", "title", "recommendation_status", "advantages", "disadvantages", "true_to_size_rate") for r in _sentinel_rules(f)],
     ]
-    t = lambda f: clean_text(F.col(f), "nan").alias(f"c_{f}")
+    t = lambda f: _kept(f, True).alias(f"c_{f}")
     return with_events(rows, rules).select(
         *raw.columns,
         comment_id.alias("c_comment_id"),
