@@ -108,3 +108,28 @@ def first_missing(rows: DataFrame, keys: DataFrame, key: str, row: str, k: int)
     """The first ``k`` keys, in order of appearance, that ``keys`` lacks."""
     n = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(row).alias("first_row"), F.count(F.lit(1)).alias("n"))
     return n.join(keys.select(key), key, "left_anti").orderBy("first_row").limit(k)
+
+
+def stratified_sample(df: DataFrame, strata: list[str], row: str, k: int) -> DataFrame:
+    """``k`` rows per stratum by the order of a hash of ``row``: the same rows on every run; null is a stratum.
+
+    Strata are first cut to k per share of a stratum, so that a stratum of a third of all rows is never gathered.
+    """
+    order = [F.md5(F.col(row).cast("string")), F.col(row)]
+    shares = df.withColumn("__share", F.pmod(F.xxhash64(row), F.lit(256)))
+    some = shares.withColumn("__place", F.row_number().over(Window.partitionBy(*strata, "__share").orderBy(*order))).where(F.col("__place") <= k)
+    return some.withColumn("__place", F.row_number().over(Window.partitionBy(*strata).orderBy(*order))).where(F.col("__place") <= k).drop("__place", "__share")
+
+
+def lexical_classes(df: DataFrame, column: str) -> DataFrame:
+    """``form``, ``n``: values by how they are written: blank, integer, decimal, signed, letters, other."""
+    c = F.col(column).cast("string")
+    form = (
+        F.when(is_blank(c), "blank")
+        .when(c.rlike("^[0-9]+$"), "integer")
+        .when(c.rlike(r"^[0-9]+\.[0-9]+$"), "decimal")
+        .when(c.rlike(r"^[+-][0-9.]+$"), "signed")
+        .when(c.rlike(r"^\p{L}+$"), "letters")
+        .otherwise("other")
+    )
+    return df.groupBy(form.alias("form")).agg(F.count(F.lit(1)).alias("n"))

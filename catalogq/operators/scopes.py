@@ -77,3 +77,18 @@ def top_scopes(inv: DataFrame, least: dict[str, float], without: tuple[Column, l
     for t in terms:
         keep = keep & ~F.coalesce(name.contains(t), F.lit(False))
     return inv.where(keep).orderBy(*order).limit(k)
+
+
+def named_scopes(inv: DataFrame, names: list[tuple], levels: list[str]) -> DataFrame:
+    """The scopes of a stated list, in its order (``place``); a name may be null below its level. Unknown names are left out."""
+    spark = inv.sparkSession
+    asked = spark.createDataFrame([(i, *n) for i, n in enumerate(names)], "place int, " + ", ".join(f"n_{x} string" for x in levels))
+    on = reduce(lambda a, b: a & b, [F.col(f"scope_{x}").eqNullSafe(F.col(f"n_{x}")) for x in levels])
+    return inv.join(F.broadcast(asked), on).drop(*[f"n_{x}" for x in levels])
+
+
+def unmet(inv: DataFrame, scope: dict[str, str | None], expected: dict[str, float]) -> dict[str, tuple]:
+    """Figures of one scope that differ from what is expected of it: name, (expected, found). All if it is missing."""
+    r = inv.where(reduce(lambda a, b: a & b, [F.col(f"scope_{k}").eqNullSafe(F.lit(v)) for k, v in scope.items()])).first()
+    found = {k: None if r is None else r[k] for k in expected}
+    return {k: (v, found[k]) for k, v in expected.items() if found[k] is None or abs(found[k] - v) > 1e-9 * max(1, abs(v))}

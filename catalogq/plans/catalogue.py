@@ -511,7 +511,38 @@ def price_history_relation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "offers").groupBy(kind.alias("relation")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_SIMPLE = ["parse_ids", "parse_counts", "parse_booleans", "product_rate_rules", "comment_rate_rules", "text_sentinels", "jalali_parse", "product_transform", "offer_transform", "comment_transform", "exact_row_dedup", "dup_id_metrics", "duplicated_rows", "offer_dedup", "offer_fingerprint", "core_digest", "canonical_products", "product_conflicts", "canonical_comments", "comment_conflicts", "offers_without_product", "orphan_comments", "first_orphan_products", "comment_date_range", "row_audit", "rule_event_counts", "aggregate_transformations", "quarantine_rows", "quarantine_rule_counts", "reconciliation", "price_p999_flag", "price_thresholds", "group_nearest_rank", "scope_inventory", "scope_invariants", "coherent_scopes_topk", "column_profile", "top_values", "value_distribution", "missing_summary", "range_violations", "price_validation", "offer_variation", "join_coverage", "products_of_comments", "crosstab_margins", "describe_price", "histogram_bins", "nlargest", "value_counts", "date_shape_counts", "comments_by_jalali_year", "code_title_multiplicity", "occurrence_histogram", "field_disagreement", "price_history_relation"]
+def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Three products of each sub-category; a sampling operator."""
+    return profile.stratified_sample(table(spark, d, "product_candidates").select("source_row", "product_id", "sub_category"), ["sub_category"], "source_row", 3)
+
+
+def lexical_classes(spark: SparkSession, d: str) -> DataFrame:
+    return profile.lexical_classes(raw_comments(spark, d), "rate")
+
+
+def sentinel_crosstab(spark: SparkSession, d: str) -> DataFrame:
+    c = raw_comments(spark, d).select((F.col("title") == "nan").alias("title_nan"), (F.col("body") == "nan").alias("body_nan"))
+    return profile.crosstab(c, "title_nan", "body_nan")
+
+
+_NAMED = [("آشپزخانه", None), ("ماهیگیری", "چرخ و نخ"), ("بی‌نام", None)]
+
+
+def named_scopes(spark: SparkSession, d: str) -> DataFrame:
+    return scopes.named_scopes(scope_inventory(spark, d), _NAMED, ["category1", "category2"]).select("place", "scope_category1", "scope_category2", "products", "comments")
+
+
+def header_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per table, columns that hold a byte order mark, control characters or replacement characters in their text."""
+    parts = []
+    for t, cols in (("comment_candidates", ["title", "body"]), ("product_candidates", ["title_fa", "brand"]), ("documents", ["text"])):
+        u = profile.unpivoted(table(spark, d, t), cols).where("value IS NOT NULL")
+        n = u.groupBy("column").agg(*[F.count_if(F.col("value").contains(c)).alias(k) for k, c in (("byte_order_marks", "\ufeff"), ("replacements", "\ufffd"), ("nulls", "\x00"))])
+        parts.append(n.select(F.lit(t).alias("table_name"), "*"))
+    return _union(parts)
+
+
+_SIMPLE = ["parse_ids", "parse_counts", "parse_booleans", "product_rate_rules", "comment_rate_rules", "text_sentinels", "jalali_parse", "product_transform", "offer_transform", "comment_transform", "exact_row_dedup", "dup_id_metrics", "duplicated_rows", "offer_dedup", "offer_fingerprint", "core_digest", "canonical_products", "product_conflicts", "canonical_comments", "comment_conflicts", "offers_without_product", "orphan_comments", "first_orphan_products", "comment_date_range", "row_audit", "rule_event_counts", "aggregate_transformations", "quarantine_rows", "quarantine_rule_counts", "reconciliation", "price_p999_flag", "price_thresholds", "group_nearest_rank", "scope_inventory", "scope_invariants", "coherent_scopes_topk", "column_profile", "top_values", "value_distribution", "missing_summary", "range_violations", "price_validation", "offer_variation", "join_coverage", "products_of_comments", "crosstab_margins", "describe_price", "histogram_bins", "nlargest", "value_counts", "date_shape_counts", "comments_by_jalali_year", "code_title_multiplicity", "occurrence_histogram", "field_disagreement", "price_history_relation", "stratified_sample", "lexical_classes", "sentinel_crosstab", "named_scopes", "header_checks"]
 QUERIES = {n: globals()[n] for n in _SIMPLE}
 
 _FP = _digest_sql([("id", "V"), ('"Price"', "V"), ('"Seller"', "V"), ('"Is_Fake"', "V"), ("min_price_last_month", "V")])
@@ -581,4 +612,13 @@ ORACLES = {
     "occurrence_histogram": "SELECT occurrences, count(*) AS ids FROM (SELECT count(*) AS occurrences FROM comment_candidates GROUP BY comment_id) GROUP BY 1",
     "field_disagreement": _vary("comment_candidates", "comment_id", {f"{f}_differs": [f] for f in ("title", "body", "rate", "likes", "is_buyer")}),
     "price_history_relation": "SELECT CASE WHEN price_raw IS NULL OR min_price_last_month IS NULL THEN 'unknown' WHEN price_raw < min_price_last_month THEN 'below' WHEN price_raw = min_price_last_month THEN 'equal' ELSE 'above' END AS relation, count(*) AS n FROM offers GROUP BY 1",
+    "stratified_sample": "SELECT source_row, product_id, sub_category FROM product_candidates QUALIFY row_number() OVER (PARTITION BY sub_category ORDER BY md5(CAST(source_row AS VARCHAR)), source_row) <= 3",
+    "lexical_classes": f"""WITH {CTE_COMMENTS} SELECT CASE WHEN trim(rate) = '' THEN 'blank' WHEN regexp_full_match(rate, '[0-9]+') THEN 'integer' WHEN regexp_full_match(rate, '[0-9]+\\.[0-9]+') THEN 'decimal'
+  WHEN regexp_full_match(rate, '[+-][0-9.]+') THEN 'signed' WHEN regexp_full_match(rate, '\\p{{L}}+') THEN 'letters' ELSE 'other' END AS form, count(*) AS n FROM raw_comments GROUP BY 1""",
+    "sentinel_crosstab": f"WITH {CTE_COMMENTS}, c AS (SELECT title = 'nan' AS title_nan, body = 'nan' AS body_nan FROM raw_comments) SELECT title_nan, body_nan, count(*) AS n, grouping(title_nan) = 1 AS a_all, grouping(body_nan) = 1 AS b_all FROM c GROUP BY CUBE (title_nan, body_nan)",
+    "named_scopes": f"{_INVENTORY}, names(place, c1, c2) AS (VALUES {', '.join('(' + str(i) + ', ' + ', '.join('NULL' if x is None else repr(x) for x in n) + ')' for i, n in enumerate(_NAMED))}) SELECT place, scope_category1, scope_category2, products, comments FROM inv JOIN names ON scope_category1 IS NOT DISTINCT FROM c1 AND scope_category2 IS NOT DISTINCT FROM c2",
+    "header_checks": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS \"column\", count(*) FILTER (contains({c}, chr(65279))) AS byte_order_marks, count(*) FILTER (contains({c}, chr(65533))) AS replacements, count(*) FILTER (contains({c}, chr(0))) AS nulls FROM {t}"
+        for t, cs in (("comment_candidates", ["title", "body"]), ("product_candidates", ["title_fa", "brand"]), ("documents", ["text"])) for c in cs
+    ),
 }

@@ -187,3 +187,16 @@ def test_first_arrivals_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("arrived").count() == 3
+
+
+def test_samples_and_named_scopes(spark):
+    df = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else "cold", 1) for i in range(300)], "row bigint, s string, n int")
+    got = profile.stratified_sample(df, ["s"], "row", 4)
+    assert sorted((r.s or "", r["count"]) for r in got.groupBy("s").count().collect()) == [("", 4), ("cold", 4), ("hot", 4)]
+    assert got.exceptAll(profile.stratified_sample(df.repartition(7), ["s"], "row", 4)).count() == 0
+    inv = spark.createDataFrame([("a", None, 3), ("a", "b", 2)], "scope_x string, scope_y string, products int")
+    assert [(r.place, r.products) for r in scopes.named_scopes(inv, [("a", "b"), ("z", None), ("a", None)], ["x", "y"]).orderBy("place").collect()] == [(0, 2), (2, 3)]
+    assert scopes.unmet(inv, {"x": "a", "y": None}, {"products": 3}) == {} and scopes.unmet(inv, {"x": "a", "y": "b"}, {"products": 3}) == {"products": (3, 2)}
+    assert scopes.unmet(inv, {"x": "q", "y": None}, {"products": 3}) == {"products": (3, None)}
+    forms = profile.lexical_classes(spark.createDataFrame([("1",), ("1.5",), ("",), (None,), ("-2",), ("bad",), ("1 x",)], "c string"), "c")
+    assert {r.form: r.n for r in forms.collect()} == {"integer": 1, "decimal": 1, "blank": 2, "signed": 1, "letters": 1, "other": 1}
