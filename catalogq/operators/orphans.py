@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogq.operators.keyed import attach_keyed
+from catalogq.session import cut
 
 MATCHES = ("simple", "partial", "full")
 
@@ -26,7 +27,8 @@ def reference_status(refs: DataFrame, targets: DataFrame, pairs: list[tuple[str,
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
     cols = [r for r, _ in pairs]
-    keys = refs.groupBy(*cols).agg(F.count(F.lit(1)).alias("ref_rows"))  # partial counts before the shuffle
+    # counted before the shuffle; written once, as filters by mask would each read all references again
+    keys = cut(refs.groupBy(*cols).agg(F.count(F.lit(1)).alias("ref_rows")))
     parts = []
     for mask in product((True, False), repeat=len(pairs)):
         there = [p for p, m in zip(pairs, mask) if m]
@@ -48,7 +50,7 @@ def orphan_rows(refs: DataFrame, targets: DataFrame, pairs: list[tuple[str, str]
     The anti-join runs over distinct references; rows of the most frequent references are then
     judged by broadcast and never shuffled, whether they are orphans or not.
     """
-    status = reference_status(refs, targets, pairs, match)
+    status = cut(reference_status(refs, targets, pairs, match))
     found = attach_keyed(refs, status, [r for r, _ in pairs], "ref_rows", keep=F.col("is_orphan"))
     return found.select(refs.columns)
 
