@@ -11,7 +11,7 @@ from catalogq.operators import dedup, evidence, profile, quantile, scopes
 from catalogq.operators import transforms as T
 from catalogq.operators.orphans import orphan_rows
 from catalogq.plans.raw import CTE_COMMENTS, CTE_PRODUCTS, raw_comments, raw_products
-from catalogq.session import table
+from catalogq.session import cut, table
 
 # --- SQL pieces ------------------------------------------------------------------------------------------------------
 
@@ -237,12 +237,12 @@ w AS (SELECT *, count(*) OVER (PARTITION BY comment_id) AS variants, row_number(
 
 
 def offers_without_product(spark: SparkSession, d: str) -> DataFrame:
-    o = T.offer_candidates(raw_products(spark, d)).select("source_row", F.col("o_product_id").alias("product_id"))
+    o = cut(T.offer_candidates(raw_products(spark, d)).select("source_row", F.col("o_product_id").alias("product_id")))  # read three times
     return orphan_rows(o, canonical_products(spark, d).select("product_id"), [("product_id", "product_id")])
 
 
 def orphan_comments(spark: SparkSession, d: str) -> DataFrame:
-    c = canonical_comments(spark, d).select("comment_id", "product_id", "canonical_source_row")
+    c = cut(canonical_comments(spark, d).select("comment_id", "product_id", "canonical_source_row"))  # read three times
     return orphan_rows(c, table(spark, d, "final_products").select("product_id"), [("product_id", "product_id")])
 
 
