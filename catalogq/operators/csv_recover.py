@@ -132,12 +132,11 @@ def parse_records(df: DataFrame, text: str, columns: Column, keep: list[str], on
     With ``one_record`` each row holds one record and gives one output row; else a row's text is parsed
     with recovery and gives one row per record found. ``columns`` is the number of fields declared for a row.
     A null text is a record of no fields (kind "columns"); an empty text is one empty field. Rows are independent, so
-    repeats and order do not matter; extra columns are ignored. A name in ``keep`` that clashes with the output
-    (record_no, offset, fields, kind, error_*, broken_text) raises.
+    repeats and order do not matter; extra columns are ignored. A kept column whose name is one of the output's
+    (record_no, offset, fields, kind, error_*, broken_text) comes out as ``<name>_kept``.
     """
-    if clash := set(keep) & set(RECORD.names):
-        raise ValueError(f"rename the columns {sorted(clash)}")
-    schema = T.StructType([*(df.schema[c] for c in keep), *RECORD.fields])
+    names = {c: f"{c}_kept" if c in RECORD.names else c for c in keep}
+    schema = T.StructType([*(T.StructField(names[c], df.schema[c].dataType) for c in keep), *RECORD.fields])
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -156,10 +155,10 @@ def parse_records(df: DataFrame, text: str, columns: Column, keep: list[str], on
             out = pd.DataFrame(rows, columns=RECORD.names)
             for c in ("error_offset", "error_line", "error_field"):
                 out[c] = out[c].astype("Int64")
-            left = pdf[keep].iloc[at].reset_index(drop=True)
+            left = pdf[list(names.values())].iloc[at].reset_index(drop=True)
             yield pd.concat([left, out], axis=1)
 
-    return df.select(*keep, F.col(text).alias("__text"), columns.cast("int").alias("__columns")).mapInPandas(parsed, schema)
+    return df.select(*[F.col(c).alias(n) for c, n in names.items()], F.col(text).alias("__text"), columns.cast("int").alias("__columns")).mapInPandas(parsed, schema)
 
 
 def trimmed(c: Column) -> Column:

@@ -162,13 +162,13 @@ def dense_key_figures(
 
     def last(pdf: pd.DataFrame) -> pd.DataFrame:
         acc = added(pdf)
-        out = {key: pd.Series(acc.keys, dtype=object), "n": acc.n}
+        out = {key: pd.Series(acc.keys, dtype=object), rows_name: acc.n}
         for i, name in enumerate(names):
             out[f"{name}_n"] = acc.seen[i]
             out[name] = pd.Series(acc.value[i]).astype("Int64").where(acc.seen[i] > 0)
         return pd.DataFrame(out)
 
-    out_schema = T.StructType([T.StructField(key, kind), T.StructField("n", T.LongType()), *(f for name in names for f in (T.StructField(f"{name}_n", T.LongType()), T.StructField(name, T.LongType())))])
+    out_schema = T.StructType([T.StructField(key, kind), T.StructField(rows_name, T.LongType()), *(f for name in names for f in (T.StructField(f"{name}_n", T.LongType()), T.StructField(name, T.LongType())))])
     chunks = rows.mapInArrow(split, schema)
     splits = rows.rdd.getNumPartitions()
     if splits > FAN_IN:

@@ -50,8 +50,9 @@ def orphan_rows(refs: DataFrame, targets: DataFrame, pairs: list[tuple[str, str]
     The anti-join runs over distinct references; rows of the most frequent references are then
     judged by broadcast and never shuffled, whether they are orphans or not.
     """
-    status = cut(reference_status(refs, targets, pairs, match))
-    found = attach_keyed(refs, status, [r for r, _ in pairs], "ref_rows", keep=F.col("is_orphan"))
+    # names of its own, as the rows may have columns of any name
+    status = cut(reference_status(refs, targets, pairs, match)).withColumnsRenamed({"ref_rows": "__ref_rows", "is_orphan": "__is_orphan"})
+    found = attach_keyed(refs, status, [r for r, _ in pairs], "__ref_rows", keep=F.col("__is_orphan"))
     return found.select(refs.columns)
 
 

@@ -35,6 +35,7 @@ def test_dense_figures_edges(spark):
     df = spark.createDataFrame([(None, None), (1, None), (1, None)], "k bigint, v bigint")
     assert figures(df) == {None: (1, 0, None, None), 1: (2, 0, None, None)}
     assert figures(df.where("false")) == {}
+    assert dense.dense_key_figures(df.withColumnRenamed("k", "n"), "n", {}).columns == ["n", "n_rows"]
     with pytest.raises(ValueError):
         dense.dense_key_figures(df, "k", {"m": ("mean", F.col("v"))})
 
@@ -57,7 +58,7 @@ TARGETS = [(1, "a", "extra"), (2, "b", None), (None, "z", None), (1, "a", "again
 
 @pytest.mark.parametrize("match, rows", [("simple", {14}), ("partial", {14, 15}), ("full", {11, 12, 14, 15, 17})])
 def test_orphans_by_null_mask(spark, match, rows):
-    refs = spark.createDataFrame(REFS, "a int, b string, source_row int")
+    refs = spark.createDataFrame(REFS, "a int, b string, source_row int").withColumn("ref_rows", F.lit("clash")).withColumn("is_orphan", F.lit(None).cast("int"))
     targets = spark.createDataFrame(TARGETS, "a int, b string, source_row string")
     pairs = [("a", "a"), ("b", "b")]
     assert {r.source_row for r in orphan_rows(refs, targets, pairs, match).collect()} == rows
@@ -108,8 +109,8 @@ def test_parse_records_edges(spark):
     many = spark.createDataFrame([("f", '1,a,b\n2,"x\n3,c,d')], "path string, t string")
     got = R.parse_records(many, "t", F.lit(3), ["path"], one_record=False).orderBy("record_no").collect()
     assert [(r.kind, r.error_line) for r in got] == [(None, None), ("quoting", 2), (None, None)] and got[1].broken_text == '2,"x\n'
-    with pytest.raises(ValueError):
-        R.parse_records(df.withColumnRenamed("id", "kind"), "t", F.lit(3), ["kind"])
+    clash = R.parse_records(df.withColumnRenamed("id", "kind"), "t", F.lit(3), ["kind"])
+    assert sorted((r.kind_kept, r.kind) for r in clash.collect() if r.kind) == [(2, "columns"), (3, "columns"), (5, "quoting")]
 
 
 @pytest.mark.parametrize("token, ok", [("", True), ("0", True), ("5", True), ("5.00", True), (" 4 ", True), ("4.", True), ("5.5", False), ("3.500", False), ("45", False), ("4,5", False), ("-1", False), ("NaN", False)])
