@@ -153,8 +153,9 @@ def built_records(df: DataFrame, key: str, row: str, bundles: list[Bundle], rule
     """The surviving record per key, each bundle's fields from its chosen row; ``row`` must be unique."""
     rows = surviving_rows(df, key, row, bundles, rules, trust)
     fielded = [b for b in bundles if b.fields]
-    wanted = rows.select(F.col(key).alias("__key"), "candidates", F.explode(F.map_from_arrays(F.array(*[F.lit(b.name) for b in fielded]), F.array(*[F.col(f"{b.name}_row") for b in fielded]))).alias("__bundle", "__row"))
-    wanted = wanted.groupBy("__key", "candidates", "__row").agg(F.collect_list("__bundle").alias("__bundles"))
-    joined = wanted.join(df, wanted["__row"] == df[row], "inner")
+    wanted = rows.select(F.col(key).alias("__key"), F.col("candidates").alias("__candidates"), F.explode(F.map_from_arrays(F.array(*[F.lit(b.name) for b in fielded]), F.array(*[F.col(f"{b.name}_row") for b in fielded]))).alias("__bundle", "__row"))
+    wanted = wanted.groupBy("__key", "__candidates", "__row").agg(F.collect_list("__bundle").alias("__bundles"))
+    fields = [f for b in fielded for f in b.fields]
+    joined = wanted.join(df.select(F.col(row).alias("__of_row"), *fields), F.col("__row") == F.col("__of_row"), "inner")
     pick = [F.max(F.when(F.array_contains("__bundles", b.name), F.struct(F.lit(1).alias("there"), F.col(f).alias("v"))))["v"].alias(f) for b in fielded for f in b.fields]
-    return joined.groupBy(F.col("__key").alias(key), "candidates").agg(*pick)
+    return joined.groupBy(F.col("__key").alias(key), F.col("__candidates").alias("candidates")).agg(*pick)

@@ -86,6 +86,7 @@ def test_survivors(spark):
     assert (got[1].record_row, got[1].name_row, got[1].category_row, got[1].shelf_row, got[1].candidates) == (2, 1, 2, 2, 3)
     assert (got[2].record_row, got[2].category_row) == (4, 4) and got[None].record_row == 5 and got[None].candidates == 2
     assert (got[3].category_row, got[3].shelf_row) == (8, 9)  # c9 is trusted more, but contradicts the shelf
+    df = df.withColumn("candidates", F.lit("clash")).withColumn("record_row", F.lit(None).cast("int"))
     built = {r.id: r for r in survivors.built_records(df, "id", "row", BUNDLES, RULES, "score").collect()}
     assert tuple(built[1][c] for c in ("name", "cat", "shelf")) == ("a", "c2", "s2") and built[3].cat == "c1" and built[2].name is None
     assert len(built) == len(got) == 24
