@@ -107,8 +107,10 @@ def dense_key_figures(
     ``measures`` maps a name to ("sum" | "max", column); columns are taken as bigint, sums wrap as bigint does.
     ``blocks`` is the number of array blocks (default: four per shuffle partition); it bounds the keys of one reduce
     task to 1/blocks of the dictionary. The key may have any hashable type. A null key is a key of its own, a key
-    without a non-null value has a null ``<name>`` and ``<name>_n`` 0, and an empty table gives no rows.
+    without a non-null value has a null ``<name>`` and ``<name>_n`` 0, and an empty table gives no rows. Other columns
+    do not matter; a key column named ``n`` makes the row count ``n_rows``.
     """
+    rows_name = "n_rows" if key == "n" else "n"
     spark = df.sparkSession
     ops = [op for op, _ in measures.values()]
     if bad := set(ops) - {"sum", "max"}:
