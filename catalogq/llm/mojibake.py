@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -221,12 +221,18 @@ def restore(text: str) -> tuple[str, int, str]:
     return text, total, ", ".join(dict.fromkeys(how))
 
 
-#: Texts that can not hold a garbled passage have none of these; Java's regular expressions.
-SUSPECT = "[\\x80-\\x9f�Ѐ-ӿͰ-Ͽ─-▟]|[^\\x00-\\x7f؀-ۿ ‌‐-‧][^\\x00-\\x7f؀-ۿ‌]|[ء-ي][^\\x00-\\x7f؀-ۿ‌]|[ -~][أآ][^؀-ۿ ]|Ô|Γ"
+#: Texts that can not hold a garbled passage match none of these (Java's regular expressions): control codes, lost
+#: bytes, letters and signs that only garbling or another alphabet brings; two characters in a row that are neither
+#: ASCII nor Arabic; an Arabic letter before such a one. Ranges, one pattern each: that is several times faster than one pattern.
+SUSPECT = (
+    r"[\u0080-\u009f�Ѐ-ӿͰ-Ͽ─-▟ÔΓ]",
+    r"[¡-׿܀-​‍-‏ -￿][\u0080-׿܀-​‍-￿]",
+    r"[ء-ي][\u0080-׿܀-​‍-￿]",
+)
 
 
 def suspect(c: Column) -> Column:
-    return c.rlike(SUSPECT)
+    return reduce(lambda a, b: a | b, [c.rlike(p) for p in SUSPECT])
 
 
 def garbled_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
