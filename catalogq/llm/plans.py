@@ -30,13 +30,13 @@ def _price_buckets(spark: SparkSession, d: str, slices: list[str]) -> DataFrame:
 def p1_price_percentiles(spark: SparkSession, d: str) -> DataFrame:
     counts = _price_buckets(spark, d, [])
     p = log_sketch.percentiles(counts, CATEGORIES, PERCENTILES, PRICE_ERROR)
-    return p.withColumn("estimate", F.round("estimate", 2))
+    return p.withColumn("estimate", F.round("estimate"))
 
 
 def p1_from_slices(spark: SparkSession, d: str) -> DataFrame:
     counts = log_sketch.combined(_price_buckets(spark, d, ["feed_slice"]), CATEGORIES)
     p = log_sketch.percentiles(counts, CATEGORIES, PERCENTILES, PRICE_ERROR)
-    return p.withColumn("estimate", F.round("estimate", 2))
+    return p.withColumn("estimate", F.round("estimate"))
 
 
 def p1_error_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,7 @@ WITH b AS (
   FROM offers JOIN final_products USING (product_id) WHERE price_raw > 0 GROUP BY ALL),
 r AS (SELECT *, sum(n) OVER (PARTITION BY category1, category2 ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY category1, category2) AS total FROM b),
 q AS (SELECT *, unnest([{_ASKED}]) AS percentile FROM r)
-SELECT category1, category2, percentile, CAST(total AS BIGINT) AS n, round(2 / ({_GAMMA} + 1) * pow({_GAMMA}, bucket), 2) AS estimate
+SELECT category1, category2, percentile, CAST(total AS BIGINT) AS n, round(2 / ({_GAMMA} + 1) * pow({_GAMMA}, bucket)) AS estimate
 FROM q WHERE upto >= greatest(1, ceil(percentile * total)) AND upto - n < greatest(1, ceil(percentile * total))"""
 _P1_EXACT = f"""
 WITH v AS (SELECT category1, category2, price_raw, row_number() OVER (PARTITION BY category1, category2 ORDER BY price_raw) AS k,
