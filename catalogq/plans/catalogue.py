@@ -333,10 +333,10 @@ def _event_sql() -> str:
     c.append(("body", "COM-009", f"{_blank('body')} OR body = 'nan'", "NULL", 0, 0))
     selects = []
     for side, t, rules in (("products", "distinct_products", p), ("offers", "distinct_products", o), ("comments", "distinct_comments", c)):
-        for f, rule, when, detail, fatal, level in rules:
+        for place, (f, rule, when, detail, fatal, level) in enumerate(rules):
             entity = _int("id")
             name = f.strip('"')
-            selects.append(f"SELECT '{side}' AS side, source_row, {entity} AS entity_id, '{name}' AS field, {f} AS raw_value, '{rule}' AS rule_id, {detail} AS detail, {fatal} = 1 AS fatal, {level} = 1 AS row_level FROM {t} WHERE {when}")
+            selects.append(f"SELECT '{side}' AS side, source_row, {entity} AS entity_id, '{name}' AS field, {f} AS raw_value, '{rule}' AS rule_id, {detail} AS detail, {place} AS place, {fatal} = 1 AS fatal, {level} = 1 AS row_level FROM {t} WHERE {when}")
     return "\n  UNION ALL ".join(selects)
 
 
@@ -420,7 +420,7 @@ _PROFILED = ["id", "Rate", "Rate_cnt", "Price", "Brand", "Category1", "Seller",
 
 
 def column_profile(spark: SparkSession, d: str) -> DataFrame:
-    return profile.column_profile(raw_products(spark, d), _PROFILED)
+    return profile.column_profile(raw_products(spark, d), _PROFILED).withColumn("total", F.round("total", 2))
 
 
 def top_values(spark: SparkSession, d: str) -> DataFrame:
@@ -464,7 +464,7 @@ def crosstab_margins(spark: SparkSession, d: str) -> DataFrame:
 
 def describe_price(spark: SparkSession, d: str) -> DataFrame:
     t = profile.described(table(spark, d, "offers").select("price_raw"), "price_raw", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
-    return t.select("n", *[F.round(c, 2).alias(c) for c in ("mean", "deviation", "least", "greatest", "p50", "p95", "p99")])
+    return t.select("n", F.round("deviation").alias("deviation"), *[F.round(c, 2).alias(c) for c in ("mean", "least", "greatest", "p50", "p95", "p99")])
 
 
 def histogram_bins(spark: SparkSession, d: str) -> DataFrame:
@@ -550,6 +550,11 @@ _XNUM = "CASE WHEN regexp_full_match(trim({c}), '[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-
 _UNPIVOTED = "(" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", nullif(CASE WHEN trim("{c}") = '' THEN '' ELSE "{c}" END, '') AS value, source_row FROM raw_products""" for c in dict.fromkeys([*_PROFILED, "sub_category"])) + ")"
 
 
+def _json_sql(t: str, columns: list[str]) -> str:
+    """The raw record as JSON text with sorted keys."""
+    return f"SELECT source_row, CAST(json_object({', '.join(f'{chr(39)}{c}{chr(39)}, {chr(34)}{c}{chr(34)}' for c in sorted(columns))}) AS VARCHAR) AS raw_record_json FROM {t}"
+
+
 def _vary(t: str, key: str, facts: dict[str, list[str]]) -> str:
     inner = ", ".join(f"count(DISTINCT ROW({', '.join(cols)})) AS {n}" for n, cols in facts.items())
     outer = ", ".join(f"count(*) FILTER ({n} > 1) AS {n}" for n in facts)
@@ -584,6 +589,10 @@ ORACLES = {
     "row_audit": f"{_EVENTS} SELECT side AS dataset, source_row, entity_id, field, raw_value, rule_id, detail FROM events WHERE row_level",
     "rule_event_counts": f"{_EVENTS} SELECT r.side, r.rule_id, count(e.rule_id) AS n FROM (VALUES {_ALL_RULES}) r(side, rule_id) LEFT JOIN events e USING (side, rule_id) GROUP BY ALL",
     "aggregate_transformations": f"{_EVENTS} SELECT side, rule_id, field, count(*) AS n FROM events WHERE NOT row_level GROUP BY ALL",
+    "quarantine_rows": f"""{_EVENTS}, q AS (SELECT side, source_row, any_value(entity_id) AS entity_id, array_to_string(list_sort(list_distinct(list(rule_id))), ',') AS rule_ids,
+  string_agg(rule_id || coalesce(': ' || detail, ''), '; ' ORDER BY place) AS reason FROM events WHERE fatal GROUP BY ALL)
+  SELECT side AS dataset, q.source_row, entity_id, rule_ids, reason, raw_record_json FROM q JOIN ({_json_sql('distinct_products', T.PRODUCT_COLUMNS)}) r USING (source_row) WHERE side <> 'comments'
+  UNION ALL SELECT side, q.source_row, entity_id, rule_ids, reason, raw_record_json FROM q JOIN ({_json_sql('distinct_comments', T.COMMENT_COLUMNS)}) r USING (source_row) WHERE side = 'comments'""",
     "quarantine_rule_counts": f"{_EVENTS} SELECT side AS dataset, rule_id, count(DISTINCT source_row) AS n FROM events WHERE fatal GROUP BY ALL",
     "reconciliation": f"{_EVENTS} {_reconciled('products', 'distinct_products')} UNION ALL {_reconciled('offers', 'distinct_products')} UNION ALL {_reconciled('comments', 'distinct_comments')}",
     "price_p999_flag": "WITH t AS (SELECT price_raw AS threshold FROM (SELECT price_raw, row_number() OVER (ORDER BY price_raw) AS k, count(*) OVER () AS n FROM offers WHERE price_raw IS NOT NULL) WHERE k = (999 * n + 999) // 1000) SELECT source_row, price_raw, coalesce(price_raw > (SELECT threshold FROM t), FALSE) AS high_price_review FROM offers",
@@ -592,7 +601,7 @@ ORACLES = {
     "scope_inventory": f"{_INVENTORY} SELECT * FROM inv",
     "scope_invariants": f"{_INVENTORY} SELECT level, scope_category1, scope_category2 FROM inv WHERE commented_products > products",
     "coherent_scopes_topk": f"{_INVENTORY} SELECT scope_category1, scope_category2, products, comments, commented_products, brands FROM inv WHERE level = 2 AND products >= 20 AND comments >= 20 AND coverage_percent >= 10 AND brands >= 2 AND NOT contains(scope_category2, 'متفرقه') AND NOT contains(scope_category2, 'سایر') ORDER BY comments DESC, commented_products DESC, products DESC, scope_category1, scope_category2 LIMIT 20",
-    "column_profile": f"""WITH {CTE_PRODUCTS}, u AS (SELECT *, {_XNUM.format(c='value')} AS x FROM {_UNPIVOTED} WHERE "column" <> 'sub_category') SELECT "column", count(*) FILTER (value IS NULL) AS missing, count(value) AS present, count(x) AS "numeric", count(*) FILTER (value IS NOT NULL AND x IS NULL) AS not_numeric, min(x) AS least, max(x) AS greatest, sum(x) AS total FROM u GROUP BY 1""",
+    "column_profile": f"""WITH {CTE_PRODUCTS}, u AS (SELECT *, {_XNUM.format(c='value')} AS x FROM {_UNPIVOTED} WHERE "column" <> 'sub_category') SELECT "column", count(*) FILTER (value IS NULL) AS missing, count(value) AS present, count(x) AS "numeric", count(*) FILTER (value IS NOT NULL AND x IS NULL) AS not_numeric, min(x) AS least, max(x) AS greatest, round(sum(x), 2) AS total FROM u GROUP BY 1""",
     "top_values": f"""WITH {CTE_PRODUCTS}, n AS (SELECT "column", value, count(*) AS n, min(source_row) AS f FROM {_UNPIVOTED} WHERE value IS NOT NULL AND "column" IN ('Brand', 'Category1', 'Is_Fake') GROUP BY 1, 2) SELECT "column", row_number() OVER (PARTITION BY "column" ORDER BY n DESC, f) AS place, value, n FROM n QUALIFY place <= 20""",
     "value_distribution": f"""WITH {CTE_PRODUCTS}, n AS (SELECT "column", value, count(*) AS n FROM {_UNPIVOTED} WHERE value IS NOT NULL AND "column" IN ('Brand', 'Category1', 'Is_Fake', 'sub_category') GROUP BY 1, 2) SELECT * FROM n QUALIFY count(*) OVER (PARTITION BY "column") <= 100""",
     "missing_summary": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (trim(CAST({c} AS VARCHAR)) = '' OR {c} IS NULL) AS missing FROM comment_candidates" for c in ("title", "body", "rate", "likes", "seller_code")),
@@ -602,7 +611,7 @@ ORACLES = {
     "join_coverage": "WITH n AS (SELECT product_id, count(*) AS n, product_id IN (SELECT product_id FROM final_products) AS known FROM comment_candidates GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n) FILTER (known) AS BIGINT) AS known_rows, count(*) AS keys, count(*) FILTER (known) AS known_keys FROM n",
     "products_of_comments": "SELECT product_id, title_fa FROM final_products WHERE product_id IN (SELECT product_id FROM comment_candidates)",
     "crosstab_margins": "SELECT CAST(rate AS VARCHAR) AS rate, recommendation_status, count(*) AS n, grouping(rate) = 1 AS a_all, grouping(recommendation_status) = 1 AS b_all FROM comment_candidates GROUP BY CUBE (rate, recommendation_status)",
-    "describe_price": "SELECT count(price_raw) AS n, round(avg(CAST(price_raw AS DOUBLE)), 2) AS mean, round(stddev_samp(CAST(price_raw AS DOUBLE)), 2) AS deviation, round(CAST(min(price_raw) AS DOUBLE), 2) AS least, round(CAST(max(price_raw) AS DOUBLE), 2) AS greatest, round(quantile_cont(CAST(price_raw AS DOUBLE), 0.5), 2) AS p50, round(quantile_cont(CAST(price_raw AS DOUBLE), 0.95), 2) AS p95, round(quantile_cont(CAST(price_raw AS DOUBLE), 0.99), 2) AS p99 FROM offers",
+    "describe_price": "SELECT count(price_raw) AS n, round(avg(CAST(price_raw AS DOUBLE)), 2) AS mean, round(stddev_samp(CAST(price_raw AS DOUBLE))) AS deviation, round(CAST(min(price_raw) AS DOUBLE), 2) AS least, round(CAST(max(price_raw) AS DOUBLE), 2) AS greatest, round(quantile_cont(CAST(price_raw AS DOUBLE), 0.5), 2) AS p50, round(quantile_cont(CAST(price_raw AS DOUBLE), 0.95), 2) AS p95, round(quantile_cont(CAST(price_raw AS DOUBLE), 0.99), 2) AS p99 FROM offers",
     "histogram_bins": "SELECT least(CAST(floor(rate / 5.0) AS BIGINT) + 1, 20) AS bin, count(*) AS n FROM product_candidates WHERE rate BETWEEN 0 AND 100 GROUP BY 1",
     "nlargest": "SELECT source_row, product_id, price_raw FROM offers WHERE price_raw IS NOT NULL ORDER BY price_raw DESC, source_row LIMIT 10",
     "value_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
