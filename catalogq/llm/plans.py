@@ -77,7 +77,7 @@ SELECT category1, category2, percentile, price_raw AS exact, TRUE AS within_boun
 # --- p3 -------------------------------------------------------------------------------------------------------------
 
 COMMENT_BUNDLES = [
-    Bundle("record", (), ("completeness", "created_at_gregorian")),
+    Bundle("record", (), ()),  # by trust: completeness, then date
     Bundle("product", ("product_id",), ("completeness", "created_at_gregorian")),
     Bundle("content", ("title", "body"), ("int(title IS NOT NULL) + int(body IS NOT NULL)", "completeness", "created_at_gregorian")),
     Bundle("created", ("created_at_raw", "created_at_jalali", "created_at_gregorian"), ("created_at_gregorian", "completeness")),
@@ -91,16 +91,18 @@ COMMENT_BUNDLES = [
     Bundle("fit", ("true_to_size_rate",), ("int(true_to_size_rate IS NOT NULL)", "created_at_gregorian", "completeness")),
 ]
 COMMENT_RULES = [Rule("seller_code", "seller_title")]
-COMMENT_TRUST = "completeness * 100000 + coalesce(unix_date(created_at_gregorian), 0)"
+#: Digits of a date in trust: days from 1970, moved so that all dates of the calendar are positive; null is the lowest.
+COMMENT_TRUST = "completeness * 10000000 + coalesce(unix_date(created_at_gregorian) + 1000000, 0)"
 PRODUCT_BUNDLES = [
-    Bundle("record", (), ("rate_count", "completeness")),
+    Bundle("record", (), ()),  # by trust: rate_count, then completeness
     Bundle("naming", ("title_fa", "brand"), ("int(title_fa IS NOT NULL) + int(brand IS NOT NULL)", "rate_count", "completeness")),
     Bundle("rating", ("rate", "rate_count", "is_unrated", "inconsistent_zero_rate"), ("rate_count", "int(rate IS NOT NULL)", "completeness")),
     Bundle("category", ("category1", "category2"), ()),
     Bundle("shelf", ("sub_category",), ()),
 ]
 PRODUCT_RULES = [Rule("sub_category", "category1")]
-PRODUCT_TRUST = "least(coalesce(rate_count, -1) + 1, 1000000000) * 100 + completeness"
+#: Counts above a million million are trusted alike.
+PRODUCT_TRUST = "least(coalesce(rate_count, -1) + 1, 1000000000000) * 100 + completeness"
 
 _ENTITIES = {
     "comment": ("comment_candidates", "comment_id", COMMENT_BUNDLES, COMMENT_RULES, COMMENT_TRUST),

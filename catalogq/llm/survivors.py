@@ -25,7 +25,8 @@ from catalogq.operators.keyed import attach_keyed
 class Bundle:
     """``fields`` taken together; ``order`` (SQL expressions, more is better) ranks candidates lexicographically.
 
-    Ties go to the smallest row. A null in ``order`` is the lowest value.
+    Ties go to the smallest row. A null in ``order`` is the lowest value. Without ``order`` the bundle is ranked by trust and takes
+    part in the search; without ``fields`` it stands for the whole record.
     """
 
     name: str
@@ -77,23 +78,26 @@ def search(bundles: list[list[tuple[int, int, list, list]]]) -> list[int]:
 
 
 def demanded(df: DataFrame, rule: Rule) -> DataFrame:
-    """``x``, ``demand``, ``seen``: per determinant value the dependent value it occurs with most often (ties: the greatest)."""
-    pairs = df.select(F.col(rule.determinant).cast("string").alias("x"), F.col(rule.dependent).cast("string").alias("y")).dropna()
+    """``x``, ``demand``, ``seen``: per determinant value the dependent value it occurs with most often (ties: the greatest).
+
+    A determinant that occurs with nothing but nulls demands nothing (null).
+    """
+    pairs = df.select(F.col(rule.determinant).cast("string").alias("x"), F.col(rule.dependent).cast("string").alias("y")).where("x IS NOT NULL")
     counted = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("x").agg(F.max(F.struct("n", "y"))["y"].alias("demand"), F.sum("n").alias("seen"))
+    return counted.groupBy("x").agg(F.max(F.when(F.col("y").isNotNull(), F.struct("n", "y")))["y"].alias("demand"), F.sum("n").alias("seen"))
 
 
 def surviving_rows(df: DataFrame, key: str, row: str, bundles: list[Bundle], rules: list[Rule], trust: str) -> DataFrame:
     """Per key: ``candidates`` (its rows) and, per bundle, ``<bundle>_row``, the row the bundle is taken from.
 
-    ``trust`` is a SQL expression of a non-negative bigint below 2**47 that is added up over the
-    bundles that rules bind; filled fields of the bundle count before it. Bundles without rules have no need of a search:
-    their best candidate is found by aggregation before the shuffle, as are the best per signature of bound bundles,
-    so a key that owns a third of all rows is never gathered. Exact repeats are candidates like others; a null key is a
+    ``trust`` is a SQL expression of a non-negative bigint below 2**47 that is added up over the searched
+    bundles, those without ``order`` and those that rules bind; filled fields of the bundle count before it. Other bundles
+    need no search: their best candidate is found by aggregation before the shuffle, as are the best per
+    signature of searched ones, so a key that owns a third of all rows is never gathered. Exact repeats are candidates like others; a null key is a
     key of its own; a key with one row gives that row for every bundle; an empty table gives none.
     """
     where = {f: b.name for b in bundles for f in b.fields}
-    bound_names = {where[x] for r in rules for x in (r.determinant, r.dependent)}
+    bound_names = {where[x] for r in rules for x in (r.determinant, r.dependent)} | {b.name for b in bundles if not b.order}
     free, bound = [b for b in bundles if b.name not in bound_names], [b for b in bundles if b.name in bound_names]
     out = df.groupBy(key).agg(F.count(F.lit(1)).alias("candidates"), *[F.max(_best(b.order, row)).alias(b.name) for b in free])
     out = out.select(key, "candidates", *[(-F.col(f"{b.name}.minus_row")).alias(f"{b.name}_row") for b in free])
@@ -105,7 +109,7 @@ def surviving_rows(df: DataFrame, key: str, row: str, bundles: list[Bundle], rul
     for i, b in enumerate(bound):
         det = [r for r in rules if r.determinant in b.fields]
         linked = sorted({*(r.determinant for r in det), *(r.dependent for r in rules if r.dependent in b.fields)})
-        filled = reduce(lambda a, c: a + c, [F.col(f).isNotNull().cast("bigint") for f in b.fields])
+        filled = reduce(lambda a, c: a + c, [F.col(f).isNotNull().cast("bigint") for f in b.fields], F.lit(0).cast("bigint"))
         score = filled * F.lit(1 << 47) + F.expr(trust).cast("bigint")
         c = df.select(F.col(key).alias("key"), *[F.col(f).cast("string").alias(f"link_{f}") for f in linked], F.struct(score.alias("trust"), (-F.col(row)).alias("minus_row")).alias("best"))
         c = c.groupBy("key", *[f"link_{f}" for f in linked]).agg(F.max("best").alias("best"))
@@ -120,8 +124,8 @@ def surviving_rows(df: DataFrame, key: str, row: str, bundles: list[Bundle], rul
         c = c.select(
             "key",
             F.lit(i).alias("bundle"),
-            F.array(*[F.col(f"demand_{r.determinant}_{r.dependent}") for r in rules]).alias("demand"),
-            F.array(*[F.col(f"link_{r.dependent}") if r.dependent in b.fields else none for r in rules]).alias("value"),
+            F.array(*[F.col(f"demand_{r.determinant}_{r.dependent}") for r in rules]).cast("array<string>").alias("demand"),
+            F.array(*[F.col(f"link_{r.dependent}") if r.dependent in b.fields else none for r in rules]).cast("array<string>").alias("value"),
             "best",
         )
         parts.append(c.groupBy("key", "bundle", "demand", "value").agg(F.max("best").alias("best")))
@@ -142,8 +146,8 @@ def surviving_rows(df: DataFrame, key: str, row: str, bundles: list[Bundle], rul
         return pd.Series(out)
 
     # one candidate per bundle leaves nothing to search
-    only = F.array(*[-F.get(F.filter("c", lambda x, i=i: x["bundle"] == i), F.lit(0))["best"]["minus_row"] for i in range(n)])
-    rows = F.coalesce(searched(F.when(F.size("c") > n, F.col("c"))), only)
+    in_order = F.transform(F.array_sort(F.transform("c", lambda x: F.struct(x["bundle"], x["best"]["minus_row"].alias("minus_row")))), lambda x: -x["minus_row"])
+    rows = F.coalesce(searched(F.when(F.size("c") > n, F.col("c"))), in_order)
     picked = lists.select(F.col("key").alias("__key"), rows.alias("__rows"))
     picked = picked.select("__key", *[F.get("__rows", F.lit(i)).alias(f"{b.name}_row") for i, b in enumerate(bound)])
     return out.join(picked, out[key].eqNullSafe(picked["__key"]), "inner").drop("__key")

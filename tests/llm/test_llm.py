@@ -73,13 +73,14 @@ def test_branch_and_bound_is_optimal(a, b, c):
     assert cost([next(x for x in b if x[1] == r) for b, r in zip(bundles, rows)]) == best
 
 
-BUNDLES = [Bundle("record", (), ("score", "day")), Bundle("name", ("name",), ("int(name IS NOT NULL)", "score")), Bundle("category", ("cat",), ()), Bundle("shelf", ("shelf",), ())]
+BUNDLES = [Bundle("record", (), ()), Bundle("name", ("name",), ("int(name IS NOT NULL)", "score")), Bundle("category", ("cat",), ()), Bundle("shelf", ("shelf",), ())]
 RULES = [Rule("shelf", "cat")]
 
 
 def test_survivors(spark):
     rows = [(1, 1, "a", "c1", "s1", 5, 1), (1, 2, None, "c2", "s2", 9, 1), (1, 3, None, "c2", None, 9, 1), (2, 4, None, None, None, 0, None), (None, 5, "x", "c1", "s1", 1, 1), (None, 6, "y", "c1", "s1", 1, 1)]
     rows += [(3, 7, "n", "c9", None, 8, 1), (3, 8, None, "c1", None, 1, 1), (3, 9, None, None, "s1", 2, 1)]  # s1 demands c1
+    rows += [(4, 20, None, None, "alone", 3, 1), (4, 21, None, "c5", None, 2, 1)]  # a shelf that never has a category
     rows += [(100 + i, 1000 + i, "n", "c1", "s1", 1, 1) for i in range(20)]
     df = spark.createDataFrame(rows, "id int, row bigint, name string, cat string, shelf string, score bigint, day int")
     got = {r.id: r for r in survivors.surviving_rows(df, "id", "row", BUNDLES, RULES, "score").collect()}
@@ -89,7 +90,8 @@ def test_survivors(spark):
     df = df.withColumn("candidates", F.lit("clash")).withColumn("record_row", F.lit(None).cast("int"))
     built = {r.id: r for r in survivors.built_records(df, "id", "row", BUNDLES, RULES, "score").collect()}
     assert tuple(built[1][c] for c in ("name", "cat", "shelf")) == ("a", "c2", "s2") and built[3].cat == "c1" and built[2].name is None
-    assert len(built) == len(got) == 24
+    assert (got[4].record_row, got[4].category_row, got[4].shelf_row) == (20, 21, 20)
+    assert len(built) == len(got) == 25 and all(v is not None for r in got.values() for c, v in r.asDict().items() if c != "id")
     assert survivors.surviving_rows(df.where("false"), "id", "row", BUNDLES, RULES, "score").count() == 0
 
 
@@ -305,3 +307,27 @@ def test_garbled_documents(spark):
     assert sorted(r.doc_id for r in got) == [2, 2, 5, 6]
     assert {r.doc_id: r.restored for r in got}[6].endswith(PERSIAN) and {r.doc_id: r.how for r in got}[5] == "lost"
     assert mojibake.garbled_documents(df.where("false")).count() == 0
+
+
+def test_survivors_match_brute_force(spark):
+    rng = random.Random(5)
+    pick = lambda xs: rng.choice(xs)
+    rows = [(rng.randrange(70), i, pick(["n", None]), pick(["c1", "c2", "c3", None]), pick(["s1", "s2", "s3", None]), rng.randrange(6), rng.randrange(3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, row bigint, name string, cat string, shelf string, score bigint, day int").repartition(6)
+    demand = {}
+    for s in ("s1", "s2", "s3"):
+        n = Counter(r[3] for r in rows if r[4] == s and r[3] is not None)
+        demand[s] = max(n, key=lambda c: (n[c], c))
+    got = {r.id: r for r in survivors.surviving_rows(df, "id", "row", BUNDLES, RULES, "score").collect()}
+    assert len(got) == len({r[0] for r in rows})
+    for key, r in got.items():
+        mine = [x for x in rows if x[0] == key]
+        by = {x[1]: x for x in mine}
+        assert r.candidates == len(mine) and r.record_row == min(mine, key=lambda x: (-x[5], x[1]))[1]
+        assert r.name_row == min(mine, key=lambda x: (-(x[2] is not None), -x[5], x[1]))[1]
+
+        def cost(cat, shelf):
+            bad = shelf[4] is not None and cat[3] is not None and demand[shelf[4]] != cat[3]
+            return (bad, -((cat[3] is not None) + (shelf[4] is not None)), -(cat[5] + shelf[5]))
+
+        assert cost(by[r.category_row], by[r.shelf_row]) == min(cost(a, b) for a in mine for b in mine)
