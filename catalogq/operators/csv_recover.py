@@ -62,8 +62,7 @@ def _field(text: str, at: int) -> tuple[str, int, int | None]:
     return value, end, error
 
 
-def parse_record(text: str, start: int, columns: int, whole: bool = False) -> Record:
-    """The record that begins at ``start``. With ``whole`` the text holds one record only."""
+def _record(text: str, start: int, columns: int) -> Record:
     fields, at = [], start
     while True:
         value, at, error = _field(text, at)
@@ -74,18 +73,27 @@ def parse_record(text: str, start: int, columns: int, whole: bool = False) -> Re
             at += 1
             continue
         break
-    rest = text[at:]
-    if whole and rest.strip("\r\n"):
-        # a line break outside quotes ends the record; what follows does not belong to one
-        tail = parse_record(text, _NEWLINE.match(text, at).end(), columns, True)
-        if tail.kind == "quoting":
-            return Record(start, tail.end, fields, "quoting", tail.error_at, len(fields))
-        return Record(start, at, fields, "columns", at, len(fields))
     if len(fields) != columns:
         return Record(start, at, fields, "columns", at, len(fields))
     return Record(start, at, fields)
 
 
+def parse_record(text: str, start: int, columns: int, whole: bool = False) -> Record:
+    """The record that begins at ``start``. With ``whole`` the text holds one record only."""
+    first = _record(text, start, columns)
+    if not whole or first.kind == "quoting" or not text[first.end :].strip("\r\n"):
+        return first
+    # a line break outside quotes ended the record; what follows belongs to none, but may break the quoting
+    at = _NEWLINE.match(text, first.end).end()
+    while at < len(text):
+        r = _record(text, at, columns)
+        if r.kind == "quoting":
+            return Record(start, r.end, first.fields, "quoting", r.error_at, len(first.fields))
+        m = _NEWLINE.match(text, r.end)
+        at = m.end() if m else len(text)
+    return Record(start, first.end, first.fields, "columns", first.end, len(first.fields))
+
+
 def _anchor(text: str, after: int, columns: int) -> int | None:
     """The next validated record start behind ``after``."""
     for m in _NEWLINE.finditer(text, after):

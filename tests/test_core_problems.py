@@ -80,6 +80,7 @@ def test_record_grammar():
     assert kind("1,a,b") is None and kind("1,a,b\n") is None and kind('"","",""') is None
     assert kind('1,a"b,c') == kind('1,"a"b,c') == kind('1,"a,c') == kind('1, "a",c') == kind('1,"a" ,c') == "quoting"
     assert kind("1,a") == kind("1,a,b,c") == kind("") == kind("1,a\n,b") == "columns"
+    assert kind("1,a,b\n" * 5000) == "columns" and kind("1,a,b\n" * 5000 + '"') == "quoting"
 
 
 @given(st.lists(st.text(alphabet='ab,"\n س', max_size=6), min_size=2, max_size=5))
