@@ -117,8 +117,9 @@ def surviving_rows(df: DataFrame, key: str, row: str, bundles: list[Bundle], rul
             name = f"demand_{r.determinant}_{r.dependent}"
             if r in det:
                 x = f"link_{r.determinant}"
-                told = attach_keyed(c.where(F.col(x).isNotNull()), d.select(F.col("x").alias(x), F.col("demand").alias(name), "seen"), [x], "seen").drop("seen")
-                c = told.unionByName(c.where(F.col(x).isNull()).withColumn(name, none))
+                nothing = df.sparkSession.range(1).select(none.alias("x"), none.alias("demand"), F.lit(1 << 62).alias("seen"))  # null demands nothing
+                d = d.unionByName(nothing).select(F.col("x").alias(x), F.col("demand").alias(name), "seen")
+                c = attach_keyed(c, d, [x], "seen").drop("seen")
             else:
                 c = c.withColumn(name, none)
         c = c.select(
