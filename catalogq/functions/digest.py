@@ -39,6 +39,15 @@ def text_fingerprint(columns: list[Column]) -> Column:
     return digest([(c, "V") for c in columns])
 
 
+def exact_digest(columns: list[Column]) -> Column:
+    """SHA-256 over text columns: ``S`` or for null ``N``, eight bytes of length, the content; null has length 0."""
+    parts = []
+    for c in columns:
+        b = F.coalesce(_utf8(c), F.encode(F.lit(""), "UTF-8"))
+        parts += [F.encode(F.when(c.isNull(), "N").otherwise("S"), "UTF-8"), _length(b), b]
+    return F.sha2(F.concat(*parts), 256)
+
+
 def float_text(c: Column) -> Column:
     """Text of a double as shortest round trip, in plain notation from 1e-4 on as other languages write it."""
     short = F.regexp_replace(F.regexp_replace(F.substring_index(c.cast("string"), "E", 1), r"\.", ""), "0+$", "")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogq.functions import jalali
+from catalogq.functions import digest, jalali
 from catalogq.functions.num import integer, rate, with_digits
 from catalogq.functions.text import clean_text, is_blank, strict_boolean
 from catalogq.operators.evidence import Rule, with_events
@@ -178,8 +178,13 @@ def comment_rows(raw: DataFrame) -> DataFrame:
     )
 
 
+def comment_digest() -> Column:
+    """Digest of a comment's mapped values: its raw texts without the id, null where blank or a sentinel."""
+    return digest.exact_digest([clean_text(F.col(c), "nan" if c in SENTINEL_RULES else None) for c in COMMENT_COLUMNS[1:]])
+
+
 def comment_candidates(raw: DataFrame) -> DataFrame:
-    """Accepted comment rows; ``rate_text`` tells 3.5 from 3.50, which are different contents."""
+    """Accepted comment rows; ``rate_text`` tells 3.5 from 3.50, which are different contents; ``canonical_digest`` breaks ties."""
     rows = comment_rows(raw).where("NOT fatal")
     text: Column = F.when(F.col("c_rate").isNotNull(), F.trim(F.col("rate")))
-    return rows.select("source_row", text.alias("rate_text"), *[F.col(c).alias(c[2:]) for c in rows.columns if c.startswith("c_")])
+    return rows.select("source_row", text.alias("rate_text"), comment_digest().alias("canonical_digest"), *[F.col(c).alias(c[2:]) for c in rows.columns if c.startswith("c_")])

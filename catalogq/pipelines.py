@@ -120,8 +120,7 @@ def clean_comments(spark: SparkSession, source: str, products: str, target: str,
         inject("after_ingest")
         counts = _counts(typed)
         text = F.when(F.col("c_rate").isNotNull(), F.trim("rate")).alias("rate_text")
-        accepted = typed.where("NOT fatal").select("source_row", text, *[F.col(c).alias(c[2:]) for c in typed.columns if c.startswith("c_")]).withColumn("completeness", C.completeness(COMMENT_PARTS))
-        accepted = accepted.withColumn("canonical_digest", G.text_fingerprint([F.col(c).cast("string") for c in T.COMMENT_CONTENT if c != "rate"] + [F.col("rate_text")]))
+        accepted = typed.where("NOT fatal").select("source_row", text, T.comment_digest().alias("canonical_digest"), *[F.col(c).alias(c[2:]) for c in typed.columns if c.startswith("c_")]).withColumn("completeness", C.completeness(COMMENT_PARTS))
         content = [c if c != "rate" else "rate_text" for c in T.COMMENT_CONTENT]
         rank = [C.descending(F.col("completeness")), F.col("canonical_digest"), F.col("source_row")]
         won = cut(C.canonical(accepted, "comment_id", content, rank))

@@ -120,7 +120,7 @@ def offer_transform(spark: SparkSession, d: str) -> DataFrame:
 
 
 def comment_transform(spark: SparkSession, d: str) -> DataFrame:
-    return T.comment_candidates(raw_comments(spark, d)).withColumn("rate", F.col("rate").cast("double"))
+    return T.comment_candidates(raw_comments(spark, d)).drop("canonical_digest").withColumn("rate", F.col("rate").cast("double"))
 
 
 # --- duplicates and fingerprints -------------------------------------------------------------------------------------
@@ -216,7 +216,7 @@ def _comments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _comment_rank():
-    return [C.descending(F.col("completeness")), F.col("source_row")]
+    return [C.descending(F.col("completeness")), F.col("canonical_digest"), F.col("source_row")]
 
 
 def canonical_comments(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators of the catalogue engine on small fixtures, and the four runs end to end."""
 
 import csv
+import hashlib
 import json
 import os
 from fractions import Fraction
@@ -12,6 +13,7 @@ from catalogq import pipelines, schemas
 from catalogq.cli import main
 from catalogq.operators import canonical, dedup, profile, quantile, scopes
 from catalogq.operators import transforms as T
+from catalogq.plans import catalogue
 from catalogq.sources import exact_csv, publish, sniff
 
 PRODUCT = dict(zip(T.PRODUCT_COLUMNS, ["1", "محصول یک", "80", "10", "دسته یک", "دسته دو", "برند", "100", "فروشنده یک", "False", "90", "test"]))
@@ -200,3 +202,28 @@ def test_samples_and_named_scopes(spark):
     assert scopes.unmet(inv, {"x": "q", "y": None}, {"products": 3}) == {"products": (3, None)}
     forms = profile.lexical_classes(spark.createDataFrame([("1",), ("1.5",), ("",), (None,), ("-2",), ("bad",), ("1 x",)], "c string"), "c")
     assert {r.form: r.n for r in forms.collect()} == {"integer": 1, "decimal": 1, "blank": 2, "signed": 1, "letters": 1, "other": 1}
+
+
+def test_ties_of_comments_fall_to_the_digest(spark, monkeypatch):
+    def digest(r):
+        out = b""
+        for c in T.COMMENT_COLUMNS[1:]:
+            blank = r[c].strip() == "" or r[c] == "nan" and c in T.SENTINEL_RULES
+            b = b"" if blank else r[c].encode()
+            out += (b"N" if blank else b"S") + len(b).to_bytes(8, "big") + b
+        return hashlib.sha256(out).hexdigest()
+
+    # ids 1 to 12 have two contents of one completeness each, ids 21 to 32 one content with two spellings of a rate
+    rows = [COMMENT | {"id": str(i), "body": f"{t}{i}"} for i in range(1, 13) for t in "ab"] + [COMMENT | {"id": str(i), "body": f"c{i}", "rate": t} for i in range(21, 33) for t in ("3.5", " 3.5 ")]
+    rows += [COMMENT | {"id": "40", "title": " "}, COMMENT | {"id": "40", "title": "nan"}]
+    want, plain = {}, {}
+    for n, r in enumerate(rows, 2):
+        want[int(r["id"])] = min(want.get(int(r["id"]), ("~",)), (digest(r), n))
+        plain.setdefault(int(r["id"]), n)
+    want = {k: n for k, (_, n) in want.items()}
+    assert {k for k in want if want[k] != plain[k]} & set(range(1, 13)) and {k for k in want if want[k] != plain[k]} & set(range(21, 33)) and want[40] == plain[40]
+
+    raw = spark.createDataFrame([(n, *[r[c] for c in T.COMMENT_COLUMNS]) for n, r in enumerate(rows, 2)], "source_row bigint, " + ", ".join(f"{c} string" for c in T.COMMENT_COLUMNS))
+    monkeypatch.setattr(catalogue, "raw_comments", lambda spark, d: raw)
+    assert {r.comment_id: r.canonical_source_row for r in catalogue.canonical_comments(spark, "").collect()} == want
+    assert {r.comment_id: r.canonical_row for r in catalogue.comment_conflicts(spark, "").collect()} == {k: want[k] for k in range(1, 13)}
