@@ -223,11 +223,14 @@ def restore(text: str) -> tuple[str, int, str]:
 
 #: Texts that can not hold a garbled passage match none of these (Java's regular expressions): control codes, lost
 #: bytes, letters and signs that only garbling or another alphabet brings; two characters in a row that are neither
-#: ASCII nor Arabic; an Arabic letter before such a one. Ranges, one pattern each: that is several times faster than one pattern.
+#: ASCII nor Arabic; an Arabic letter before such a one, or before one that _ODD has. Ranges, one pattern each: that is
+#: several times faster than one pattern. Quotes and dashes of the mac view before a lone letter are left out on purpose:
+#: there sound text looks the same.
 SUSPECT = (
     r"[\u0080-\u009f�Ѐ-ӿͰ-Ͽ─-▟ÔΓ]",
     r"[¡-׿܀-​‍-‏ -￿][\u0080-׿܀-​‍-￿]",
     r"[ء-ي][\u0080-׿܀-​‍-￿]",
+    r"[\u0621-\u064a][\u0679\u0688\u0691\u06ba\u06be]",
 )
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 from datetime import datetime
 from itertools import product
@@ -299,6 +300,28 @@ def test_sound_text_is_no_case(text):
     assert mojibake.restore(text) == (text, 0, "")
 
 
+def test_prefilter_keeps_what_restore_changes():
+    patterns = [re.compile(p) for p in mojibake.SUSPECT]
+    dropped = set()
+    for view in mojibake.VIEWS:
+        back = {}
+        for c, b in mojibake.to_byte(view).items():
+            back.setdefault(b, c)
+        for code in [*range(0xA0, 0x250), *range(0x370, 0x500), *range(0x621, 0x6D4), *range(0x1E00, 0x1F00), *range(0x2010, 0x2028), 0x20AC, 0x1F600]:
+            if all(b in back for b in chr(code).encode()):
+                garbled = "".join(back[b] for b in chr(code).encode())
+                for text in (f"one {garbled} two", f"one{garbled}two", f"one{garbled} two", f"one {garbled}two"):
+                    if not any(p.search(text) for p in patterns) and mojibake.restore(text)[1]:
+                        dropped.add((view, garbled[0]))
+    assert dropped <= {("mac", c) for c in "…\xa0–—“”‘’"}  # a quote or dash before one letter, as in sound text
+
+
+def test_prefilter_in_the_jvm(spark):
+    texts = ["Produto excelente, você pode comprar sem medo.", "La fenêtre et la tête", "même", "Êtes-vous prêt ?"]
+    df = spark.createDataFrame(list(enumerate(lossless(t, "cp1256") for t in texts)), "doc_id int, text string")
+    assert {r.doc_id: r.restored for r in mojibake.garbled_documents(df).collect()} == dict(enumerate(texts))
+
+
 def test_garbled_documents(spark):
     bad = lossless(PERSIAN, "cp1252")
     rows = [(1, PERSIAN), (2, bad), (2, bad), (3, None), (4, ""), (5, "lost � here"), (6, "سلام " * 50_000 + bad), (7, FRENCH)]
