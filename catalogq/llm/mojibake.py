@@ -25,8 +25,6 @@ VIEWS = {"latin": ("cp1252", "latin-1"), "cyrillic": ("cp1251",), "arabic": ("cp
 SINGLE_VIEWS = ("latin", "cyrillic", "dos", "dos2", "mac", "greek", "central", "turkish")
 #: Views whose letters are ordinary ones in Persian text.
 ARABIC_VIEWS = ("arabic", "iso_arabic", "dos_arabic")
-#: Passes over a text: so many times over may it have been garbled.
-PASSES = 4
 PERSIAN_BYTES = "cp1256"
 LOST = "�"
 
@@ -111,11 +109,15 @@ _ODD = re.compile("[ء-ي][\x80-\x9f€‚ƒ„†‡ˆ‰ŒٹڈڑںھŠ‘’
 _TOKEN = re.compile(r"[^ \t\n\r]+")
 
 
-def _from_utf8(text: str, view: str) -> tuple[int, str, int]:
-    """Characters explained by a view, the text with its garbled spans decoded, and their number."""
+def _from_utf8(text: str, view: str, whole: bool = False) -> tuple[int, str, int]:
+    """Characters explained by a view, the text with its garbled spans decoded, and their number.
+
+    With ``whole`` a span has to fill its run of characters of the view: for texts that hold single-byte passages too, whose
+    letters may follow each other as those of a span do.
+    """
     if not opening(view).search(text) or (view in ARABIC_VIEWS and not _ODD.search(text)):
         return 0, text, 0
-    pattern = automaton(view)
+    pattern, table = automaton(view), to_byte(view)
     count = used = 0
     if view in ARABIC_VIEWS:  # the letters are ordinary ones here: whole tokens have to fit
         tokens = list(_TOKEN.finditer(text))
@@ -136,7 +138,7 @@ def _from_utf8(text: str, view: str) -> tuple[int, str, int]:
     def one(m: re.Match) -> str:
         nonlocal count, used
         plain = decoded(m.group(), view)
-        if not _believable(text, m, plain, view):
+        if not _believable(text, m, plain, view) or whole and any(c in table for c in text[max(m.start() - 1, 0) : m.start()] + text[m.end() : m.end() + 1]):
             return m.group()
         count, used = count + 1, used + len(m.group())
         return plain
@@ -160,6 +162,7 @@ def _persian_letters(view: str) -> tuple[re.Pattern, dict[int, str]]:
     return re.compile(f"(?<![^\\W\\d_])[{''.join(map(re.escape, letters))}]{{2,}}(?![^\\W\\d_])"), table
 
 
+_FOREIGN = re.compile("[^\x00-\x7f\u0600-\u06ff]")
 _ONE_CASE = re.compile(r"\w[a-zß-öø-ÿа-џα-ώ]*|[A-ZÀ-ÖØ-ÞЀ-ЯΑ-Ω]+")
 
 
@@ -199,22 +202,35 @@ def _from_persian(text: str, view: str) -> tuple[int, str, int]:
     return sum(len(m.group()) for m in found), "".join([*out, text[at:]]), count
 
 
+def _size(text: str) -> tuple[int, int]:
+    """Length and number of characters that are neither ASCII nor Arabic; every pass lessens it, so passes end."""
+    return len(text), len(_FOREIGN.findall(text))
+
+
 def restore(text: str) -> tuple[str, int, str]:
     """The text with its garbled passages decoded, their number, and the views that did it ("lost" for lost bytes)."""
-    total, how = 0, []
-    for _ in range(PASSES):
-        # what was garbled again was so through the same encoding or the usual one
-        views = list(VIEWS) if not how else list(dict.fromkeys([*how, "latin"]))
-        tried = [(*_from_utf8(text, v), v, False) for v in views]
-        if not how:
-            tried += [(*_from_persian(text, v), v, True) for v in SINGLE_VIEWS]
-        _, got, n, view, single = max(tried, key=lambda t: t[0])  # the view that explains most; the first of equal ones
+    total, how, used, beside = 0, [], [], False
+
+    def best(views: list[str], single_views: tuple[str, ...]) -> tuple[int, str, int, str, bool]:
+        left = _size(text)
+        tried = [(*_from_utf8(text, v, beside), v, False) for v in views] + [(*_from_persian(text, v), v, True) for v in single_views]
+        tried = [t for t in tried if not t[4] or _size(t[1]) < left]
+        return max(tried, key=lambda t: t[0], default=(0, text, 0, "", False))  # explains most; the first of equal ones
+
+    while True:
+        # what was garbled again was so through the same encoding or the usual one; then other passages through any other
+        found = best(list(dict.fromkeys([*used, "latin"])), SINGLE_VIEWS) if how else (0, text, 0, "", False)
+        if not found[2]:
+            found = best(list(VIEWS), SINGLE_VIEWS)
+        _, got, n, view, single = found
         if not n:
             break
         text, total = got, total + n
         how.append(f"persian as {view}" if single else view)
         if single:
-            break
+            beside = True
+        else:
+            used.append(view)
     if lost := sum(LOST in run for run in re.findall(f"[?{LOST}]+", text)) if LOST in text else 0:
         total += lost
         how.append("lost")

@@ -300,6 +300,28 @@ def test_sound_text_is_no_case(text):
     assert mojibake.restore(text) == (text, 0, "")
 
 
+SINGLE = "".join(bytes([b]).decode("cp1252") if _known(b, "cp1252") else chr(b) for b in PERSIAN.replace("ی", "ي").encode("cp1256"))
+
+
+@pytest.mark.parametrize(
+    "garbled, sound",
+    [
+        (f"{lossless(PERSIAN, 'cp1251')}\n{lossless(PERSIAN, 'cp437')}", f"{PERSIAN}\n{PERSIAN}"),
+        (f"{lossless(PERSIAN, 'cp1251')}\n{lossless(FRENCH, 'mac_roman')}", f"{PERSIAN}\n{FRENCH}"),
+        (f"{lossless(PERSIAN, 'cp437')}\n{SINGLE}", f"{PERSIAN}\n{PERSIAN}"),
+        (lossless(PERSIAN, *["cp1252"] * 6), PERSIAN),
+    ],
+)
+def test_all_passages_come_back(garbled, sound):
+    got, n, _ = mojibake.restore(garbled)
+    assert got == sound and n > 1 and mojibake.restore(sound) == (sound, 0, "")
+
+
+def test_letters_beside_a_single_byte_passage_are_no_utf8():
+    got = mojibake.restore(lossless(PERSIAN, "cp437") + "\n" + SINGLE + "\nббКГЯПЎ text")[0]
+    assert got.startswith(f"{PERSIAN}\n{PERSIAN}\n") and "Ѻ" not in got and "ϡ" not in got
+
+
 def test_prefilter_keeps_what_restore_changes():
     patterns = [re.compile(p) for p in mojibake.SUSPECT]
     dropped = set()
