@@ -11,7 +11,7 @@ from catalogq.functions.text import is_blank, stripped
 
 #: A finite decimal number: sign, whole digits, fraction digits (either may be empty, not both), exponent.
 NUMBER = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
-#: Powers of ten beyond which a bigint is overflown or a fraction is lost anyway.
+#: Powers of ten, beyond as many as a text has digits, at which a bigint is overflown or nothing is left before the point.
 FAR = 60
 
 
@@ -46,13 +46,14 @@ def _taken_apart(t: Column) -> Column:
     low = F.lower(t)  # the only letter of a number is its e
     mantissa = F.ltrim(F.substring_index(low, "e", 1), F.lit("+-"))
     exponent = F.when(low.contains("e"), F.substring_index(low, "e", -1)).otherwise("0")
-    power = F.coalesce(exponent.try_cast("int"), F.when(exponent.startswith("-"), -FAR).otherwise(FAR))
+    far = F.length(mantissa) + FAR
+    power = F.coalesce(exponent.try_cast("int"), F.when(exponent.startswith("-"), -far).otherwise(far))
     fraction = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
     return F.struct(
         F.coalesce(t.rlike(NUMBER), F.lit(False)).alias("valid"),
         t.startswith("-").alias("negative"),
         F.concat(F.substring_index(mantissa, ".", 1), fraction).alias("digits"),
-        (F.greatest(F.lit(-FAR), F.least(F.lit(FAR), power)) - F.length(fraction)).alias("shift"),
+        (F.greatest(-far, F.least(far, power)) - F.length(fraction)).alias("shift"),
     )
 
 

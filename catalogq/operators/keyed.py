@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys that travel by broadcast. A bound on rows sent, not on keys handled: the others take the shuffled way.
-#: A key outside the HOT_KEYS most frequent ones owns less than 1/HOT_KEYS of all rows.
-HOT_KEYS = 256
+#: Keys that travel by broadcast, per shuffle partition. A bound on rows sent, not on keys handled: the others take the
+#: shuffled way. With 2 a partition, a key outside them owns less than half of a partition's even share of the rows.
+HOT_KEYS_A_PARTITION = 2
 
 
 def _same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
@@ -22,17 +22,19 @@ def attach_keyed(
     keys: list[str],
     weight: str,
     keep: Column | None = None,
-    hot_keys: int = HOT_KEYS,
+    hot_keys: int | None = None,
 ) -> DataFrame:
     """Inner join of ``rows`` with ``keyed``, one row per key, where a key may own a third of all rows.
 
-    The ``hot_keys`` heaviest keys by ``weight`` (rows per key) are broadcast, so their rows stay where they
-    are; all other rows are shuffled by key, and none of those keys owns more than 1/hot_keys of the rows.
+    The ``hot_keys`` heaviest keys by ``weight`` (rows per key; default: HOT_KEYS_A_PARTITION per shuffle partition) are
+    broadcast, so their rows stay where they are; all other rows are shuffled by key, and none of those keys owns more
+    than 1/hot_keys of the rows, half of what a shuffle partition holds on average.
     ``keep`` filters ``keyed`` after the hot keys were chosen, so that rows of a hot key that is filtered
     out never reach the shuffle. Keys compare null-safely: null equals null. ``keyed`` must have the columns
     ``keys`` and ``weight``; its other columns are added to the rows and win over no clash: a clashing name raises.
     An empty side gives an empty result.
     """
+    hot_keys = hot_keys or HOT_KEYS_A_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     extra = [c for c in keyed.columns if c not in keys]
     if clash := set(extra) & set(rows.columns):
         raise ValueError(f"columns on both sides: {sorted(clash)}")

@@ -48,6 +48,7 @@ def test_keyed_join_keeps_all_rows(spark):
         assert got.count() == 901 and got.where("k IS NULL AND w = 1").count() == 1
         assert attach_keyed(rows, per, ["k"], "w", keep=F.col("w") > 100, hot_keys=hot).count() == 630
     assert attach_keyed(rows.where("false"), per, ["k"], "w").count() == 0
+    assert attach_keyed(rows, per, ["k"], "w").count() == 901
     with pytest.raises(ValueError):
         attach_keyed(rows.withColumn("w", F.lit(1)), per, ["k"], "w")
 

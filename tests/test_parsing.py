@@ -16,8 +16,8 @@ def values(spark, tokens, make):
 
 
 def test_integers(spark):
-    tokens = ["12", "0012", "1.0", "1e3", " 7 ", "10e-1", "0", "-0", "9223372036854775807", "9223372036854775808", "-1", "1.5", "15e-1", "", None, "x", "NaN", "1e999999999999", "0e999999999999", "+5", ".5", "5.", "۱", "1_0"]
-    expect = [12, 12, 1, 1000, 7, 1, 0, 0, 2**63 - 1, "range", "negative", "fraction", "fraction", "number", "number", "number", "number", "range", 0, 5, "fraction", 5, "number", "number"]
+    tokens = ["12", "0012", "1.0", "1e3", " 7 ", "10e-1", "0", "-0", "9223372036854775807", "9223372036854775808", "-1", "1.5", "15e-1", "", None, "x", "NaN", "1e999999999999", "0e999999999999", "+5", ".5", "5.", "۱", "1_0", "1" + "0" * 70 + "e-70", "0." + "0" * 99 + "7e100", "0." + "0" * 99 + "7e99", "1" + "0" * 70 + "e-71"]
+    expect = [12, 12, 1, 1000, 7, 1, 0, 0, 2**63 - 1, "range", "negative", "fraction", "fraction", "number", "number", "number", "number", "range", 0, 5, "fraction", 5, "number", "number", 1, 7, "fraction", "fraction"]
     got = values(spark, tokens, num.integer)
     assert [r if v is None else v for v, r in got] == expect
     assert values(spark, ["", "  ", None, "3", "x"], lambda c: num.integer(c, optional=True)) == [(None, None)] * 3 + [(3, None), (None, "number")]
