@@ -13,7 +13,7 @@ def main(argv: list[str] | None = None) -> int:
     sub = p.add_subparsers(dest="run", required=True)
     for name in ("clean-products", "clean-comments", "inventory", "profile"):
         s = sub.add_parser(name)
-        s.add_argument("--input", required=True, help="the raw CSV; for inventory the comments table")
+        s.add_argument("--input", required=True, nargs="+" if name == "profile" else None, help="the raw CSV, several for a profile; for inventory the comments table")
         s.add_argument("--output", required=True)
         s.add_argument("--force", action="store_true", help="replace an earlier output")
         s.add_argument("--max-rows", type=int)
@@ -32,7 +32,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.run == "inventory":
         pipelines.category_inventory(spark, a.products, a.offers, spark.read.parquet(a.input), a.output, a.force)
     else:
-        pipelines.write_profile(pipelines.profile_file(spark, a.input, a.max_rows), a.output, a.force)
+        pipelines.write_profile(pipelines.profile_files(spark, a.input, a.max_rows), a.output, a.force)
     return 0
 
 

@@ -18,15 +18,15 @@ def _utf8(c: Column) -> Column:
     return F.encode(c.cast("string"), "UTF-8")
 
 
-def typed_frame(c: Column, tag: str) -> Column:
-    """``N`` for null, else the type's tag, eight bytes of length, the content."""
-    b = _utf8(c)
-    return F.coalesce(F.concat(F.encode(F.lit(tag), "UTF-8"), _length(b), b), F.encode(F.lit("N"), "UTF-8"))
+def _frame(c: Column, tag: str) -> Column:
+    b = F.coalesce(_utf8(c), F.encode(F.lit(""), "UTF-8"))
+    return F.concat(F.encode(F.when(c.isNull(), "N").otherwise(tag), "UTF-8"), _length(b), b)
 
 
 def framed(columns: list[tuple[Column, str]]) -> Column:
-    """Bytes of a row; each column with its tag: S text, I integer, F floating, D decimal, B boolean."""
-    return F.concat(*[typed_frame(c, tag) for c, tag in columns])
+    """Bytes of a row: per column its tag (S text, I integer, F floating, D decimal, B boolean; ``N`` for null), eight
+    bytes of length, the content; a null has length 0."""
+    return F.concat(*[_frame(c, tag) for c, tag in columns])
 
 
 def digest(columns: list[tuple[Column, str]]) -> Column:
@@ -34,18 +34,15 @@ def digest(columns: list[tuple[Column, str]]) -> Column:
     return F.sha2(framed(columns), 256)
 
 
-def text_fingerprint(columns: list[Column]) -> Column:
-    """SHA-256 over raw text columns: ``V`` with length, or ``N`` alone."""
-    return digest([(c, "V") for c in columns])
+def exact_digest(columns: list[Column]) -> Column:
+    """SHA-256 over text columns, framed."""
+    return digest([(c, "S") for c in columns])
 
 
-def exact_digest(columns: list[Column]) -> Column:
-    """SHA-256 over text columns: ``S`` or for null ``N``, eight bytes of length, the content; null has length 0."""
-    parts = []
-    for c in columns:
-        b = F.coalesce(_utf8(c), F.encode(F.lit(""), "UTF-8"))
-        parts += [F.encode(F.when(c.isNull(), "N").otherwise("S"), "UTF-8"), _length(b), b]
-    return F.sha2(F.concat(*parts), 256)
+def text_fingerprint(columns: list[Column]) -> Column:
+    """SHA-256 over raw text columns: ``V`` with length and content, or ``N`` alone for null."""
+    present = lambda c: F.concat(F.encode(F.lit("V"), "UTF-8"), _length(_utf8(c)), _utf8(c))
+    return F.sha2(F.concat(*[F.coalesce(present(c), F.encode(F.lit("N"), "UTF-8")) for c in columns]), 256)
 
 
 def float_text(c: Column) -> Column:

@@ -46,6 +46,13 @@ def top_values(df: DataFrame, columns: list[str], row: str, k: int) -> DataFrame
     return some.withColumn("place", F.row_number().over(Window.partitionBy("column").orderBy(*order))).where(F.col("place") <= k).select("column", "place", "value", "n")
 
 
+def few_valued(df: DataFrame, columns: list[str], limit: int) -> list[str]:
+    """The columns with at most ``limit`` distinct values."""
+    n = unpivoted(df, columns).where("value IS NOT NULL").groupBy("column", F.trim("value").alias("value")).agg(F.lit(1)).groupBy("column").agg(F.count(F.lit(1)).alias("d"))
+    found = {r["column"] for r in n.where(F.col("d") <= limit).collect()}  # one row per column
+    return [c for c in columns if c in found]
+
+
 def distribution(df: DataFrame, columns: list[str], limit: int = DISTRIBUTION) -> DataFrame:
     """All values with their counts, of columns with at most ``limit`` distinct ones."""
     n = unpivoted(df, columns).where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))

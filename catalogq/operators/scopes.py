@@ -27,7 +27,7 @@ def scoped(df: DataFrame, levels: list[str]) -> DataFrame:
 
 
 def inventory(products: DataFrame, offers: DataFrame, comments: DataFrame, levels: list[str]) -> DataFrame:
-    """Per scope: products, brands, comments and what they hold, products by number of comments, prices.
+    """Per scope: products, brands, comments and what they hold, products by number of comments, prices; quantiles of comments are over products that have some.
 
     ``products``: product_id, levels, brand. ``offers``: product_id, price (null or not positive: no price).
     ``comments``: product_id, body, is_buyer, rate. Comments and offers are added up per product before any join, so a
@@ -55,18 +55,57 @@ def inventory(products: DataFrame, offers: DataFrame, comments: DataFrame, level
         *[F.count_if(F.col("comments") >= k).alias(f"products_with_{k}") for k in STEPS],
     )
     prices = interpolated_quantiles(s, keys, "price", {"price_p05": 0.05, "price_p50": 0.5, "price_p95": 0.95}).drop("n")
-    depth = interpolated_quantiles(s, keys, "comments", {"comments_p50": 0.5}).drop("n")
+    depth = interpolated_quantiles(s.where("comments > 0"), keys, "comments", {"comments_p50": 0.5, "comments_p95": 0.95}).drop("n")
     named = lambda d, t: d.select(*[F.col(k).alias(f"{t}_{k}") for k in keys], *[c for c in d.columns if c not in keys])
     on = lambda t: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{t}_{k}")) for k in keys])
     out = figures.join(named(prices, "q"), on("q"), "left").join(named(depth, "d"), on("d"), "left")
-    share = (F.col("commented_products") * 100).cast("double") / F.col("products")
-    return out.select(*keys, *[c for c in figures.columns if c not in keys], "price_p05", "price_p50", "price_p95", "comments_p50", share.alias("coverage_percent"))
+    share = lambda c: (F.col(c) * 100).cast("double") / F.col("products")
+    return out.select(
+        *keys,
+        *[c for c in figures.columns if c not in keys],
+        (F.col("products") - F.col("commented_products")).alias("uncommented_products"),
+        "price_p05",
+        "price_p50",
+        "price_p95",
+        "comments_p50",
+        "comments_p95",
+        share("commented_products").alias("coverage_percent"),
+        share("priced_products").alias("price_coverage_percent"),
+    )
+
+
+# The columns of the published inventory, and the figure each one holds; the scope comes before them.
+REPORT = {
+    "product_count": "products",
+    "comment_count": "comments",
+    "products_with_comments": "commented_products",
+    "products_without_comments": "uncommented_products",
+    "product_comment_coverage_pct": "coverage_percent",
+    **{f"products_with_at_least_{k}_comments": f"products_with_{k}" for k in STEPS},
+    "median_comments_per_commented_product": "comments_p50",
+    "p95_comments_per_commented_product": "comments_p95",
+    "non_empty_body_count": "bodies",
+    "buyer_comment_count": "buyers",
+    "valid_positive_rating_count": "ratings",
+    "unique_brand_count": "brands",
+    "products_with_valid_historical_price": "priced_products",
+    "historical_price_coverage_pct": "price_coverage_percent",
+    "historical_price_p05": "price_p05",
+    "historical_price_p50": "price_p50",
+    "historical_price_p95": "price_p95",
+}
+
+
+def report(inv: DataFrame) -> DataFrame:
+    """An inventory over category1 and category2 with the columns of the published report."""
+    level = F.when(F.col("level") == 1, "category1").otherwise("category1_category2")
+    return inv.select(level.alias("scope_level"), F.col("scope_category1").alias("category1"), F.col("scope_category2").alias("category2"), *[F.col(c).alias(n) for n, c in REPORT.items()])
 
 
 def broken_invariants(inv: DataFrame) -> DataFrame:
     """Scopes whose figures contradict each other; expected empty."""
     ordered = [F.col(f"products_with_{a}") >= F.col(f"products_with_{b}") for a, b in zip(STEPS, STEPS[1:])]
-    sound = reduce(lambda a, b: a & b, [F.col("commented_products") <= F.col("products"), F.col("bodies") <= F.col("comments"), F.col("buyers") <= F.col("comments"), F.col("priced_products") <= F.col("products"), *ordered])
+    sound = reduce(lambda a, b: a & b, [F.col("commented_products") <= F.col("products"), F.col("bodies") <= F.col("comments"), F.col("buyers") <= F.col("comments"), F.col("ratings") <= F.col("comments"), F.col(f"products_with_{STEPS[0]}") <= F.col("commented_products"), F.col("priced_products") <= F.col("products"), *ordered])
     return inv.where(~sound)
 
 

@@ -6,22 +6,23 @@ normalising decide is here.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogq.functions import digest, jalali
-from catalogq.functions.num import integer, rate, with_digits
+from catalogq.functions.num import digits, integer, rate, with_digits
 from catalogq.functions.text import clean_text, is_blank, strict_boolean
-from catalogq.operators.evidence import Rule, with_events
+from catalogq.operators.evidence import Rule, said, with_events
+from catalogq.operators.rules import BOOLEAN_SAYS, COUNT_SAYS, DATE_SAYS, ID_SAYS, RATE_SAYS, SENTINEL_RULES
 
 PRODUCT_COLUMNS = ["id", "title_fa", "Rate", "Rate_cnt", "Category1", "Category2", "Brand", "Price", "Seller", "Is_Fake", "min_price_last_month", "sub_category"]
 COMMENT_COLUMNS = ["id", "title", "body", "created_at", "rate", "recommendation_status", "is_buyer", "product_id", "advantages", "disadvantages", "likes", "dislikes", "seller_title", "seller_code", "true_to_size_rate"]
-# Rule of each comment field in which exactly ``nan`` stands for nothing.
-SENTINEL_RULES = {"seller_code": "COM-013", "seller_title": "COM-014", "title": "COM-015", "body": "COM-016", "recommendation_status": "COM-017", "advantages": "COM-018", "disadvantages": "COM-019", "true_to_size_rate": "COM-020"}
-# All rules that make events, by side.
-PRODUCT_RULES = ["ID-002", "PRD-004", "PRD-005", "PRD-006", "PRD-007", "TXT-001"]
-OFFER_RULES = ["ID-002", "BOOL-002", "OFF-003", "OFF-004", "OFF-007", "OFF-008", "TXT-001"]
-COMMENT_RULES = ["ID-002", "BOOL-002", "DATE-003", "COM-005", "COM-006", "COM-009", "COM-010", "COM-011", "COM-012", *SENTINEL_RULES.values(), "COM-021", "TXT-001"]
+# The raw columns that make an offer, in the order its id hashes them.
+OFFER_CONTENT = ["id", "Seller", "Price", "Is_Fake", "min_price_last_month"]
+# The raw columns of a product's core facts.
+CORE_COLUMNS = ["title_fa", "Category1", "Category2", "Brand", "Rate", "Rate_cnt", "sub_category"]
 PRODUCT_CORE = ["title_fa", "category1", "category2", "brand", "rate", "rate_count", "sub_category"]
 COMMENT_CONTENT = ["product_id", "title", "body", "created_at_raw", "created_at_jalali", "created_at_gregorian", "rate", "is_unrated", "invalid_rate", "recommendation_status", "is_buyer", "advantages", "disadvantages", "likes", "dislikes", "seller_title", "seller_code", "true_to_size_rate"]
 
@@ -60,11 +61,11 @@ def product_rows(raw: DataFrame) -> DataFrame:
     usable = bad_count.isNull() & bad_rate.isNull()
     zero = usable & (value == 0)
     rules = [
-        Rule("ID-002", "id", bad_id.isNotNull(), bad_id, fatal=True),
-        Rule("PRD-007", "Rate_cnt", bad_count.isNotNull(), bad_count, fatal=True),
-        Rule("PRD-004", "Rate", bad_rate.isNotNull(), bad_rate, fatal=True),
+        Rule("ID-002", "id", bad_id.isNotNull(), said(bad_id, ID_SAYS), fatal=True),
+        Rule("PRD-007", "Rate_cnt", bad_count.isNotNull(), said(bad_count, COUNT_SAYS), fatal=True),
+        Rule("PRD-004", "Rate", bad_rate.isNotNull(), F.lit(RATE_SAYS), fatal=True),
         Rule("PRD-005", "Rate", zero & (count == 0)),
-        Rule("PRD-006", "Rate", zero & (count > 0), row_level=True),
+        Rule("PRD-006", "Rate", zero & (count > 0)),
         *map(_blank_text, text.values()),
     ]
     typed = with_events(rows, rules)
@@ -93,11 +94,11 @@ def offer_rows(raw: DataFrame) -> DataFrame:
     rows = parsed(raw, ["id", "Price", "min_price_last_month"], values | _blanks(["Seller"]))
     product_id, bad_id, price, bad_price, history, bad_history, fake = map(F.col, values)
     rules = [
-        Rule("ID-002", "id", bad_id.isNotNull(), bad_id, fatal=True),
-        Rule("BOOL-002", "Is_Fake", fake.isNull(), fatal=True),
-        Rule("OFF-004", "Price", bad_price.isNotNull(), bad_price, fatal=True),
-        Rule("OFF-008", "min_price_last_month", bad_history.isNotNull(), bad_history, fatal=True),
-        Rule("OFF-003", "Price", price == 0, row_level=True),
+        Rule("ID-002", "id", bad_id.isNotNull(), said(bad_id, ID_SAYS), fatal=True),
+        Rule("BOOL-002", "Is_Fake", fake.isNull(), F.lit(BOOLEAN_SAYS), fatal=True),
+        Rule("OFF-004", "Price", bad_price.isNotNull(), said(bad_price, COUNT_SAYS), fatal=True),
+        Rule("OFF-008", "min_price_last_month", bad_history.isNotNull(), said(bad_history, COUNT_SAYS), fatal=True),
+        Rule("OFF-003", "Price", price == 0),
         Rule("OFF-007", "min_price_last_month", history == 0),
         _blank_text("Seller"),
     ]
@@ -134,21 +135,21 @@ def _sentinel_rules(field: str) -> list[Rule]:
 
 def comment_rows(raw: DataFrame) -> DataFrame:
     """Adds the typed comment columns (prefix ``c_``), ``events`` and ``fatal``."""
-    names = ("id_v", "id_r", "product_v", "product_r", "likes_v", "likes_r", "dislikes_v", "dislikes_r", "rate_v", "rate_r", "date_iso", "date_v", "date_r", "buyer_v")
+    names = ("id_v", "id_r", "product_v", "product_r", "likes_v", "likes_r", "dislikes_v", "dislikes_r", "rate_v", "rate_r", "rate_scale", "date_iso", "date_v", "date_r", "buyer_v")
     counts = (*integer("id"), *integer("product_id"), *integer("likes", optional=True), *integer("dislikes", optional=True))
-    values = dict(zip(names, (*counts, *rate("rate", 5, scale=2), *jalali.parsed(F.col("created_at")), strict_boolean(F.col("is_buyer")))))
+    values = dict(zip(names, (*counts, *rate("rate", 5, scale=2), -digits("rate").shift, *jalali.parsed(F.col("created_at")), strict_boolean(F.col("is_buyer")))))
     rows = parsed(raw, ["id", "product_id", "likes", "dislikes", "rate"], values | _blanks(list(SENTINEL_RULES)))
-    comment_id, bad_id, product_id, bad_product, likes, bad_likes, dislikes, bad_dislikes, value, bad_rate, iso, day, bad_date, buyer = map(F.col, values)
+    comment_id, bad_id, product_id, bad_product, likes, bad_likes, dislikes, bad_dislikes, value, bad_rate, scale, iso, day, bad_date, buyer = map(F.col, values)
     rules = [
-        Rule("ID-002", "id", bad_id.isNotNull(), bad_id, fatal=True),
-        Rule("ID-002", "product_id", bad_product.isNotNull(), bad_product, fatal=True),
-        Rule("BOOL-002", "is_buyer", buyer.isNull(), fatal=True),
-        Rule("DATE-003", "created_at", bad_date.isNotNull(), bad_date, fatal=True),
+        Rule("ID-002", "id", bad_id.isNotNull(), said(bad_id, ID_SAYS), fatal=True),
+        Rule("ID-002", "product_id", bad_product.isNotNull(), said(bad_product, ID_SAYS), fatal=True),
+        Rule("BOOL-002", "is_buyer", buyer.isNull(), F.lit(BOOLEAN_SAYS), fatal=True),
+        Rule("DATE-003", "created_at", bad_date.isNotNull(), said(bad_date, DATE_SAYS), fatal=True),
         Rule("COM-005", "rate", bad_rate == "zero"),
-        Rule("COM-006", "rate", bad_rate == "number", row_level=True),
-        Rule("COM-021", "rate", bad_rate == "scale", row_level=True),
-        Rule("COM-012", "likes", bad_likes.isNotNull(), bad_likes, row_level=True),
-        Rule("COM-012", "dislikes", bad_dislikes.isNotNull(), bad_dislikes, row_level=True),
+        Rule("COM-006", "rate", bad_rate == "number"),
+        Rule("COM-021", "rate", bad_rate == "scale"),
+        Rule("COM-012", "likes", bad_likes.isNotNull(), said(bad_likes, COUNT_SAYS)),
+        Rule("COM-012", "dislikes", bad_dislikes.isNotNull(), said(bad_dislikes, COUNT_SAYS)),
         *[r for f in ("seller_code", "seller_title", "body", "title", "recommendation_status", "advantages", "disadvantages", "true_to_size_rate") for r in _sentinel_rules(f)],
     ]
     t = lambda f: _kept(f, True).alias(f"c_{f}")
@@ -162,6 +163,7 @@ def comment_rows(raw: DataFrame) -> DataFrame:
         iso.alias("c_created_at_jalali"),
         day.alias("c_created_at_gregorian"),
         value.alias("c_rate"),
+        F.when(scale == 0, value.cast("decimal(1,0)").cast("string")).when(scale == 1, value.cast("decimal(2,1)").cast("string")).otherwise(value.cast("string")).alias("c_rate_text"),
         F.coalesce(bad_rate == "zero", F.lit(False)).alias("c_is_unrated"),
         F.coalesce(bad_rate.isin("number", "scale"), F.lit(False)).alias("c_invalid_rate"),
         t("recommendation_status"),
@@ -178,13 +180,31 @@ def comment_rows(raw: DataFrame) -> DataFrame:
     )
 
 
-def comment_digest() -> Column:
-    """Digest of a comment's mapped values: its raw texts without the id, null where blank or a sentinel."""
-    return digest.exact_digest([clean_text(F.col(c), "nan" if c in SENTINEL_RULES else None) for c in COMMENT_COLUMNS[1:]])
+def core_digest() -> Column:
+    """Digest of a typed product's core facts."""
+    tags = {"rate": "F", "rate_count": "I"}
+    return digest.digest([(digest.float_text(F.col(c)) if c == "rate" else F.col(c), tags.get(c, "S")) for c in PRODUCT_CORE])
+
+
+def _mapped() -> dict[str, Column]:
+    """A comment's mapped values: its raw texts but for the id, null where blank or a sentinel."""
+    return {c: clean_text(F.col(c), "nan" if c in SENTINEL_RULES else None) for c in COMMENT_COLUMNS[1:]}
+
+
+def mapped_json() -> Column:
+    """The mapped values as JSON with sorted keys."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in sorted(_mapped().items())]), {"ignoreNullFields": "false"})
+
+
+def ranked_comments(typed: DataFrame, *more: Column) -> DataFrame:
+    """Accepted comment rows and what ranks them: ``completeness``, the number of mapped values there are, and
+    ``canonical_digest``, their digest. ``rate_text`` tells 3.5 from 3.50, which are different contents."""
+    mapped = list(_mapped().values())
+    there = reduce(lambda a, b: a + b, [c.isNotNull().cast("bigint") for c in mapped])
+    names = [c for c in typed.columns if c.startswith("c_")]
+    return typed.where("NOT fatal").select("source_row", there.alias("completeness"), digest.exact_digest(mapped).alias("canonical_digest"), *more, *[F.col(c).alias(c[2:]) for c in names])
 
 
 def comment_candidates(raw: DataFrame) -> DataFrame:
-    """Accepted comment rows; ``rate_text`` tells 3.5 from 3.50, which are different contents; ``canonical_digest`` breaks ties."""
-    rows = comment_rows(raw).where("NOT fatal")
-    text: Column = F.when(F.col("c_rate").isNotNull(), F.trim(F.col("rate")))
-    return rows.select("source_row", text.alias("rate_text"), comment_digest().alias("canonical_digest"), *[F.col(c).alias(c[2:]) for c in rows.columns if c.startswith("c_")])
+    """Accepted comment rows of raw ones, with what ranks them."""
+    return ranked_comments(comment_rows(raw))

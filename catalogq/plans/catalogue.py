@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalogq.functions import digest as G
 from catalogq.operators import canonical as C
-from catalogq.operators import dedup, evidence, profile, quantile, scopes
+from catalogq.operators import counters, dedup, evidence, profile, quantile, rules, scopes
 from catalogq.operators import transforms as T
 from catalogq.operators.orphans import orphan_rows
 from catalogq.plans.raw import CTE_COMMENTS, CTE_PRODUCTS, raw_comments, raw_products
@@ -120,7 +120,7 @@ def offer_transform(spark: SparkSession, d: str) -> DataFrame:
 
 
 def comment_transform(spark: SparkSession, d: str) -> DataFrame:
-    return T.comment_candidates(raw_comments(spark, d)).drop("canonical_digest").withColumn("rate", F.col("rate").cast("double"))
+    return T.comment_candidates(raw_comments(spark, d)).drop("canonical_digest", "completeness").withColumn("rate", F.col("rate").cast("double"))
 
 
 # --- duplicates and fingerprints -------------------------------------------------------------------------------------
@@ -148,27 +148,33 @@ def duplicated_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def offer_dedup(spark: SparkSession, d: str) -> DataFrame:
     o = T.offer_candidates(raw_products(spark, d))
-    return dedup.first_of_equal(o, ["id", "Price", "Seller", "Is_Fake", "min_price_last_month"], "source_row").select("source_row", "copies")
+    return dedup.first_of_equal(o, T.OFFER_CONTENT, "source_row").select("source_row", "copies")
 
 
 def offer_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    cols = [F.col(c) for c in ("id", "Price", "Seller", "Is_Fake", "min_price_last_month")]
-    return raw_products(spark, d).select("source_row", G.text_fingerprint(cols).alias("fingerprint"))
+    return raw_products(spark, d).select("source_row", G.text_fingerprint([F.col(c) for c in T.OFFER_CONTENT]).alias("fingerprint"))
 
 
-_CORE_TAGS = {"rate": "F", "rate_count": "I"}
+def raw_digest(spark: SparkSession, d: str) -> DataFrame:
+    """The informational digest of each raw record."""
+    return raw_products(spark, d).select("source_row", G.exact_digest([F.col(c) for c in T.PRODUCT_COLUMNS]).alias("digest"))
+
+
+def offer_id_collisions(spark: SparkSession, d: str) -> DataFrame:
+    o = T.offer_candidates(raw_products(spark, d))
+    return counters.id_collisions(o, G.text_fingerprint([F.col(c) for c in T.OFFER_CONTENT]), T.OFFER_CONTENT)
 
 
-def _core_digest():
-    return G.digest([(G.float_text(F.col(c)) if c == "rate" else F.col(c), _CORE_TAGS.get(c, "S")) for c in T.PRODUCT_CORE])
+_CORE_TAGS = {"rate": "F", "rate_count": "I"}
 
 
 def core_digest(spark: SparkSession, d: str) -> DataFrame:
-    return T.product_candidates(raw_products(spark, d)).select("source_row", _core_digest().alias("digest"))
+    return T.product_candidates(raw_products(spark, d)).select("source_row", T.core_digest().alias("digest"))
 
 
 def _frame_sql(c: str, tag: str) -> str:
-    return f"CASE WHEN {c} IS NULL THEN 'N'::BLOB ELSE '{tag}'::BLOB || unhex(lpad(hex(octet_length(encode(CAST({c} AS VARCHAR)))), 16, '0')) || encode(CAST({c} AS VARCHAR)) END"
+    null = "'N'::BLOB" if tag == "V" else "'N'::BLOB || unhex('0000000000000000')"
+    return f"CASE WHEN {c} IS NULL THEN {null} ELSE '{tag}'::BLOB || unhex(lpad(hex(octet_length(encode(CAST({c} AS VARCHAR)))), 16, '0')) || encode(CAST({c} AS VARCHAR)) END"
 
 
 def _digest_sql(parts: list[tuple[str, str]]) -> str:
@@ -182,7 +188,7 @@ _CORE_SQL = _digest_sql([(c, _CORE_TAGS.get(c, "S")) for c in T.PRODUCT_CORE])
 
 
 def _products(spark: SparkSession, d: str) -> DataFrame:
-    return T.product_candidates(raw_products(spark, d)).withColumn("completeness", C.completeness(T.PRODUCT_CORE)).withColumn("digest", _core_digest())
+    return T.product_candidates(raw_products(spark, d)).withColumn("completeness", C.completeness(T.PRODUCT_CORE)).withColumn("digest", T.core_digest())
 
 
 def _product_rank():
@@ -211,8 +217,7 @@ _CONTENT = [c if c != "rate" else "rate_text" for c in T.COMMENT_CONTENT]
 
 
 def _comments(spark: SparkSession, d: str) -> DataFrame:
-    parts = ["title", "body", "rate", "recommendation_status", "is_buyer", "advantages", "disadvantages", "likes", "dislikes", "seller_title", "seller_code", "true_to_size_rate"]
-    return T.comment_candidates(raw_comments(spark, d)).withColumn("completeness", C.completeness(parts))
+    return T.comment_candidates(raw_comments(spark, d))
 
 
 def _comment_rank():
@@ -221,7 +226,12 @@ def _comment_rank():
 
 def canonical_comments(spark: SparkSession, d: str) -> DataFrame:
     won = C.canonical(_comments(spark, d), "comment_id", _CONTENT, _comment_rank())
-    return won.select("comment_id", "product_id", "title", "body", "created_at_gregorian", F.col("rate").cast("double").alias("rate"), (F.col("variants") > 1).alias("comment_id_conflict"), F.col("source_row").alias("canonical_source_row"))
+    return won.select("comment_id", "product_id", "title", "body", "created_at_gregorian", F.col("rate").cast("double").alias("rate"), "completeness", "canonical_digest", (F.col("variants") > 1).alias("comment_id_conflict"), F.col("source_row").alias("canonical_source_row"))
+
+
+def canonical_comment_figures(spark: SparkSession, d: str) -> DataFrame:
+    c = _comments(spark, d).withColumn("__content", G.exact_digest([F.col(c).cast("string") for c in _CONTENT]))
+    return counters.candidate_figures(c.select("comment_id", "__content"), "comment_id", "__content")
 
 
 def comment_conflicts(spark: SparkSession, d: str) -> DataFrame:
@@ -229,11 +239,13 @@ def comment_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return c.select("comment_id", "source_row", "canonical_row", "completeness", "selected")
 
 
+_MAPPED = [c if c in T.SENTINEL_RULES else f"CASE WHEN trim({c}) = '' THEN NULL ELSE {c} END" for c in T.COMMENT_COLUMNS[1:]]
 _CANON_COMMENTS = f"""WITH {TYPED_COMMENTS},
-c AS (SELECT *, {' + '.join(f'CAST(({x} IS NOT NULL) AS BIGINT)' for x in ("title", "body", "rate", "recommendation_status", "is_buyer", "advantages", "disadvantages", "likes", "dislikes", "seller_title", "seller_code", "true_to_size_rate"))} AS completeness FROM comments_ok),
-v AS (SELECT *, row_number() OVER (PARTITION BY comment_id, {', '.join(_CONTENT)} ORDER BY completeness DESC, source_row) AS k FROM c),
-w AS (SELECT *, count(*) OVER (PARTITION BY comment_id) AS variants, row_number() OVER (PARTITION BY comment_id ORDER BY completeness DESC, source_row) AS place,
-  first_value(source_row) OVER (PARTITION BY comment_id ORDER BY completeness DESC, source_row) AS canonical_row FROM v WHERE k = 1)"""
+mapped AS (SELECT source_row, {' + '.join(f'CAST(({x}) IS NOT NULL AS BIGINT)' for x in _MAPPED)} AS completeness, {_digest_sql([(f'({x})', 'S') for x in _MAPPED])} AS canonical_digest FROM typed_comments),
+c AS (SELECT * FROM comments_ok JOIN mapped USING (source_row)),
+v AS (SELECT *, row_number() OVER (PARTITION BY comment_id, {', '.join(_CONTENT)} ORDER BY completeness DESC, canonical_digest, source_row) AS k, count(*) OVER (PARTITION BY comment_id, {', '.join(_CONTENT)}) AS copies FROM c),
+w AS (SELECT *, count(*) OVER (PARTITION BY comment_id) AS variants, row_number() OVER (PARTITION BY comment_id ORDER BY completeness DESC, canonical_digest, source_row) AS place,
+  first_value(source_row) OVER (PARTITION BY comment_id ORDER BY completeness DESC, canonical_digest, source_row) AS canonical_row FROM v WHERE k = 1)"""
 
 
 def offers_without_product(spark: SparkSession, d: str) -> DataFrame:
@@ -276,9 +288,33 @@ def row_audit(spark: SparkSession, d: str) -> DataFrame:
     return _union([evidence.audit_records(df, "source_row", e, n).drop("position") for n, df, e, _ in _sides(spark, d)])
 
 
+def _product_run(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The tables of a run over the products file; typed rows are written once, as several figures read them."""
+    rows = dedup.first_of_equal(raw_products(spark, d), T.PRODUCT_COLUMNS, "source_row")
+    products, offers = cut(T.product_rows(rows)), cut(T.offer_rows(rows))
+    p = products.where("NOT fatal").select("source_row", *[F.col(c).alias(c[2:]) for c in products.columns if c.startswith("p_")])
+    ranked = p.withColumn("completeness", C.completeness(T.PRODUCT_CORE)).withColumn("digest", T.core_digest())
+    won = C.canonical(ranked, "product_id", T.PRODUCT_CORE, _product_rank(), [F.col("source_row")]).select("product_id", "variants")
+    distinct = dedup.first_rows(offers.where("NOT fatal").select("source_row", *T.OFFER_CONTENT, F.col("o_product_id").alias("product_id"), F.col("o_price_raw").alias("price_raw")), T.OFFER_CONTENT, "source_row")
+    final = cut(distinct.join(won.select("product_id"), "product_id", "left_semi").select("source_row", "product_id", "price_raw"))
+    return {"products": products, "offers": offers, "canonical": won, "distinct_offers": distinct, "final_offers": quantile.above_threshold(final, "price_raw", 999, "high_price_review")}
+
+
 def rule_event_counts(spark: SparkSession, d: str) -> DataFrame:
-    rules = {"products": T.PRODUCT_RULES, "offers": T.OFFER_RULES, "comments": T.COMMENT_RULES}
-    return _union([evidence.event_counts(df, rules[n]).select(F.lit(n).alias("side"), "rule_id", "n") for n, df, _, _ in _sides(spark, d)])
+    """Every rule of both runs with its events or what its figure is, zeros included."""
+    of_products = counters.product_run_counts(**_product_run(spark, d))
+    comments = cut(T.comment_rows(dedup.first_of_equal(raw_comments(spark, d), T.COMMENT_COLUMNS, "source_row")))
+    won = cut(C.canonical(T.ranked_comments(comments), "comment_id", _CONTENT, _comment_rank()).select("comment_id", "product_id", "variants"))
+    orphans = orphan_rows(won, table(spark, d, "final_products").select("product_id"), [("product_id", "product_id")])
+    of_comments = counters.comment_run_counts(comments, won, orphans)
+    return _union([n.select(F.lit(side).alias("side"), "rule_id", "n") for side, n in (("products", of_products), ("comments", of_comments))])
+
+
+def offer_multiplicity(spark: SparkSession, d: str) -> DataFrame:
+    """One row: distinct offers, products with several of them, offers beyond the first of a product."""
+    o = T.offer_candidates(raw_products(spark, d))
+    distinct = dedup.first_rows(o.select("source_row", *T.OFFER_CONTENT, F.col("o_product_id").alias("product_id")), T.OFFER_CONTENT, "source_row")
+    return dedup.duplicate_id_figures(distinct, "product_id")
 
 
 def aggregate_transformations(spark: SparkSession, d: str) -> DataFrame:
@@ -314,34 +350,41 @@ def _blank(c: str) -> str:
     return f"trim({c}) = ''"
 
 
+def _said_sql(reason: str, texts: dict[str, str]) -> str:
+    return f"CASE {reason} {' '.join(f"WHEN '{k}' THEN '{t}'" for k, t in texts.items())} END"
+
+
 def _event_sql() -> str:
     """All events of all sides as rows: side, source_row, field, raw_value, rule_id, detail, fatal, row_level."""
     rate, cnt, jrate = _num('"Rate"'), _int('"Rate_cnt"'), "TRY_CAST(trim(rate) AS DECIMAL(38,10))"
     usable = f"{rate} BETWEEN 0 AND 100 AND {cnt} IS NOT NULL"
-    p = [("id", "ID-002", f"{_why('id')} IS NOT NULL", _why("id"), 1, 1), ('"Rate_cnt"', "PRD-007", f"""{_why('"Rate_cnt"')} IS NOT NULL""", _why('"Rate_cnt"'), 1, 1), ('"Rate"', "PRD-004", f"NOT coalesce({rate} BETWEEN 0 AND 100, FALSE)", f"""CASE WHEN {_blank('"Rate"')} THEN 'blank' ELSE 'number' END""", 1, 1), ('"Rate"', "PRD-005", f"{usable} AND {rate} = 0 AND {cnt} = 0", "NULL", 0, 0), ('"Rate"', "PRD-006", f"{usable} AND {rate} = 0 AND {cnt} > 0", "NULL", 0, 1)]
-    p += [(c, "TXT-001", _blank(c), "NULL", 0, 0) for c in ("title_fa", '"Category1"', '"Category2"', '"Brand"', "sub_category")]
-    o = [("id", "ID-002", f"{_why('id')} IS NOT NULL", _why("id"), 1, 1), ('"Is_Fake"', "BOOL-002", """"Is_Fake" NOT IN ('True', 'False')""", "NULL", 1, 1), ('"Price"', "OFF-004", f"""{_why('"Price"')} IS NOT NULL""", _why('"Price"'), 1, 1), ("min_price_last_month", "OFF-008", f"NOT {_blank('min_price_last_month')} AND {_why('min_price_last_month')} IS NOT NULL", _why("min_price_last_month"), 1, 1), ('"Price"', "OFF-003", f"""{_int('"Price"')} = 0""", "NULL", 0, 1), ("min_price_last_month", "OFF-007", f"{_int('min_price_last_month')} = 0", "NULL", 0, 0), ('"Seller"', "TXT-001", _blank('"Seller"'), "NULL", 0, 0)]
+    id_says, count_says = lambda c: _said_sql(_why(c), rules.ID_SAYS), lambda c: _said_sql(_why(c), rules.COUNT_SAYS)
+    boolean_says, rate_says = f"'{rules.BOOLEAN_SAYS}'", f"'{rules.RATE_SAYS}'"
+    p = [("id", "ID-002", f"{_why('id')} IS NOT NULL", id_says("id"), 1), ('"Rate_cnt"', "PRD-007", f"""{_why('"Rate_cnt"')} IS NOT NULL""", count_says('"Rate_cnt"'), 1), ('"Rate"', "PRD-004", f"NOT coalesce({rate} BETWEEN 0 AND 100, FALSE)", rate_says, 1), ('"Rate"', "PRD-005", f"{usable} AND {rate} = 0 AND {cnt} = 0", "NULL", 0), ('"Rate"', "PRD-006", f"{usable} AND {rate} = 0 AND {cnt} > 0", "NULL", 0)]
+    p += [(c, "TXT-001", _blank(c), "NULL", 0) for c in ("title_fa", '"Category1"', '"Category2"', '"Brand"', "sub_category")]
+    o = [("id", "ID-002", f"{_why('id')} IS NOT NULL", id_says("id"), 1), ('"Is_Fake"', "BOOL-002", """"Is_Fake" NOT IN ('True', 'False')""", boolean_says, 1), ('"Price"', "OFF-004", f"""{_why('"Price"')} IS NOT NULL""", count_says('"Price"'), 1), ("min_price_last_month", "OFF-008", f"NOT {_blank('min_price_last_month')} AND {_why('min_price_last_month')} IS NOT NULL", count_says("min_price_last_month"), 1), ('"Price"', "OFF-003", f"""{_int('"Price"')} = 0""", "NULL", 0), ("min_price_last_month", "OFF-007", f"{_int('min_price_last_month')} = 0", "NULL", 0), ('"Seller"', "TXT-001", _blank('"Seller"'), "NULL", 0)]
     jd, jm, jy = "TRY_CAST(split_part(created_at, ' ', 1) AS INTEGER)", f"list_position([{_MONTHS}], split_part(created_at, ' ', 2))", "TRY_CAST(split_part(created_at, ' ', 3) AS INTEGER)"
     why_date = f"CASE WHEN NOT regexp_full_match(created_at, '[0-9]{{1,2}} [^ ]+ [0-9]{{4}}') OR coalesce({jm}, 0) = 0 THEN 'form' WHEN {jy} NOT BETWEEN 1 AND 9377 THEN 'year' WHEN {jd} NOT BETWEEN 1 AND CASE WHEN {jm} <= 6 THEN 31 WHEN {jm} <= 11 THEN 30 WHEN {jy} % 33 IN (1, 5, 9, 13, 17, 22, 26, 30) THEN 30 ELSE 29 END THEN 'day' END"
     scale = "CASE WHEN contains(rate, '.') THEN length(split_part(trim(rate), '.', 2)) ELSE 0 END"
     why_rate = f"CASE WHEN {_blank('rate')} THEN 'blank' WHEN {jrate} IS NULL OR {jrate} < 0 OR {jrate} > 5 THEN 'number' WHEN {jrate} = 0 THEN 'zero' WHEN {scale} > 2 THEN 'scale' END"
-    c = [("id", "ID-002", f"{_why('id')} IS NOT NULL", _why("id"), 1, 1), ("product_id", "ID-002", f"{_why('product_id')} IS NOT NULL", _why("product_id"), 1, 1), ("is_buyer", "BOOL-002", "is_buyer NOT IN ('True', 'False')", "NULL", 1, 1), ("created_at", "DATE-003", f"{why_date} IS NOT NULL", why_date, 1, 1), ("rate", "COM-005", f"{why_rate} = 'zero'", "NULL", 0, 0), ("rate", "COM-006", f"{why_rate} = 'number'", "NULL", 0, 1), ("rate", "COM-021", f"{why_rate} = 'scale'", "NULL", 0, 1)]
-    c += [(x, "COM-012", f"NOT {_blank(x)} AND {_why(x)} IS NOT NULL", _why(x), 0, 1) for x in ("likes", "dislikes")]
+    c = [("id", "ID-002", f"{_why('id')} IS NOT NULL", id_says("id"), 1), ("product_id", "ID-002", f"{_why('product_id')} IS NOT NULL", id_says("product_id"), 1), ("is_buyer", "BOOL-002", "is_buyer NOT IN ('True', 'False')", boolean_says, 1), ("created_at", "DATE-003", f"{why_date} IS NOT NULL", _said_sql(why_date, rules.DATE_SAYS), 1), ("rate", "COM-005", f"{why_rate} = 'zero'", "NULL", 0), ("rate", "COM-006", f"{why_rate} = 'number'", "NULL", 0), ("rate", "COM-021", f"{why_rate} = 'scale'", "NULL", 0)]
+    c += [(x, "COM-012", f"NOT {_blank(x)} AND {_why(x)} IS NOT NULL", count_says(x), 0) for x in ("likes", "dislikes")]
     for x, rule in T.SENTINEL_RULES.items():
-        c.append((x, rule, f"{x} = 'nan'", "NULL", 0, 0))
-        c += [(x, "COM-011", f"{x} = ''", "NULL", 0, 0), (x, "TXT-001", f"{_blank(x)} AND {x} <> ''", "NULL", 0, 0), (x, "COM-010", f"NOT {_blank(x)} AND {x} <> 'nan'", "NULL", 0, 0)] if x == "seller_code" else [(x, "TXT-001", _blank(x), "NULL", 0, 0)]
-    c.append(("body", "COM-009", f"{_blank('body')} OR body = 'nan'", "NULL", 0, 0))
+        c.append((x, rule, f"{x} = 'nan'", "NULL", 0))
+        c += [(x, "COM-011", f"{x} = ''", "NULL", 0), (x, "TXT-001", f"{_blank(x)} AND {x} <> ''", "NULL", 0), (x, "COM-010", f"NOT {_blank(x)} AND {x} <> 'nan'", "NULL", 0)] if x == "seller_code" else [(x, "TXT-001", _blank(x), "NULL", 0)]
+    c.append(("body", "COM-009", f"{_blank('body')} OR body = 'nan'", "NULL", 0))
     selects = []
-    for side, t, rules in (("products", "distinct_products", p), ("offers", "distinct_products", o), ("comments", "distinct_comments", c)):
-        for place, (f, rule, when, detail, fatal, level) in enumerate(rules):
+    for side, t, found in (("products", "distinct_products", p), ("offers", "distinct_products", o), ("comments", "distinct_comments", c)):
+        for place, (f, rule, when, detail, fatal) in enumerate(found):
             entity = _int("id")
             name = f.strip('"')
-            selects.append(f"SELECT '{side}' AS side, source_row, {entity} AS entity_id, '{name}' AS field, {f} AS raw_value, '{rule}' AS rule_id, {detail} AS detail, {place} AS place, {fatal} = 1 AS fatal, {level} = 1 AS row_level FROM {t} WHERE {when}")
+            selects.append(f"SELECT '{side}' AS side, source_row, {entity} AS entity_id, '{name}' AS field, {f} AS raw_value, '{rule}' AS rule_id, {detail} AS detail, {place} AS place, {fatal} = 1 AS fatal, {rules.CATALOGUE[rule].row_level} AS row_level FROM {t} WHERE {when}")
     return "\n  UNION ALL ".join(selects)
 
 
 _EVENTS = f"WITH {CTE_PRODUCTS}, {CTE_COMMENTS}, {_DISTINCT},\nevents AS (\n  {_event_sql()})"
-_ALL_RULES = ", ".join(f"('{s}', '{r}')" for s, rs in (("products", T.PRODUCT_RULES), ("offers", T.OFFER_RULES), ("comments", T.COMMENT_RULES)) for r in rs)
+_INFO = ", ".join(f"('{k}', '{i.action}', '{i.severity}', {i.lossy})" for k, i in rules.CATALOGUE.items())
+_ALL_RULES = ", ".join(f"('{s}', '{r}')" for s, rs in (("products", rules.PRODUCT_RUN_RULES), ("comments", rules.COMMENT_RUN_RULES)) for r in rs)
 
 
 def _reconciled(side: str, t: str) -> str:
@@ -383,6 +426,11 @@ def scope_inventory(spark: SparkSession, d: str) -> DataFrame:
     return scopes.inventory(table(spark, d, "final_products"), offers, comments, ["category1", "category2"])
 
 
+def inventory_report(spark: SparkSession, d: str) -> DataFrame:
+    """The inventory with the 23 columns of the published report."""
+    return scopes.report(scope_inventory(spark, d))
+
+
 def scope_invariants(spark: SparkSession, d: str) -> DataFrame:
     return scopes.broken_invariants(scope_inventory(spark, d)).select("level", "scope_category1", "scope_category2")
 
@@ -409,10 +457,10 @@ p AS (SELECT f.product_id, category1, category2, brand, coalesce(comments, 0) AS
 s AS (SELECT 1 AS level, category1 AS c1, NULL AS c2, * FROM p WHERE category1 IS NOT NULL UNION ALL SELECT 2, category1, category2, * FROM p WHERE category1 IS NOT NULL AND category2 IS NOT NULL),
 g AS (SELECT level, c1, c2, count(*) AS products, count(DISTINCT brand) AS brands, CAST(sum(comments) AS BIGINT) AS comments, count(*) FILTER (comments > 0) AS commented_products, CAST(sum(bodies) AS BIGINT) AS bodies,
   CAST(sum(buyers) AS BIGINT) AS buyers, CAST(sum(ratings) AS BIGINT) AS ratings, count(price) AS priced_products, {', '.join(f'count(*) FILTER (comments >= {k}) AS products_with_{k}' for k in scopes.STEPS)},
-  list(price) FILTER (price IS NOT NULL) AS prices, list(comments) AS depths FROM s GROUP BY level, c1, c2),
+  list(price) FILTER (price IS NOT NULL) AS prices, list(comments) FILTER (comments > 0) AS depths FROM s GROUP BY level, c1, c2),
 inv AS (SELECT level, c1 AS scope_category1, c2 AS scope_category2, products, brands, comments, commented_products, bodies, buyers, ratings, priced_products, {', '.join(f'products_with_{k}' for k in scopes.STEPS)},
-  {_interp('prices', 0.05)} AS price_p05, {_interp('prices', 0.5)} AS price_p50, {_interp('prices', 0.95)} AS price_p95, {_interp('depths', 0.5)} AS comments_p50,
-  CAST(commented_products * 100 AS DOUBLE) / products AS coverage_percent FROM g)"""
+  products - commented_products AS uncommented_products, {_interp('prices', 0.05)} AS price_p05, {_interp('prices', 0.5)} AS price_p50, {_interp('prices', 0.95)} AS price_p95, {_interp('depths', 0.5)} AS comments_p50, {_interp('depths', 0.95)} AS comments_p95,
+  CAST(commented_products * 100 AS DOUBLE) / products AS coverage_percent, CAST(priced_products * 100 AS DOUBLE) / products AS price_coverage_percent FROM g)"""
 
 # --- profiling -------------------------------------------------------------------------------------------------------
 
@@ -542,10 +590,44 @@ def header_checks(spark: SparkSession, d: str) -> DataFrame:
     return _union(parts)
 
 
-_SIMPLE = ["parse_ids", "parse_counts", "parse_booleans", "product_rate_rules", "comment_rate_rules", "text_sentinels", "jalali_parse", "product_transform", "offer_transform", "comment_transform", "exact_row_dedup", "dup_id_metrics", "duplicated_rows", "offer_dedup", "offer_fingerprint", "core_digest", "canonical_products", "product_conflicts", "canonical_comments", "comment_conflicts", "offers_without_product", "orphan_comments", "first_orphan_products", "comment_date_range", "row_audit", "rule_event_counts", "aggregate_transformations", "quarantine_rows", "quarantine_rule_counts", "reconciliation", "price_p999_flag", "price_thresholds", "group_nearest_rank", "scope_inventory", "scope_invariants", "coherent_scopes_topk", "column_profile", "top_values", "value_distribution", "missing_summary", "range_violations", "price_validation", "offer_variation", "join_coverage", "products_of_comments", "crosstab_margins", "describe_price", "histogram_bins", "nlargest", "value_counts", "date_shape_counts", "comments_by_jalali_year", "code_title_multiplicity", "occurrence_histogram", "field_disagreement", "price_history_relation", "stratified_sample", "lexical_classes", "sentinel_crosstab", "named_scopes", "header_checks"]
+_SIMPLE = ["parse_ids", "parse_counts", "parse_booleans", "product_rate_rules", "comment_rate_rules", "text_sentinels", "jalali_parse", "product_transform", "offer_transform", "comment_transform", "exact_row_dedup", "dup_id_metrics", "duplicated_rows", "offer_dedup", "offer_fingerprint", "raw_digest", "offer_id_collisions", "offer_multiplicity", "core_digest", "canonical_products", "product_conflicts", "canonical_comments", "canonical_comment_figures", "comment_conflicts", "offers_without_product", "orphan_comments", "first_orphan_products", "comment_date_range", "row_audit", "rule_event_counts", "aggregate_transformations", "quarantine_rows", "quarantine_rule_counts", "reconciliation", "price_p999_flag", "price_thresholds", "group_nearest_rank", "scope_inventory", "inventory_report", "scope_invariants", "coherent_scopes_topk", "column_profile", "top_values", "value_distribution", "missing_summary", "range_violations", "price_validation", "offer_variation", "join_coverage", "products_of_comments", "crosstab_margins", "describe_price", "histogram_bins", "nlargest", "value_counts", "date_shape_counts", "comments_by_jalali_year", "code_title_multiplicity", "occurrence_histogram", "field_disagreement", "price_history_relation", "stratified_sample", "lexical_classes", "sentinel_crosstab", "named_scopes", "header_checks"]
 QUERIES = {n: globals()[n] for n in _SIMPLE}
 
-_FP = _digest_sql([("id", "V"), ('"Price"', "V"), ('"Seller"', "V"), ('"Is_Fake"', "V"), ("min_price_last_month", "V")])
+_OFFER_SQL = ", ".join(f'"{c}"' for c in T.OFFER_CONTENT)
+_FP = _digest_sql([(f'"{c}"', "V") for c in T.OFFER_CONTENT])
+_OK = f"""ok_products AS (SELECT source_row, {_int('id')} AS product_id FROM distinct_products WHERE source_row NOT IN (SELECT source_row FROM events WHERE side = 'products' AND fatal)),
+ok_offers AS (SELECT source_row, {_int('id')} AS product_id, nullif({_int('"Price"')}, 0) AS price_raw, {_OFFER_SQL} FROM distinct_products WHERE source_row NOT IN (SELECT source_row FROM events WHERE side = 'offers' AND fatal)),
+distinct_offers AS (SELECT DISTINCT product_id, price_raw, {_OFFER_SQL} FROM ok_offers)"""
+_RULE_COUNTS = f"""{_EVENTS}, {_OK},
+won AS ({_CANON_PRODUCTS} SELECT product_id, variants FROM w WHERE place = 1),
+final_offers AS (SELECT * FROM distinct_offers WHERE product_id IN (SELECT product_id FROM won)),
+threshold AS (SELECT price_raw AS t FROM (SELECT price_raw, row_number() OVER (ORDER BY price_raw) AS k, count(*) OVER () AS n FROM final_offers WHERE price_raw > 0) WHERE k = (999 * n + 999) // 1000),
+ok_comments AS (SELECT * FROM distinct_comments WHERE source_row NOT IN (SELECT source_row FROM events WHERE side = 'comments' AND fatal)),
+won_comments AS ({_CANON_COMMENTS} SELECT comment_id, product_id, variants, product_id NOT IN (SELECT product_id FROM final_products) AS orphan FROM w WHERE place = 1),
+counted(side, rule_id, n) AS (
+  SELECT CASE WHEN side = 'comments' THEN side ELSE 'products' END, rule_id, count(*) FROM events GROUP BY ALL
+  UNION ALL SELECT 'products', 'RAW-001', sum(copies) FROM distinct_products
+  UNION ALL SELECT 'products', 'PRD-001', sum(copies - 1) FROM distinct_products
+  UNION ALL SELECT 'products', 'ID-001', count(*) FROM distinct_products WHERE source_row NOT IN (SELECT source_row FROM events WHERE side = 'products' AND rule_id = 'ID-002')
+  UNION ALL SELECT 'products', 'BOOL-001', count(*) FROM distinct_products WHERE source_row NOT IN (SELECT source_row FROM events WHERE side = 'offers' AND rule_id = 'BOOL-002')
+  UNION ALL SELECT 'products', 'PRD-002', count(*) FROM (SELECT product_id FROM ok_products GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT 'products', 'PRD-003', count(*) FROM won WHERE variants > 1
+  UNION ALL SELECT 'products', 'OFF-001', (SELECT count(*) FROM ok_offers) - (SELECT count(*) FROM distinct_offers)
+  UNION ALL SELECT 'products', 'OFF-002', count(*) - count(DISTINCT product_id) FROM final_offers
+  UNION ALL SELECT 'products', 'OFF-005', count(*) FROM final_offers, threshold WHERE price_raw > t
+  UNION ALL SELECT 'products', 'OFF-006', count(*) FROM final_offers WHERE price_raw > 0
+  UNION ALL SELECT 'products', 'OFF-009', (SELECT count(*) FROM distinct_offers) - (SELECT count(*) FROM final_offers)
+  UNION ALL SELECT 'comments', 'RAW-001', sum(copies) FROM distinct_comments
+  UNION ALL SELECT 'comments', 'COM-001', sum(copies - 1) FROM distinct_comments
+  UNION ALL SELECT 'comments', 'ID-001', count(*) FROM distinct_comments WHERE source_row NOT IN (SELECT source_row FROM events WHERE side = 'comments' AND rule_id = 'ID-002')
+  UNION ALL SELECT 'comments', 'BOOL-001', count(*) FROM distinct_comments WHERE source_row NOT IN (SELECT source_row FROM events WHERE side = 'comments' AND rule_id = 'BOOL-002')
+  UNION ALL SELECT 'comments', 'COM-004', count(*) FROM ok_comments WHERE TRY_CAST(trim(rate) AS DECIMAL(38,10)) BETWEEN 0.01 AND 5 AND NOT (contains(rate, '.') AND length(split_part(trim(rate), '.', 2)) > 2)
+  UNION ALL SELECT 'comments', 'COM-007', count(*) FROM ok_comments WHERE trim(rate) = '2500'
+  UNION ALL SELECT 'comments', r, count(*) FROM ok_comments, (VALUES ('COM-008'), ('DATE-001'), ('DATE-002'), ('DATE-004')) x(r) GROUP BY r
+  UNION ALL SELECT 'comments', 'COM-002', count(*) FROM won_comments WHERE variants > 1
+  UNION ALL SELECT 'comments', 'JOIN-001', count(*) FROM won_comments WHERE NOT orphan
+  UNION ALL SELECT 'comments', 'JOIN-002', count(*) FROM won_comments WHERE orphan)
+SELECT r.side, r.rule_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM (VALUES {_ALL_RULES}) r(side, rule_id) LEFT JOIN counted USING (side, rule_id) GROUP BY ALL"""
 _XNUM = "CASE WHEN regexp_full_match(trim({c}), '[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(trim({c}) AS DOUBLE) END"
 _UNPIVOTED = "(" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", nullif(CASE WHEN trim("{c}") = '' THEN '' ELSE "{c}" END, '') AS value, source_row FROM raw_products""" for c in dict.fromkeys([*_PROFILED, "sub_category"])) + ")"
 
@@ -577,29 +659,36 @@ ORACLES = {
     "duplicated_rows": "SELECT source_row, comment_id, count(*) OVER (PARTITION BY comment_id) AS copies FROM comment_candidates QUALIFY copies > 1",
     "offer_dedup": f"WITH {TYPED_OFFERS} SELECT min(source_row) AS source_row, count(*) AS copies FROM offers_ok GROUP BY id, p, s, f, h",
     "offer_fingerprint": f"WITH {CTE_PRODUCTS} SELECT source_row, {_FP} AS fingerprint FROM raw_products",
+    "raw_digest": f"WITH {CTE_PRODUCTS} SELECT source_row, {_digest_sql([(f'{chr(34)}{c}{chr(34)}', 'S') for c in T.PRODUCT_COLUMNS])} AS digest FROM raw_products",
+    "offer_id_collisions": f"{_EVENTS}, {_OK} SELECT count(*) AS contents, count(DISTINCT {_FP}) AS ids, count(*) - count(DISTINCT {_FP}) AS collisions FROM distinct_offers",
+    "offer_multiplicity": f"{_EVENTS}, {_OK} SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_ids, count(*) FILTER (n > 1) AS repeated_ids, CAST(sum(n - 1) AS BIGINT) AS excess_rows FROM (SELECT count(*) AS n FROM distinct_offers GROUP BY product_id)",
+    "canonical_comment_figures": f"""{_CANON_COMMENTS}, per AS (SELECT comment_id, sum(copies) AS n, count(*) AS contents FROM v WHERE k = 1 GROUP BY 1)
+  SELECT count(*) FILTER (n > 1) AS repeated_ids, CAST(sum(n - 1) AS BIGINT) AS repeated_excess_rows, count(*) FILTER (n > contents) AS identical_ids, CAST(sum(n - contents) AS BIGINT) AS identical_rows_removed,
+    count(*) FILTER (contents > 1) AS conflicting_ids, CAST(coalesce(sum(contents) FILTER (contents > 1), 0) AS BIGINT) AS conflict_alternatives, count(*) AS canonical FROM per""",
     "core_digest": f"WITH {TYPED_PRODUCTS} SELECT source_row, {_CORE_SQL} AS digest FROM products",
     "canonical_products": f"{_CANON_PRODUCTS} SELECT product_id, title_fa, category1, category2, brand, rate, rate_count, sub_category, is_unrated, inconsistent_zero_rate, variants > 1 AS core_attribute_conflict, source_row AS canonical_source_row FROM w WHERE place = 1",
     "product_conflicts": f"{_CANON_PRODUCTS} SELECT product_id, source_row, canonical_row, completeness, digest, place = 1 AS selected FROM w WHERE variants > 1",
-    "canonical_comments": f"{_CANON_COMMENTS} SELECT comment_id, product_id, title, body, created_at_gregorian, CAST(rate AS DOUBLE) AS rate, variants > 1 AS comment_id_conflict, source_row AS canonical_source_row FROM w WHERE place = 1",
+    "canonical_comments": f"{_CANON_COMMENTS} SELECT comment_id, product_id, title, body, created_at_gregorian, CAST(rate AS DOUBLE) AS rate, completeness, canonical_digest, variants > 1 AS comment_id_conflict, source_row AS canonical_source_row FROM w WHERE place = 1",
     "comment_conflicts": f"{_CANON_COMMENTS} SELECT comment_id, source_row, canonical_row, completeness, place = 1 AS selected FROM w WHERE variants > 1",
     "offers_without_product": f"WITH a AS ({_CANON_PRODUCTS} SELECT product_id FROM w WHERE place = 1), o AS (WITH {TYPED_OFFERS} SELECT source_row, product_id FROM offers_ok) SELECT * FROM o ANTI JOIN a USING (product_id)",
     "orphan_comments": f"{_CANON_COMMENTS} SELECT comment_id, product_id, source_row AS canonical_source_row FROM w WHERE place = 1 AND product_id NOT IN (SELECT product_id FROM final_products)",
     "first_orphan_products": "SELECT product_id, min(source_row) AS first_row, count(*) AS n FROM comment_candidates WHERE product_id NOT IN (SELECT product_id FROM final_products) GROUP BY 1 ORDER BY 2 LIMIT 20",
     "comment_date_range": f"{_CANON_COMMENTS} SELECT min(created_at_gregorian) AS first_day, max(created_at_gregorian) AS last_day FROM w WHERE place = 1 AND product_id IN (SELECT product_id FROM final_products)",
-    "row_audit": f"{_EVENTS} SELECT side AS dataset, source_row, entity_id, field, raw_value, rule_id, detail FROM events WHERE row_level",
-    "rule_event_counts": f"{_EVENTS} SELECT r.side, r.rule_id, count(e.rule_id) AS n FROM (VALUES {_ALL_RULES}) r(side, rule_id) LEFT JOIN events e USING (side, rule_id) GROUP BY ALL",
+    "row_audit": f"{_EVENTS}, info(rule_id, action, severity, is_lossy) AS (VALUES {_INFO}) SELECT side AS dataset, source_row, entity_id, field, raw_value, rule_id, action, severity, detail, is_lossy FROM events JOIN info USING (rule_id) WHERE row_level",
+    "rule_event_counts": _RULE_COUNTS,
     "aggregate_transformations": f"{_EVENTS} SELECT side, rule_id, field, count(*) AS n FROM events WHERE NOT row_level GROUP BY ALL",
-    "quarantine_rows": f"""{_EVENTS}, q AS (SELECT side, source_row, any_value(entity_id) AS entity_id, array_to_string(list_sort(list_distinct(list(rule_id))), ',') AS rule_ids,
-  string_agg(rule_id || coalesce(': ' || detail, ''), '; ' ORDER BY place) AS reason FROM events WHERE fatal GROUP BY ALL)
+    "quarantine_rows": f"""{_EVENTS}, info(rule_id, action, severity, is_lossy) AS (VALUES {_INFO}), q AS (SELECT side, source_row, any_value(entity_id) AS entity_id, array_to_string(list_sort(list_distinct(list(rule_id))), ',') AS rule_ids,
+  string_agg(rule_id || ': ' || action || coalesce(' (' || detail || ')', ''), '; ' ORDER BY place) AS reason FROM events JOIN info USING (rule_id) WHERE row_level AND (side, source_row) IN (SELECT (side, source_row) FROM events WHERE fatal) GROUP BY ALL)
   SELECT side AS dataset, q.source_row, entity_id, rule_ids, reason, raw_record_json FROM q JOIN ({_json_sql('distinct_products', T.PRODUCT_COLUMNS)}) r USING (source_row) WHERE side <> 'comments'
   UNION ALL SELECT side, q.source_row, entity_id, rule_ids, reason, raw_record_json FROM q JOIN ({_json_sql('distinct_comments', T.COMMENT_COLUMNS)}) r USING (source_row) WHERE side = 'comments'""",
-    "quarantine_rule_counts": f"{_EVENTS} SELECT side AS dataset, rule_id, count(DISTINCT source_row) AS n FROM events WHERE fatal GROUP BY ALL",
+    "quarantine_rule_counts": f"{_EVENTS} SELECT side AS dataset, rule_id, count(DISTINCT source_row) AS n FROM events WHERE row_level AND (side, source_row) IN (SELECT (side, source_row) FROM events WHERE fatal) GROUP BY ALL",
     "reconciliation": f"{_EVENTS} {_reconciled('products', 'distinct_products')} UNION ALL {_reconciled('offers', 'distinct_products')} UNION ALL {_reconciled('comments', 'distinct_comments')}",
     "price_p999_flag": "WITH t AS (SELECT price_raw AS threshold FROM (SELECT price_raw, row_number() OVER (ORDER BY price_raw) AS k, count(*) OVER () AS n FROM offers WHERE price_raw IS NOT NULL) WHERE k = (999 * n + 999) // 1000) SELECT source_row, price_raw, coalesce(price_raw > (SELECT threshold FROM t), FALSE) AS high_price_review FROM offers",
     "price_thresholds": _nearest_sql("offers", [], [500, 950, 990, 999]),
     "group_nearest_rank": _nearest_sql("(SELECT o.price_raw, p.sub_category FROM offers o JOIN product_candidates p USING (source_row))", ["sub_category"], [100, 500, 900, 999]),
     "scope_inventory": f"{_INVENTORY} SELECT * FROM inv",
-    "scope_invariants": f"{_INVENTORY} SELECT level, scope_category1, scope_category2 FROM inv WHERE commented_products > products",
+    "inventory_report": f"{_INVENTORY} SELECT CASE level WHEN 1 THEN 'category1' ELSE 'category1_category2' END AS scope_level, scope_category1 AS category1, scope_category2 AS category2, {', '.join(f'{c} AS {n}' for n, c in scopes.REPORT.items())} FROM inv",
+    "scope_invariants": f"{_INVENTORY} SELECT level, scope_category1, scope_category2 FROM inv WHERE commented_products > products OR priced_products > products OR bodies > comments OR buyers > comments OR ratings > comments OR NOT (commented_products >= products_with_5 AND products_with_5 >= products_with_10 AND products_with_10 >= products_with_20 AND products_with_20 >= products_with_50)",
     "coherent_scopes_topk": f"{_INVENTORY} SELECT scope_category1, scope_category2, products, comments, commented_products, brands FROM inv WHERE level = 2 AND products >= 20 AND comments >= 20 AND coverage_percent >= 10 AND brands >= 2 AND NOT contains(scope_category2, 'متفرقه') AND NOT contains(scope_category2, 'سایر') ORDER BY comments DESC, commented_products DESC, products DESC, scope_category1, scope_category2 LIMIT 20",
     "column_profile": f"""WITH {CTE_PRODUCTS}, u AS (SELECT *, {_XNUM.format(c='value')} AS x FROM {_UNPIVOTED} WHERE "column" <> 'sub_category') SELECT "column", count(*) FILTER (value IS NULL) AS missing, count(value) AS present, count(x) AS "numeric", count(*) FILTER (value IS NOT NULL AND x IS NULL) AS not_numeric, min(x) AS least, max(x) AS greatest, round(sum(x), 2) AS total FROM u GROUP BY 1""",
     "top_values": f"""WITH {CTE_PRODUCTS}, n AS (SELECT "column", value, count(*) AS n, min(source_row) AS f FROM {_UNPIVOTED} WHERE value IS NOT NULL AND "column" IN ('Brand', 'Category1', 'Is_Fake') GROUP BY 1, 2) SELECT "column", row_number() OVER (PARTITION BY "column" ORDER BY n DESC, f) AS place, value, n FROM n QUALIFY place <= 20""",

@@ -98,21 +98,57 @@ def read_split_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFr
     return df.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
 
 
+def text_rows(lines: Iterator[str], sep: str, columns: int, name: str = "csv") -> Iterator[tuple]:
+    """(row number, tokens...) of each record behind the header; short records end in nulls, long ones are an error."""
+    csv.field_size_limit(FIELD_LIMIT * 4)
+    reader = csv.reader(lines, delimiter=sep)
+    next(reader, None)
+    for number, tokens in enumerate((r for r in reader if r), 2):
+        if len(tokens) > columns:
+            raise CsvError(f"{name}: row {number} has {len(tokens)} fields, {columns} were declared")
+        yield (number, *tokens, *([None] * (columns - len(tokens))))
+
+
+class _TextReader(_Reader):
+    def __init__(self, schema: T.StructType, options: dict):
+        super().__init__(schema, options)
+        self.sep = options["sep"]
+
+    def read(self, partition: _File) -> Iterator[tuple]:
+        with open(partition.path, encoding=self.encoding, newline="") as f:
+            for row in text_rows(f, self.sep, len(self.columns), partition.path):
+                if self.rows is not None and row[0] > self.rows + 1:
+                    return
+                yield row
+
+
+class TextCsv(ExactCsv):
+    """Format ``text_csv``: as ``exact_csv``, for files whose header and delimiter were sniffed; further option: sep."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "text_csv"
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _TextReader(schema, dict(self.options))
+
+
 def read_text(spark: SparkSession, path: str, columns: list[str] | None = None, max_rows: int | None = None) -> DataFrame:
-    """A delimited file of unknown columns as text, its encoding and delimiter sniffed; for profiling.
+    """A delimited file of unknown columns as text with ``source_row``, its encoding and delimiter sniffed; for profiling.
 
-    Usual spellings of a missing value and blanks become null. ``columns`` are read alone, ``max_rows`` is a cap.
+    Usual spellings of a missing value become null. ``columns`` are given alone; with ``max_rows`` the first records are read
+    and no more, which also makes a bounded sample.
     """
-    from catalogq.functions.text import is_blank
     from catalogq.sources.sniff import sniff
 
     encoding, sep = sniff(path)
-    df = spark.read.csv(path, header=True, sep=sep, encoding="UTF-8" if encoding.startswith("utf-8") else encoding, multiLine=True, escape='"', inferSchema=False)
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
-    df = df.select(*(columns or df.columns))
-    if max_rows is not None:
-        df = df.limit(max_rows)
-    return df.select(*[F.when(~(is_blank(F.col(c)) | F.col(c).isin(*MISSING)), F.col(c)).alias(c) for c in df.columns])
+    with open(path, encoding=encoding, newline="") as f:
+        names = next(csv.reader(f, delimiter=sep), [])
+    spark.dataSource.register(TextCsv)
+    schema = T.StructType([T.StructField("source_row", T.LongType()), *(T.StructField(c, T.StringType()) for c in names)])
+    r = spark.read.format("text_csv").schema(schema).option("sep", sep).option("encoding", encoding)
+    df = (r if max_rows is None else r.option("maxRows", max_rows)).load(path)
+    return df.select("source_row", *[F.when(~F.col(c).isin(*MISSING), F.col(c)).alias(c) for c in columns or names])
 
 
 # Texts that stand for a missing value in profiles.

@@ -8,7 +8,7 @@ import json
 import os
 import shutil
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +31,16 @@ def file_sha256(path: str) -> str:
     return h.hexdigest()
 
 
+def checksums(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """SHA-256 of each file, one task a file; of a folder, over the names and checksums of its data files."""
+    found = {p: sorted(str(f) for f in Path(p).rglob("*") if f.is_file() and f.name[0] not in "._") if Path(p).is_dir() else [p] for p in paths}
+    files = sorted({f for fs in found.values() for f in fs})
+    hashed = lambda batches: (b.assign(sha256=[file_sha256(f) for f in b["path"]]) for b in batches)
+    df = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, len(files)), "path")
+    of = {r.path: r.sha256 for r in df.mapInPandas(hashed, "path string, sha256 string").collect()}
+    return {p: of[p] if fs == [p] else hashlib.sha256(to_json([[os.path.relpath(f, p), of[f]] for f in fs]).encode()).hexdigest() for p, fs in found.items()}
+
+
 def content_figures(df: DataFrame) -> dict:
     """Row count and a hash of the rows that does not depend on their order; one distributed pass."""
     h = F.xxhash64(*df.columns)
@@ -39,15 +49,17 @@ def content_figures(df: DataFrame) -> dict:
 
 
 def write_table(df: DataFrame, path: str, schema: T.StructType, order: list[str]) -> dict:
-    """Parquet with the declared columns, types and nullability, globally ordered; gives its figures.
+    """Parquet with the declared columns, types and nullability, globally ordered by ``order``, columns of ``df`` that need
+    not be declared; gives its figures.
 
     A null in a non-null column fails the write. Empty input gives a table without rows.
     """
-    typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    declared = [f.name for f in schema.fields]
+    typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], *[c for c in order if c not in declared])
     nulls = [f.name for f in schema.fields if not f.nullable]
     for c in nulls:
         typed = typed.withColumn(c, F.coalesce(c, F.raise_error(F.lit(f"null in {c}"))))
-    typed.orderBy(*order).write.mode("errorifexists").option("compression", "snappy").parquet(path)
+    typed.orderBy(*order).select(declared).write.mode("errorifexists").option("compression", "snappy").parquet(path)
     back = df.sparkSession.read.parquet(path)
     if [(f.name, f.dataType) for f in back.schema] != [(f.name, f.dataType) for f in schema]:
         raise ValueError(f"{path} does not have the declared schema")
@@ -87,6 +99,9 @@ class Publication:
     def write_json(self, name: str, value: object) -> None:
         (self.path / name).write_text(to_json(value) + "\n", encoding="utf-8")
 
+    def write_text(self, name: str, text: str) -> None:
+        (self.path / name).write_text(text, encoding="utf-8")
+
     def __exit__(self, kind: type | None, error: BaseException | None, trace: object) -> None:
         backup = self.target.with_name(f".{self.target.name}.backup-{uuid.uuid4().hex[:8]}")
         try:
@@ -113,12 +128,12 @@ def run_id(inputs: dict[str, str], settings: dict) -> str:
     return hashlib.sha256(to_json({"inputs": inputs, "settings": settings}).encode()).hexdigest()
 
 
-def write_csv_report(rows: list[dict], columns: list[str], path: str) -> None:
+def write_csv_report(rows: Iterable[dict], columns: list[str], path: str) -> None:
     """A small report as one CSV file: LF line ends, nothing for null."""
     with open(path, "w", encoding="utf-8", newline="") as f:
         w = csv.writer(f, lineterminator="\n")
         w.writerow(columns)
-        w.writerows([["" if r[c] is None else r[c] for c in columns] for r in rows])
+        w.writerows(["" if r[c] is None else r[c] for c in columns] for r in rows)
 
 
 def markdown_table(rows: list[dict], columns: list[str]) -> str:

@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import codecs
 import csv
+import os
 
 #: Bytes looked at.
 SAMPLE = 100_000
 # Encodings in the order they are tried.
-ENCODINGS = ["utf-8-sig", "utf-8", "cp1256", "latin-1"]
+ENCODINGS = ["utf-8-sig", "utf-8", "cp1256", "windows-1252", "latin1"]
 DELIMITERS = ",;\t|"
 
 
 def encoding_of(head: bytes) -> str:
     """The first encoding that decodes the sample; a code point cut off at its end is no error."""
     for e in ENCODINGS:
-        if e == "utf-8-sig" and not head.startswith(codecs.BOM_UTF8):
-            continue
         try:
             codecs.getincrementaldecoder(e)().decode(head, final=False)
             return e
@@ -37,17 +36,15 @@ def sniff(path: str) -> tuple[str, str]:
     with open(path, "rb") as f:
         head = f.read(SAMPLE)
     e = encoding_of(head)
-    return e, delimiter_of(head.decode(e, errors="ignore").partition("\n")[0] + "\n", path)
+    return e, delimiter_of(codecs.getincrementaldecoder(e)().decode(head, final=False), path)
 
 
 def dataset_kind(path: str, columns: list[str]) -> str:
-    """comments, products or unknown, by the names of the columns, then of the file."""
-    names = {c.lower() for c in columns}
-    if {"product_id", "body"} <= names or "comment" in path.lower():
+    """comments, products or generic, by the names of the columns and of the file."""
+    names, name = {c.lower() for c in columns}, os.path.basename(path).lower()
+    if "product_id" in names or "comment" in name:
         return "comments"
-    if {"price"} & names or "product" in path.lower():
-        return "products"
-    return "unknown"
+    return "products" if "price" in names or "product" in name else "generic"
 
 
 def find_column(columns: list[str], wanted: list[str]) -> str | None:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalogq import pipelines, schemas
+from catalogq.functions import digest
 from catalogq.cli import main
 from catalogq.operators import canonical, dedup, profile, quantile, scopes
 from catalogq.operators import transforms as T
@@ -44,11 +45,11 @@ def test_broken_files(text):
 
 
 def test_sniffing(tmp_path):
-    assert sniff.encoding_of("﻿سلام".encode("utf-8")) == "utf-8-sig" and sniff.encoding_of("سلام".encode()[:-1]) == "utf-8"
+    assert sniff.encoding_of("﻿سلام".encode("utf-8")) == "utf-8-sig" and sniff.encoding_of("سلام".encode()[:-1]) == "utf-8-sig"
     assert sniff.encoding_of("سلام".encode("cp1256")) == "cp1256"
     p = tmp_path / "x.csv"
     p.write_text("id;title;Price\n1;a;2\n")
-    assert sniff.sniff(str(p)) == ("utf-8", ";")
+    assert sniff.sniff(str(p)) == ("utf-8-sig", ";")
     assert sniff.dataset_kind("x", ["id", "Price"]) == "products" and sniff.dataset_kind("x", ["product_id", "body"]) == "comments"
     assert sniff.find_column(["ID", "Rate"], ["score", "rate"]) == "Rate"
 
@@ -121,13 +122,19 @@ def test_clean_products(spark, tmp_path):
     c = [{}, {}, {"Seller": "b", "Price": "200"}, {"id": "2"}, {"id": "2", "Rate_cnt": "20", "title_fa": "y"}, {"id": "5", "Price": "bad"}, {"id": "6", "Rate": "101"}, {"id": "7", "Price": "0", "Seller": "nan", "min_price_last_month": "0"}]
     path = write(tmp_path / "p.csv", T.PRODUCT_COLUMNS, PRODUCT, c)
     audit = pipelines.clean_products(spark, path, str(tmp_path / "out"))
-    n = audit["counts"]
-    assert (n["products"]["rows"], n["products"]["repeats"], n["products"]["distinct"], n["products"]["quarantined"], n["offers"]["quarantined"]) == (8, 1, 7, 1, 1)
+    n = audit["rows"]
+    assert [n[c] for c in ("input_rows", "exact_duplicate_rows_removed", "distinct_raw_rows_retained", "product_quarantine_rows", "offer_transform_quarantine_rows", "offers_without_canonical_product")] == [8, 1, 7, 1, 1, 1]
+    rules = audit["rule_event_counts"]
+    assert {k: v for k, v in rules.items() if v} == {"RAW-001": 8, "PRD-001": 1, "ID-001": 7, "BOOL-001": 7, "PRD-002": 2, "PRD-003": 1, "PRD-004": 1, "OFF-001": 1, "OFF-002": 1, "OFF-003": 1, "OFF-004": 1, "OFF-006": 3, "OFF-007": 1, "OFF-009": 1}
     products = spark.read.parquet(f"{tmp_path}/out/products_clean").orderBy("product_id").collect()
     assert [(r.product_id, r.canonical_source_row_number, r.core_attribute_conflict) for r in products] == [(1, 2, False), (2, 6, True), (5, 7, False), (7, 9, False)]
     offers = spark.read.parquet(f"{tmp_path}/out/offers_clean").orderBy("source_row_number").collect()
     assert [(r.product_id, r.price_raw, str(r.price_toman), r.seller) for r in offers] == [(1, 100, "10.0", "فروشنده یک"), (1, 200, "20.0", "b"), (2, 100, "10.0", "فروشنده یک"), (7, None, "None", "nan")]
-    quarantined = {(r.dataset, r.entity_id): r.rule_ids for r in spark.read.parquet(f"{tmp_path}/out/quarantine").collect()}
+    quarantined = {(r.dataset, r.entity_id): r.rule_ids for t in ("product", "offer") for r in spark.read.parquet(f"{tmp_path}/out/{t}_quarantine").collect()}
+    audits = spark.read.parquet(f"{tmp_path}/out/row_audit").collect()
+    assert [(r.source_row_number, r.rule_id, r.action, r.severity, r.is_lossy) for r in audits] == [(7, "OFF-004", "quarantine offer", "error", True), (8, "PRD-004", "quarantine product candidate", "error", True), (9, "OFF-003", "set zero price to null and flag", "warning", True)]
+    core = json.loads(spark.read.parquet(f"{tmp_path}/out/product_conflicts").where("candidate_source_row_number = 6").first().raw_core_json)
+    assert core["title_fa"] == "y" and set(core) == set(T.CORE_COLUMNS)
     assert quarantined == {("products", 6): ["PRD-004"], ("offers", 5): ["OFF-004"], ("offers", 6): ["OFF-009"]}
     assert (tmp_path / "out/_SUCCESS").read_text() == "success\n" and json.loads((tmp_path / "out/run_manifest.json").read_text())["run_id"]
     assert spark.read.parquet(f"{tmp_path}/out/offers_clean").schema.fieldNames() == schemas.schema(schemas.OFFERS).fieldNames()
@@ -139,8 +146,11 @@ def test_clean_products(spark, tmp_path):
     audit = pipelines.clean_comments(spark, source, f"{tmp_path}/out/products_clean", str(tmp_path / "com"))
     clean = spark.read.parquet(f"{tmp_path}/com/comments_clean").orderBy("comment_id").collect()
     assert [(r.comment_id, r.comment_id_conflict, r.invalid_rate, r.canonical_source_row_number) for r in clean] == [(1, False, False, 2), (2, False, True, 4), (5, True, False, 8)]
-    assert audit["counts"]["orphans"] == 1 and audit["rules"]["COM-021"] == 1 and audit["rules"]["COM-016"] == 1
-    assert spark.read.parquet(f"{tmp_path}/com/comment_conflicts").count() == 2
+    assert audit["rows"]["orphan_comment_rows"] == 1 and audit["rule_event_counts"]["COM-021"] == 1 and audit["rule_event_counts"]["COM-016"] == 1
+    assert audit["rows"]["conflict_alternative_count"] == 2 and audit["field_quality_counts"]["body_sentinel_to_null"] == 1 and audit["accepted_date_range"]["jalali_min"] == "1395-04-23"
+    lost = spark.read.parquet(f"{tmp_path}/com/comment_conflicts").collect()
+    assert len(lost) == 2 and json.loads(lost[0].raw_mapped_json).keys() == set(T.COMMENT_COLUMNS[1:]) and {r.completeness for r in lost} == {11, 12}
+    assert {(r.entity_id, tuple(r.rule_ids), r.reason) for r in spark.read.parquet(f"{tmp_path}/com/comment_quarantine").collect()} == {(3, ("JOIN-002",), pipelines.NO_PRODUCT["JOIN-002"]), (4, ("DATE-003",), "DATE-003: quarantine comment (invalid day for Jalali month and year)")}
     inv = pipelines.category_inventory(spark, f"{tmp_path}/out/products_clean", f"{tmp_path}/out/offers_clean", spark.read.parquet(f"{tmp_path}/com/comments_clean"), str(tmp_path / "inv"))
     assert inv.count() == 2 and b"\r" not in (tmp_path / "inv/inventory.csv").read_bytes()
 
@@ -165,9 +175,16 @@ def test_profile_run(spark, tmp_path):
     p = tmp_path / "products.csv"
     p.write_text("id;title;Price;Rate\n1;a;10;50\n1;b;bad;101\n;c;0;-1\n3;NA;-5;\n3;NA;-5;\n")
     assert main(["profile", "--input", str(p), "--output", str(tmp_path / "o")]) == 0
-    r = pipelines.read_report(f"{tmp_path}/o/profile.json")
-    assert (r["rows"], r["delimiter"], r["kind"], r["rate_outside"], r["repeated_rows"]) == (5, ";", "products", 2, 1)
-    assert r["price"] == {"missing": 0, "zero": 1, "negative": 2, "positive": 1, "not_numeric": 1} and r["ids"]["repeated_ids"] == 2
+    r = pipelines.read_report(f"{tmp_path}/o/dataset_profile.json")["datasets"][0]
+    v = r["validation"]
+    assert (r["rows"], r["delimiter"], r["dataset_type"], v["Rate"]["outside_0_100_count"], v["id"]["exact_full_row_duplicate_count"]) == (5, ";", "products", 2, 1)
+    assert v["Price"] == {"missing_count": 0, "zero_count": 1, "negative_count": 2, "non_numeric_count": 1} and v["id"]["duplicated_unique_id_count"] == 2 and v["Rate"]["distribution"] == {"50": 1, "101": 1, "-1": 1}
+    assert r["numeric_statistics"]["Price"] == {"min": -5.0, "max": 10.0, "mean": 0.0} and v["product_offer_variation"]["product_ids_with_different_prices"] == 1
+    c = tmp_path / "comments.csv"
+    c.write_text("product_id,rate,is_buyer\n1,5,True\n9,4,False\n8\n")
+    both = pipelines.profile_files(spark, [str(p), str(c)])
+    assert both["join_validation"]["orphan_comment_count"] == 2 and both["join_validation"]["orphan_product_ids_sample"] == ["8", "9"]
+    assert both["datasets"][1]["validation"]["is_buyer"]["distribution"] == {"True": 1, "False": 1} and pipelines.profile_file(spark, str(c), 2)["rows"] == 2
     assert pipelines.read_report(str(tmp_path / "none")) is None
 
 
@@ -204,8 +221,20 @@ def test_samples_and_named_scopes(spark):
     assert {r.form: r.n for r in forms.collect()} == {"integer": 1, "decimal": 1, "blank": 2, "signed": 1, "letters": 1, "other": 1}
 
 
+def test_digests_of_known_rows(spark):
+    """Frames and field orders against values made by hand from the stated rules."""
+    raw = dict(zip(T.PRODUCT_COLUMNS, ["17", "t", "0", "0", "c1", "", "b", "1200", "فروشگاه", "False", "0", " "]))
+    df = spark.createDataFrame([(2, *raw.values())], "source_row bigint, " + ", ".join(f"{c} string" for c in T.PRODUCT_COLUMNS))
+    frame = lambda tag, b: tag + len(b).to_bytes(8, "big") + b
+    offer = b"".join(frame(b"V", x.encode()) for x in ("17", "فروشگاه", "1200", "False", "0"))
+    got = df.select(digest.text_fingerprint([F.col(c) for c in T.OFFER_CONTENT])).first()[0]
+    assert got == hashlib.sha256(offer).hexdigest() == "d6c38cd50883b43ce6ebeeed1da56f66c07e65fe8e9b466ebdd5bd0e5c7c4fac"
+    core = frame(b"S", b"t") + frame(b"S", b"c1") + frame(b"N", b"") + frame(b"S", b"b") + frame(b"N", b"") + frame(b"I", b"0") + frame(b"N", b"")
+    assert T.product_candidates(df).select(T.core_digest()).first()[0] == hashlib.sha256(core).hexdigest() == "f56678f1cdd00a055379c67290d33b3f4ff5a74a30ac73ae5b9f018fc5beaf52"
+
+
 def test_ties_of_comments_fall_to_the_digest(spark, monkeypatch):
-    def digest(r):
+    def of(r):
         out = b""
         for c in T.COMMENT_COLUMNS[1:]:
             blank = r[c].strip() == "" or r[c] == "nan" and c in T.SENTINEL_RULES
@@ -218,7 +247,7 @@ def test_ties_of_comments_fall_to_the_digest(spark, monkeypatch):
     rows += [COMMENT | {"id": "40", "title": " "}, COMMENT | {"id": "40", "title": "nan"}]
     want, plain = {}, {}
     for n, r in enumerate(rows, 2):
-        want[int(r["id"])] = min(want.get(int(r["id"]), ("~",)), (digest(r), n))
+        want[int(r["id"])] = min(want.get(int(r["id"]), ("~",)), (of(r), n))
         plain.setdefault(int(r["id"]), n)
     want = {k: n for k, (_, n) in want.items()}
     assert {k for k in want if want[k] != plain[k]} & set(range(1, 13)) and {k for k in want if want[k] != plain[k]} & set(range(21, 33)) and want[40] == plain[40]
