@@ -14,33 +14,38 @@ from catalogq.session import table
 
 # --- p1 -------------------------------------------------------------------------------------------------------------
 
+#: The promised relative error, and that of the buckets: the difference is room for rounding to DECIMALS places, which engines
+#: need to give the same figures. It suffices for all values of at least one half; whole prices other than 0 are.
 PRICE_ERROR = 0.01
+BUCKET_ERROR = 0.0099
+DECIMALS = 4
 PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 CATEGORIES = ["category1", "category2"]
 
 
 def _price_buckets(spark: SparkSession, d: str, slices: list[str]) -> DataFrame:
     """Bucket counts of price_raw per category pair (and slice of the offers)."""
-    offers = table(spark, d, "offers").withColumn("feed_slice", F.floor(F.col("source_row") / 10_000))
-    per_product = log_sketch.bucket_counts(offers, ["product_id", *slices], "price_raw", PRICE_ERROR)
+    # sixteen slices at any size, standing for days or deliveries
+    offers = table(spark, d, "offers").withColumn("feed_slice", F.shiftrightunsigned(F.xxhash64("offer_id"), 60))
+    per_product = log_sketch.bucket_counts(offers, ["product_id", *slices], "price_raw", BUCKET_ERROR)
     products = table(spark, d, "final_products").select("product_id", *CATEGORIES)
     return per_product.join(products, "product_id").groupBy(*CATEGORIES, *slices, "bucket").agg(F.sum("n").alias("n"))
 
 
+def _percentiles(counts: DataFrame) -> DataFrame:
+    return log_sketch.percentiles(counts, CATEGORIES, PERCENTILES, BUCKET_ERROR).withColumn("estimate", F.round("estimate", DECIMALS))
+
+
 def p1_price_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    counts = _price_buckets(spark, d, [])
-    p = log_sketch.percentiles(counts, CATEGORIES, PERCENTILES, PRICE_ERROR)
-    return p.withColumn("estimate", F.round("estimate"))
+    return _percentiles(_price_buckets(spark, d, []))
 
 
 def p1_from_slices(spark: SparkSession, d: str) -> DataFrame:
-    counts = log_sketch.combined(_price_buckets(spark, d, ["feed_slice"]), CATEGORIES)
-    p = log_sketch.percentiles(counts, CATEGORIES, PERCENTILES, PRICE_ERROR)
-    return p.withColumn("estimate", F.round("estimate"))
+    return _percentiles(log_sketch.combined(_price_buckets(spark, d, ["feed_slice"]), CATEGORIES))
 
 
 def p1_error_audit(spark: SparkSession, d: str) -> DataFrame:
-    """The exact percentiles, from counts per value, and whether the estimate keeps its bound."""
+    """The exact percentiles, from counts per value, and whether the published estimate keeps the promised bound."""
     offers = table(spark, d, "offers").where("price_raw IS NOT NULL").groupBy("product_id", "price_raw").agg(F.count(F.lit(1)).alias("n"))
     values = offers.join(table(spark, d, "final_products").select("product_id", *CATEGORIES), "product_id").groupBy(*CATEGORIES, F.col("price_raw").alias("bucket")).agg(F.sum("n").alias("n"))
     # ranks among values go by value like ranks among buckets
@@ -51,14 +56,14 @@ def p1_error_audit(spark: SparkSession, d: str) -> DataFrame:
     r = r.withColumn("percentile", F.explode(F.array(*map(F.lit, PERCENTILES))))
     rank = F.greatest(F.lit(1), F.ceil(F.col("percentile") * F.col("total")))
     exact = r.where((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)).select(*CATEGORIES, "percentile", F.col("bucket").alias("exact"))
-    a, b = exact.alias("a"), log_sketch.percentiles(_price_buckets(spark, d, []), CATEGORIES, PERCENTILES, PRICE_ERROR).alias("b")
+    a, b = exact.alias("a"), p1_price_percentiles(spark, d).alias("b")
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*CATEGORIES, "percentile")]
-    near = F.abs(F.col("estimate") - F.col("exact")) <= F.lit(PRICE_ERROR * 1.000001) * F.abs(F.col("exact"))
+    near = F.abs(F.col("estimate") - F.col("exact")) <= F.lit(PRICE_ERROR) * F.abs(F.col("exact"))
     return a.join(b, on).select("a.category1", "a.category2", "a.percentile", "exact", near.alias("within_bound"))
 
 
-_LOG = repr(math.log(log_sketch.gamma(PRICE_ERROR)))
-_GAMMA = repr(log_sketch.gamma(PRICE_ERROR))
+_LOG = repr(math.log(log_sketch.gamma(BUCKET_ERROR)))
+_GAMMA = repr(log_sketch.gamma(BUCKET_ERROR))
 _ASKED = ", ".join(f"CAST({p} AS DOUBLE)" for p in PERCENTILES)
 _P1 = f"""
 WITH b AS (
@@ -66,7 +71,7 @@ WITH b AS (
   FROM offers JOIN final_products USING (product_id) WHERE price_raw > 0 GROUP BY ALL),
 r AS (SELECT *, sum(n) OVER (PARTITION BY category1, category2 ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY category1, category2) AS total FROM b),
 q AS (SELECT *, unnest([{_ASKED}]) AS percentile FROM r)
-SELECT category1, category2, percentile, CAST(total AS BIGINT) AS n, round(2 / ({_GAMMA} + 1) * pow({_GAMMA}, bucket)) AS estimate
+SELECT category1, category2, percentile, CAST(total AS BIGINT) AS n, round(2 / ({_GAMMA} + 1) * pow({_GAMMA}, bucket), {DECIMALS}) AS estimate
 FROM q WHERE upto >= greatest(1, ceil(percentile * total)) AND upto - n < greatest(1, ceil(percentile * total))"""
 _P1_EXACT = f"""
 WITH v AS (SELECT category1, category2, price_raw, row_number() OVER (PARTITION BY category1, category2 ORDER BY price_raw) AS k,
@@ -76,8 +81,10 @@ SELECT category1, category2, percentile, price_raw AS exact, TRUE AS within_boun
 
 # --- p3 -------------------------------------------------------------------------------------------------------------
 
+#: The record as one bundle, ranked as the survivors are defined; the search has its best row of each completeness.
+COMMENT_RECORD = Bundle("record", (), ("completeness", "unix_date(created_at_gregorian)"), "completeness")
+PRODUCT_RECORD = Bundle("record", (), ("rate_count", "completeness"), "completeness")
 COMMENT_BUNDLES = [
-    Bundle("record", (), ()),  # by trust: completeness, then date
     Bundle("product", ("product_id",), ("completeness", "created_at_gregorian")),
     Bundle("content", ("title", "body"), ("int(title IS NOT NULL) + int(body IS NOT NULL)", "completeness", "created_at_gregorian")),
     Bundle("created", ("created_at_raw", "created_at_jalali", "created_at_gregorian"), ("created_at_gregorian", "completeness")),
@@ -86,33 +93,28 @@ COMMENT_BUNDLES = [
     Bundle("buyer", ("is_buyer",), ("int(is_buyer IS NOT NULL)", "created_at_gregorian", "completeness")),
     Bundle("points", ("advantages", "disadvantages"), ("int(advantages IS NOT NULL) + int(disadvantages IS NOT NULL)", "created_at_gregorian", "completeness")),
     Bundle("votes", ("likes", "dislikes"), ("int(likes IS NOT NULL) + int(dislikes IS NOT NULL)", "created_at_gregorian", "likes", "completeness")),
-    Bundle("seller_name", ("seller_title",), ()),
-    Bundle("seller_id", ("seller_code",), ()),
+    Bundle("seller_name", ("seller_title",), ("completeness", "unix_date(created_at_gregorian)")),
+    Bundle("seller_id", ("seller_code",), ("completeness", "unix_date(created_at_gregorian)")),
     Bundle("fit", ("true_to_size_rate",), ("int(true_to_size_rate IS NOT NULL)", "created_at_gregorian", "completeness")),
 ]
 COMMENT_RULES = [Rule("seller_code", "seller_title")]
-#: Digits of a date in trust: days from 1970, moved so that all dates of the calendar are positive; null is the lowest.
-COMMENT_TRUST = "completeness * 10000000 + coalesce(unix_date(created_at_gregorian) + 1000000, 0)"
 PRODUCT_BUNDLES = [
-    Bundle("record", (), ()),  # by trust: rate_count, then completeness
     Bundle("naming", ("title_fa", "brand"), ("int(title_fa IS NOT NULL) + int(brand IS NOT NULL)", "rate_count", "completeness")),
     Bundle("rating", ("rate", "rate_count", "is_unrated", "inconsistent_zero_rate"), ("rate_count", "int(rate IS NOT NULL)", "completeness")),
-    Bundle("category", ("category1", "category2"), ()),
-    Bundle("shelf", ("sub_category",), ()),
+    Bundle("category", ("category1", "category2"), ("rate_count", "completeness")),
+    Bundle("shelf", ("sub_category",), ("rate_count", "completeness")),
 ]
 PRODUCT_RULES = [Rule("sub_category", "category1")]
-#: Counts above a million million are trusted alike.
-PRODUCT_TRUST = "least(coalesce(rate_count, -1) + 1, 1000000000000) * 100 + completeness"
 
 _ENTITIES = {
-    "comment": ("comment_candidates", "comment_id", COMMENT_BUNDLES, COMMENT_RULES, COMMENT_TRUST),
-    "product": ("product_candidates", "product_id", PRODUCT_BUNDLES, PRODUCT_RULES, PRODUCT_TRUST),
+    "comment": ("comment_candidates", "comment_id", COMMENT_RECORD, COMMENT_BUNDLES, COMMENT_RULES),
+    "product": ("product_candidates", "product_id", PRODUCT_RECORD, PRODUCT_BUNDLES, PRODUCT_RULES),
 }
 
 
 def _survivors(spark: SparkSession, d: str, entity: str) -> DataFrame:
-    name, key, bundles, rules, trust = _ENTITIES[entity]
-    return surviving_rows(table(spark, d, name), key, "source_row", bundles, rules, trust)
+    name, key, record, _, _ = _ENTITIES[entity]
+    return surviving_rows(table(spark, d, name), key, "source_row", [record], [])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -125,9 +127,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _built(entity: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        name, key, bundles, rules, trust = _ENTITIES[entity]
-        fielded = [b if key not in b.fields else Bundle(b.name, tuple(f for f in b.fields if f != key), b.order) for b in bundles]
-        return built_records(table(spark, d, name), key, "source_row", fielded, rules, trust)
+        name, key, _, bundles, rules = _ENTITIES[entity]
+        return built_records(table(spark, d, name), key, "source_row", bundles, rules)
 
     return query
 
@@ -151,6 +152,37 @@ p AS (SELECT 'product' AS entity, product_id AS entity_id, source_row, row_numbe
   FROM product_candidates WINDOW w AS (PARTITION BY product_id ORDER BY rate_count DESC NULLS LAST, completeness DESC, source_row)),
 s AS (SELECT * FROM c WHERE k = 1 UNION ALL SELECT * FROM p WHERE k = 1)"""
 
+
+
+def _parts(exprs: tuple[str, ...], of: list[str]) -> list[str]:
+    """Order of pairs of candidates: sums, per expression, of whether it is there and of what it is."""
+    each = lambda e, t: f"{t}.{e}"
+    return [x for e in exprs for x in (" + ".join(f"({each(e, t)} IS NOT NULL)::INT" for t in of) + " DESC", " + ".join(f"coalesce({each(e, t)}, 0)" for t in of) + " DESC")]
+
+
+def _built_sql(name: str, key: str, bundles: list[Bundle], rules: list[Rule]) -> str:
+    """Brute force: a window per free bundle, and all pairs of an id's rows for bound ones."""
+    where = {f: b for b in bundles for f in b.fields}
+    (rule,) = rules
+    det, dep = where[rule.determinant], where[rule.dependent]
+    plain = lambda o: o.replace("int(", "CAST(").replace(" IS NOT NULL)", " IS NOT NULL AS INT)")
+    parts = [f"n AS (SELECT {key}, count(*) AS candidates FROM {name} GROUP BY 1)"]
+    for b in bundles:
+        if b not in (det, dep):
+            order = ", ".join(f"{plain(o)} DESC NULLS LAST" for o in b.order)
+            parts.append(f"b_{b.name} AS (SELECT {key}, {', '.join(b.fields)} FROM {name} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {order}, source_row) = 1)")
+    filled = lambda b, t: " + ".join(f"({t}.{f} IS NOT NULL)::INT" for f in b.fields)
+    columns = [o.replace("unix_date(created_at_gregorian)", "day") for o in det.order]
+    day = ", created_at_gregorian - DATE '1970-01-01' AS day" if "day" in columns else ""
+    parts.append(f"t AS (SELECT *{day} FROM {name})")
+    parts.append(f"demand AS (SELECT x, y FROM (SELECT {rule.determinant} AS x, {rule.dependent} AS y, count(*) AS c FROM {name} WHERE {rule.determinant} IS NOT NULL AND {rule.dependent} IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y DESC) = 1)")
+    fields = [f"a.{f}" for f in det.fields] + [f"b.{f}" for f in dep.fields]
+    order = [f"coalesce(demand.y <> b.{rule.dependent}, FALSE)", f"{filled(det, 'a')} + {filled(dep, 'b')} DESC", *_parts(tuple(columns), ["a", "b"]), "a.source_row", "b.source_row"]
+    parts.append(f"pairs AS (SELECT a.{key}, {', '.join(fields)} FROM t a JOIN t b USING ({key}) LEFT JOIN demand ON demand.x = a.{rule.determinant} QUALIFY row_number() OVER (PARTITION BY a.{key} ORDER BY {', '.join(order)}) = 1)")
+    joins = " ".join(f"JOIN b_{b.name} USING ({key})" for b in bundles if b not in (det, dep))
+    return f"WITH {', '.join(parts)} SELECT * FROM n {joins} JOIN pairs USING ({key})"
+
+
 # --- p5 -------------------------------------------------------------------------------------------------------------
 
 _TEXTS = {"comment_candidates": ["title", "body"], "product_candidates": ["title_fa"]}
@@ -266,6 +298,8 @@ ORACLES = {
     "p1_from_slices": _P1,
     "p1_error_audit": _P1_EXACT,
     "p3_found": f"{_P3} SELECT entity, entity_id, source_row FROM s WHERE n > 1",
+    "p3_built_comments": _built_sql("comment_candidates", "comment_id", COMMENT_BUNDLES, COMMENT_RULES),
+    "p3_built_products": _built_sql("product_candidates", "product_id", PRODUCT_BUNDLES, PRODUCT_RULES),
     "p3_stale_choices": f"""{_P3} SELECT entity, entity_id, s.source_row, f.canonical_source_row AS earlier_row FROM s
   LEFT JOIN (SELECT 'comment' AS entity, comment_id AS entity_id, canonical_source_row FROM final_comments UNION ALL
              SELECT 'product', product_id, canonical_source_row FROM final_products) f USING (entity, entity_id)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 from datetime import datetime
 from itertools import product
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from catalogq.llm import format_duplicates, leakage, log_sketch, lookalikes, mojibake, packing, survivors
+from catalogq.llm import format_duplicates, leakage, log_sketch, lookalikes, mojibake, packing, plans, survivors
 from catalogq.llm.survivors import Bundle, Rule
 
 # --- p1
@@ -35,6 +36,12 @@ def test_percentiles_keep_their_bound(spark, error):
         assert abs(r.estimate - exact) <= abs(exact) * error * 1.000001 and r.n == len(mine)
 
 
+def test_published_prices_keep_their_bound(spark):
+    df = spark.range(1, 3000).select(F.col("id").alias("category1"), F.lit(None).cast("string").alias("category2"), F.col("id").alias("price_raw"))
+    got = plans._percentiles(log_sketch.bucket_counts(df, plans.CATEGORIES, "price_raw", plans.BUCKET_ERROR)).where("percentile = 0.5").collect()
+    assert len(got) == 2999 and all(abs(r.estimate - r.category1) <= plans.PRICE_ERROR * r.category1 for r in got)
+
+
 def test_percentile_edges(spark):
     df = spark.createDataFrame([(1, float("inf")), (1, float("-inf")), (1, 0.0), (2, None)], "g int, v double")
     got = log_sketch.percentiles(log_sketch.bucket_counts(df, ["g"], "v", 0.01), ["g"], [0.1, 0.5, 1.0], 0.01)
@@ -55,12 +62,12 @@ def brute(bundles):
             d = next((c[2][r] for c in choice if c[2][r] is not None), None)
             v = next((c[3][r] for c in choice if c[3][r] is not None), None)
             bad += d is not None and v is not None and d != v
-        return (bad, -sum(c[0] for c in choice))
+        return (bad, [-sum(c[0][i] for c in choice) for i in range(2)])
 
     return min(cost(c) for c in product(*bundles)), cost
 
 
-candidate = st.tuples(st.integers(0, 5), st.integers(1, 99), st.sampled_from(["a", "b", None]), st.sampled_from(["a", "b", None]))
+candidate = st.tuples(st.tuples(st.integers(0, 5), st.integers(0, 1)), st.integers(1, 99), st.sampled_from(["a", "b", None]), st.sampled_from(["a", "b", None]))
 
 
 @given(st.lists(candidate, min_size=1, max_size=5), st.lists(candidate, min_size=1, max_size=5), st.lists(candidate, min_size=1, max_size=3))
@@ -74,26 +81,47 @@ def test_branch_and_bound_is_optimal(a, b, c):
     assert cost([next(x for x in b if x[1] == r) for b, r in zip(bundles, rows)]) == best
 
 
-BUNDLES = [Bundle("record", (), ()), Bundle("name", ("name",), ("int(name IS NOT NULL)", "score")), Bundle("category", ("cat",), ()), Bundle("shelf", ("shelf",), ())]
+BUNDLES = [Bundle("record", (), ("score",), "score"), Bundle("name", ("name",), ("int(name IS NOT NULL)", "score")), Bundle("category", ("cat",), ("score",)), Bundle("shelf", ("shelf",), ("score",))]
 RULES = [Rule("shelf", "cat")]
 
 
+def test_search_is_linear_in_signatures():
+    began = time.time()
+    left = [((i,), i, [f"x{i}"], [None]) for i in range(1, 2001)]
+    right = [((i,), i, [None], [f"y{i}"]) for i in range(1, 2001)]
+    assert survivors.search([left, right]) == [2000, 2000] and survivors.search([right, left]) == [2000, 2000]
+    assert survivors.search([left, [*right, ((7,), 7, [None], ["x5"])]]) == [5, 7] and time.time() - began < 1
+
+
+def test_trust_has_no_cap(spark):
+    top = 2**63 - 1
+    df = spark.createDataFrame([(1, 1, top, 1), (1, 2, top - 1, 9), (2, 3, -1, 1), (2, 4, None, 9), (2, 5, -7, 3), (3, 6, 10**13, 1), (3, 7, 10**12, 5)], "id int, row bigint, rate_count bigint, completeness bigint")
+    got = survivors.surviving_rows(df, "id", "row", [Bundle("record", (), ("rate_count", "completeness"), "completeness")], [])
+    assert {r.id: r.record_row for r in got.collect()} == {1: 1, 2: 3, 3: 6}
+
+
+def test_a_bundle_takes_part_in_one_rule(spark):
+    df = spark.createDataFrame([(1, 1, "a", "b", "c", 1, 1)], "id int, row bigint, name string, cat string, shelf string, score bigint, day int")
+    with pytest.raises(ValueError):
+        survivors.surviving_rows(df, "id", "row", BUNDLES, [*RULES, Rule("shelf", "name")])
+
+
 def test_survivors(spark):
     rows = [(1, 1, "a", "c1", "s1", 5, 1), (1, 2, None, "c2", "s2", 9, 1), (1, 3, None, "c2", None, 9, 1), (2, 4, None, None, None, 0, None), (None, 5, "x", "c1", "s1", 1, 1), (None, 6, "y", "c1", "s1", 1, 1)]
     rows += [(3, 7, "n", "c9", None, 8, 1), (3, 8, None, "c1", None, 1, 1), (3, 9, None, None, "s1", 2, 1)]  # s1 demands c1
     rows += [(4, 20, None, None, "alone", 3, 1), (4, 21, None, "c5", None, 2, 1)]  # a shelf that never has a category
     rows += [(100 + i, 1000 + i, "n", "c1", "s1", 1, 1) for i in range(20)]
     df = spark.createDataFrame(rows, "id int, row bigint, name string, cat string, shelf string, score bigint, day int")
-    got = {r.id: r for r in survivors.surviving_rows(df, "id", "row", BUNDLES, RULES, "score").collect()}
+    got = {r.id: r for r in survivors.surviving_rows(df, "id", "row", BUNDLES, RULES).collect()}
     assert (got[1].record_row, got[1].name_row, got[1].category_row, got[1].shelf_row, got[1].candidates) == (2, 1, 2, 2, 3)
     assert (got[2].record_row, got[2].category_row) == (4, 4) and got[None].record_row == 5 and got[None].candidates == 2
     assert (got[3].category_row, got[3].shelf_row) == (8, 9)  # c9 is trusted more, but contradicts the shelf
     df = df.withColumn("candidates", F.lit("clash")).withColumn("record_row", F.lit(None).cast("int"))
-    built = {r.id: r for r in survivors.built_records(df, "id", "row", BUNDLES, RULES, "score").collect()}
+    built = {r.id: r for r in survivors.built_records(df, "id", "row", BUNDLES, RULES).collect()}
     assert tuple(built[1][c] for c in ("name", "cat", "shelf")) == ("a", "c2", "s2") and built[3].cat == "c1" and built[2].name is None
     assert (got[4].record_row, got[4].category_row, got[4].shelf_row) == (20, 21, 20)
     assert len(built) == len(got) == 25 and all(v is not None for r in got.values() for c, v in r.asDict().items() if c != "id")
-    assert survivors.surviving_rows(df.where("false"), "id", "row", BUNDLES, RULES, "score").count() == 0
+    assert survivors.surviving_rows(df.where("false"), "id", "row", BUNDLES, RULES).count() == 0
 
 
 # --- p5
@@ -363,7 +391,7 @@ def test_survivors_match_brute_force(spark):
     for s in ("s1", "s2", "s3"):
         n = Counter(r[3] for r in rows if r[4] == s and r[3] is not None)
         demand[s] = max(n, key=lambda c: (n[c], c))
-    got = {r.id: r for r in survivors.surviving_rows(df, "id", "row", BUNDLES, RULES, "score").collect()}
+    got = {r.id: r for r in survivors.surviving_rows(df, "id", "row", BUNDLES, RULES).collect()}
     assert len(got) == len({r[0] for r in rows})
     for key, r in got.items():
         mine = [x for x in rows if x[0] == key]
