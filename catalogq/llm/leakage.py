@@ -10,19 +10,26 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import reduce
+from itertools import accumulate, chain
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalogq.session import cut
+
 WORD = regex.compile(r"[\p{L}\p{Nd}\p{M}‌]+")
 #: Words of a passage that counts as leaked.
 WINDOW = 13
-#: Characters of items that one pass over the documents looks for; more items take more passes.
+#: Characters of items that a task looks for at once. It bounds memory and does not bear on the result.
 PASS_CHARS = 8 << 20
+#: Bits of the filter that keeps the documents worth more than one look, 16 MB at any number of items.
+FILTER_BITS = 1 << 27
 
 
 def words(text: str) -> list[str]:
@@ -56,16 +63,31 @@ def myers(pattern_bits: dict, size: int, text: list, errors: int) -> list[tuple[
     return found
 
 
+def piece_bits(ws: list[str], size: int, step: int) -> np.ndarray:
+    """Filter bits of the pieces of ``size`` words that begin at every ``step``-th word."""
+    if len(ws) < size:
+        return np.zeros(0, np.int64)
+    known: dict[str, int] = {}
+    h = np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in ws), np.uint64, len(ws))
+    starts = len(ws) - size + 1
+    mixed = np.zeros(starts, np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ h[k : k + starts]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return (mixed[::step] % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
 class Finder:
-    """Looks for passages of a set of items in documents."""
+    """Looks for passages of a set of texts in documents; each text is given with its item, which may have several."""
 
     def __init__(self, items: list[tuple[int, str]], window: int, errors: int):
         self.window, self.errors, self.size = window, errors, piece_length(window, errors)
         if self.size < 1:
             raise ValueError("too many errors for the window")
-        self.items = {i: words(t) for i, t in items}
+        self.ids = [i for i, _ in items]
+        self.items = [words(t) for _, t in items]
         places = defaultdict(list)
-        for i, ws in self.items.items():
+        for i, ws in enumerate(self.items):
             if len(ws) < window:
                 continue
             for at in range(0, len(ws) - self.size + 1, self.size):
@@ -120,24 +142,38 @@ class Finder:
                     for _, distance in myers(self._pattern(item, start), w, ws[a:b], k):
                         if distance < best.get(item, k + 1):
                             best[item] = distance
-        return best
+        least: dict[int, int] = {}
+        for i, edits in best.items():
+            least[self.ids[i]] = min(edits, least.get(self.ids[i], edits))
+        return least
 
 
 def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, errors: int = 0, pass_chars: int = PASS_CHARS) -> DataFrame:
     """``doc_id``, ``item_id``, ``edits``: documents that hold ``window`` words in a row of an item, but for ``errors`` edits of words.
 
-    The items are the stated query set; it is read to the driver in blocks of at most ``pass_chars`` characters, each
-    block one pass over the documents, so what a task holds is bounded however many items there are. The documents are
-    never shuffled. Whole texts are searched. Items of fewer words than the window can not leak; null and empty texts hold
-    nothing; repeated documents give their own rows, repeated item ids count as one item (the later text).
+    The items are the stated query set; it is read through the driver in blocks of at most ``pass_chars`` characters, so what
+    a task or the driver holds is bounded however many items there are. The documents are read once: with several blocks, a
+    filter of fixed size over the pieces of all items is applied first, and the blocks go over the documents that pass it.
+    Documents are never shuffled, only the pairs found are. Whole texts are searched. Items of fewer words than the window
+    can not leak; null and empty texts hold nothing; there is one row per pair, with its fewest edits, however often an
+    item or a document is repeated and whatever the blocks.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").where(F.col("text").isNotNull())
-    found = None
-    block: list[tuple[int, str]] = []
-    size = 0
-
-    def one_pass(block: list[tuple[int, str]]) -> DataFrame:
+    texts = items.select("item_id", "text").where("text IS NOT NULL")
+
+    def blocks() -> Iterator[list[tuple[int, str]]]:
+        block: list[tuple[int, str]] = []
+        size = 0
+        for r in texts.toLocalIterator():
+            block.append((r.item_id, r.text))
+            size += len(r.text)
+            if size >= pass_chars:
+                yield block
+                block, size = [], 0
+        yield block
+
+    def one_pass(docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,12 +184,31 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, errors:
 
         return docs.mapInPandas(search, "doc_id bigint, item_id bigint, edits int")
 
-    for r in items.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
-        block.append((r.item_id, r.text))
-        size += len(r.text)
-        if size >= pass_chars:
-            found = one_pass(block) if found is None else found.unionByName(one_pass(block))
-            block, size = [], 0
-    if block or found is None:
-        found = one_pass(block) if found is None else found.unionByName(one_pass(block))
-    return found
+    def likely(filtered: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast(filtered)
+        size = piece_length(window, errors)
+
+        def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            bits = shared.value
+            for pdf in batches:
+                at = [piece_bits(words(t), size, 1) for t in pdf["text"]]
+                yield pdf[[bool((bits[a >> 3] >> (7 - (a & 7)) & 1).any()) for a in at]]
+
+        return docs.mapInPandas(keep, docs.schema)
+
+    found = blocks()
+    first = next(found)
+    second = next(found, None)
+    if second is None:
+        pairs = one_pass(docs, first)
+    else:
+        filtered = np.zeros(FILTER_BITS >> 3, np.uint8)
+        for block in blocks():
+            for _, t in block:
+                ws = words(t)
+                if len(ws) >= window:
+                    at = piece_bits(ws, piece_length(window, errors), piece_length(window, errors))
+                    np.bitwise_or.at(filtered, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        few = cut(likely(filtered))
+        pairs = reduce(DataFrame.unionByName, [cut(one_pass(few, block)) for block in chain([first, second], found)])
+    return pairs.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))

@@ -283,10 +283,21 @@ def test_leaks_match_brute_force(spark, errors):
                     want.add((d, i))
     for size in (1 << 20, 40):
         got = leakage.leaks(df, it, errors=errors, pass_chars=size).collect()
-        assert {(r.doc_id, r.item_id) for r in got} == want
+        assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
     assert leakage.leaks(df, it.where("false")).count() == 0 and leakage.leaks(df.where("false"), it).count() == 0
 
 
+def test_leaks_do_not_depend_on_blocks(spark):
+    ws = [f"w{i}" for i in range(60)]
+    a, b = " ".join(ws[:30]), " ".join(ws[30:])
+    near = " ".join([*ws[:5], "zz", *ws[6:13]])
+    it = spark.createDataFrame([(1, a), (1, b), (2, a), (2, a)], "item_id bigint, text string").coalesce(1)
+    df = spark.createDataFrame([(7, a), (7, "x " + a), (8, b), (9, near), (10, "nothing of it")], "doc_id bigint, text string")
+    for errors, more in ((0, set()), (1, {(9, 1, 1), (9, 2, 1)})):
+        got = [sorted(map(tuple, leakage.leaks(df, it, errors=errors, pass_chars=n).collect())) for n in (1, 100, 1 << 20)]
+        assert got[0] == got[1] == got[2] and set(got[0]) == {(7, 1, 0), (7, 2, 0), (8, 1, 0)} | more and len(got[0]) == len(set(got[0]))
+
+
 # --- p10
 
 PERSIAN = "برای اطمینان، اگر چرخ ماهیگیری را در انبار می‌گذارید، از پنبه به عنوان زیرانداز استفاده کنید؛ قیمت: 20 تومان."
