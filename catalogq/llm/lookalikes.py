@@ -2,8 +2,9 @@
 
 A token's letters each have a resolved script set: their own script and the scripts that hold a twin of them. The
 intersection over the token tells which scripts could spell it. A token of several scripts (mixed confusable)
-is spelled in a script of the intersection, a token of one foreign script whose letters all have Latin twins
-(whole-script confusable) in Latin; names that need their own alphabet stay. The remaining forms - compatibility
+is spelled in a script of the intersection. A token of one foreign script whose letters all have Latin twins (whole-script
+confusable) is judged with its neighbours: it stays if any word of that script in its sentence needs its own alphabet,
+else it is spelled in Latin. A token that mixes scripts and that no script can spell stays and is reported. The remaining forms - compatibility
 forms, decomposed accents, Arabic code points of Persian letters, odd spaces, invisible characters - are normalized.
 """
 
@@ -19,11 +20,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-# Latin twins of Cyrillic and Greek letters, as Unicode's confusables data has them.
-CYRILLIC_TWINS = dict(zip("АВЕЅІЈКМНОРСТУХЗаеѕіјкорсухԁһԛԝъвмнт", "ABESIJKMHOPCTYX3aesijkopcyxdhqwbBMHT"))
-GREEK_TWINS = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορυχτ", "ABEZHIKMNOPTYXayiKvopuxT"))
-# Twins too unlike Latin lower case to make a whole token suspicious.
-LOOSE_TWINS = set("Зкъвмнтαγικυχτ")
+# Latin twins of single letters of other scripts, as Unicode's confusables data has them.
+TWINS = {
+    "Cyrillic": dict(zip("АВЕЅІЈКМНОРСТУХЗаеѕіјкорсухԁһԛԝъвмнтӀӏҮүѴѵԌЬб", "ABESIJKMHOPCTYX3aesijkopcyxdhqwbBMHTliYyVvGb6")),
+    "Greek": dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορυχτϹϲͿϳϱσ", "ABEZHIKMNOPTYXayiKvopuxTCcJjpo")),
+    "Armenian": dict(zip("ՕօՏՍԼսհոցզյա", "OoSULuhngqjw")),
+    "Cherokee": dict(zip("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏃᏎᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴ", "DRTiYAJEWMHYGZ4bRWSVSLCPKdGB")),
+    "Lisu": dict(zip("ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPdDTGKJCZFMNLSRVHWXYAEIOU")),
+    "Coptic": dict(zip("ⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬ", "HIKMNOoPpCcTYX")),
+}
+# Letters of Latin script for phonetics that stand in for plain ones.
+PHONETIC = dict(zip("ɑɡɩɪ", "agii"))
+# Twins too unlike Latin letters to make a whole word suspicious.
+LOOSE_TWINS = set("ЗкъвмнтүѵЬбαγικυχτσսհոցզյաᏎᏏᏧ")
 # Arabic code points and the standard Persian ones.
 PERSIAN_LETTERS = {"ي": "ی", "ى": "ی", "ې": "ی", "ك": "ک", "ڪ": "ک", "ە": "ه", "ہ": "ه", "ھ": "ه"}
 PERSIAN_DIGITS = {chr(base + i): str(i) for base in (0x660, 0x6F0) for i in range(10)}
@@ -37,27 +46,37 @@ USUAL = r"[\t\n\r -~«»À-ſ،؛؟ء-ؤئ-غفقل-وً-ْپچژکگی‌]"
 BAD_JOINER = r"(?<![\p{L}\p{M}])‌|‌(?![\p{L}\p{M}])"
 
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
-_FOREIGN = regex.compile(r"[\p{Greek}\p{Cyrillic}]")
-_LETTER = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}]")
+_SCRIPTS = "".join(f"\\p{{{s}}}" for s in TWINS)
+_FOREIGN = regex.compile(f"[{_SCRIPTS}{''.join(PHONETIC)}]")
+_LETTER = regex.compile(f"[\\p{{Latin}}{_SCRIPTS}]")
+#: A Latin letter and one of another script in a token, but for digits and marks between them; Java's regular expressions.
+_JAVA_SCRIPTS = "".join(f"\\p{{Is{s}}}" for s in TWINS)
+MIXED = f"\\p{{IsLatin}}[\\p{{M}}\\p{{Nd}}]*[{_JAVA_SCRIPTS}]|[{_JAVA_SCRIPTS}][\\p{{M}}\\p{{Nd}}]*\\p{{IsLatin}}"
+_SENTENCE = regex.compile(r"[.!?؟\n]")
 _JOINERS = regex.compile(r"‌+")
 _EMOJI_PART = regex.compile(r"(?<=[\p{Extended_Pictographic}\p{Emoji_Modifier}️])[︎️‍](?=\p{Extended_Pictographic})|(?<=\p{Extended_Pictographic})[︎️]")
 _COMPATIBILITY = regex.compile(r"[ﬀ-﷿ﹰ-ﻼ！-￮\U0001D400-\U0001D7FF℀-⅏Ⅰ-ⅿ]")
 
 
+@lru_cache(maxsize=1 << 12)
 def script(c: str) -> str:
-    name = unicodedata.name(c, "")
-    return {"LATIN": "Latin", "CYRILLIC": "Cyrillic", "GREEK": "Greek"}.get(name.partition(" ")[0], "")
+    name = unicodedata.name(c, "").partition(" ")[0].capitalize()
+    return name if name == "Latin" or name in TWINS else ""
 
 
-_TWINS = {**CYRILLIC_TWINS, **GREEK_TWINS}
-_BACK = {"Cyrillic": {v: k for k, v in CYRILLIC_TWINS.items()}, "Greek": {v: k for k, v in GREEK_TWINS.items()}}
+_TWINS = {k: v for of in TWINS.values() for k, v in of.items()}
+_BACK = {s: {v: k for k, v in of.items()} for s, of in TWINS.items()}
 
 
+def _base(c: str) -> str:
+    """The letter without its accents; a letter with a twin is its own."""
+    return c if c in _TWINS or c.isascii() else unicodedata.normalize("NFD", c)[0]
+
+
+@lru_cache(maxsize=1 << 12)
 def resolved(c: str) -> frozenset[str]:
-    """The scripts that can spell a letter: its own, and those with a twin."""
-    own = script(c)
-    found = {own}
-    latin = c if own == "Latin" else _TWINS.get(c)
+    """The scripts that can spell a letter: its own, and those with a twin of its base."""
+    found, latin = {script(c)}, _base(c) if script(c) == "Latin" else _TWINS.get(_base(c))
     if latin:
         found.add("Latin")
         found |= {s for s, back in _BACK.items() if latin in back}
@@ -67,31 +86,63 @@ def resolved(c: str) -> frozenset[str]:
 def respelled(c: str, into: str) -> str:
     if script(c) == into:
         return c
-    latin = c if script(c) == "Latin" else _TWINS.get(c, c)
-    return latin if into == "Latin" else _BACK[into].get(latin, c)
+    base, marks = _base(c), "" if _base(c) == c else unicodedata.normalize("NFD", c)[1:]
+    latin = base if script(c) == "Latin" else _TWINS.get(base)
+    twin = latin if into == "Latin" else _BACK[into].get(latin)
+    return unicodedata.normalize("NFC", twin + marks) if twin else c
+
+
+def needs_alphabet(token: str) -> bool:
+    """Whether a token of one foreign script has a letter that Latin can not, or only loosely, stand for."""
+    return any(_base(c) not in _TWINS or c in LOOSE_TWINS for c in _LETTER.findall(token))
 
 
 @lru_cache(maxsize=1 << 16)
-def one_script(token: str) -> str:
-    """The token in the script that can spell all of it."""
+def mixed_spelled(token: str) -> str:
+    """A token of several scripts in the script that can spell all of it, else in that of most of its letters as far as it goes."""
     letters = _LETTER.findall(token)
-    bases = [unicodedata.normalize("NFD", c)[0] if c not in _TWINS else c for c in letters]
     own = {script(c) for c in letters}
-    able = frozenset.intersection(*(resolved(b) | {script(c)} if b != c else resolved(c) for b, c in zip(bases, letters)))
-    if len(own) == 1:
-        if own == {"Latin"} or "Latin" not in able or any(c in LOOSE_TWINS for c in letters):
-            return token
-        into = "Latin"
-    elif "Latin" in able:
+    able = frozenset.intersection(*map(resolved, letters))
+    if "Latin" in able:
         into = "Latin"
     elif able & own:
-        into = sorted(able & own)[0]
-    else:  # no script spells all of it: the twins of the script that most letters have
-        most = max(sorted(own), key=lambda s: sum(script(c) == s for c in letters))
-        into = most
+        into = min(able & own)
+    else:
+        into = max(sorted(own), key=lambda s: sum(script(c) == s for c in letters))
     return "".join(respelled(c, into) if _LETTER.match(c) else c for c in token)
 
 
+def in_one_script(text: str) -> str:
+    """The text with every token in a consistent script; words of one foreign script are judged by those of their sentence."""
+    spelled: list[tuple[regex.Match, str]] = []
+    words: dict[str, list[regex.Match]] = {}
+
+    def settle() -> None:
+        for of in words.values():
+            if not any(needs_alphabet(m.group()) for m in of):
+                spelled.extend((m, "".join(respelled(c, "Latin") for c in m.group())) for m in of)
+        words.clear()
+
+    end = 0
+    for m in _TOKEN.finditer(text):
+        if _SENTENCE.search(text, end, m.start()):
+            settle()
+        end = m.end()
+        if m.group().isascii():
+            continue
+        own = {script(c) for c in _LETTER.findall(m.group())}
+        if len(own) > 1:
+            spelled.append((m, mixed_spelled(m.group())))
+        elif own and "Latin" not in own:
+            words.setdefault(*own, []).append(m)
+    settle()
+    out, at = [], 0
+    for m, new in sorted(spelled, key=lambda x: x[0].start()):
+        out += [text[at : m.start()], new]
+        at = m.end()
+    return "".join([*out, text[at:]])
+
+
 def _invisible(c: str) -> bool:
     kind = unicodedata.category(c)
     return (kind in ("Cf", "Cc", "Co", "Cs") and c not in "\t\n\r" + ZWNJ) or c in OTHER_INVISIBLE
@@ -129,8 +180,7 @@ def _normal(text: str) -> str:
     if ZWNJ in s:
         s = _JOINERS.sub(lambda m, whole=s: _joiner(whole, m), s)
     if _FOREIGN.search(s):
-        s = _TOKEN.sub(lambda m: one_script(m.group()) if _FOREIGN.search(m.group()) else m.group(), s)
-        s = unicodedata.normalize("NFC", s)
+        s = unicodedata.normalize("NFC", in_one_script("".join(PHONETIC.get(c, c) for c in s)))
     return s
 
 
@@ -156,11 +206,12 @@ def normalized(c: Column) -> Column:
 
 
 def odd_values(df: DataFrame, row: str, fields: list[str], table_name: str) -> DataFrame:
-    """``table_name``, ``source_row``, ``field``, ``value``, ``normal``: the values that are not in their one form.
+    """``table_name``, ``source_row``, ``field``, ``value``, ``normal``: the values that are not in their one form, or mix
+    scripts in a word no script can spell, which then is its own normal form.
 
     Works on each value alone, so repeats, ties and other columns do not matter; nothing is shuffled.
     """
     value = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))
     long = df.select(F.col(row).alias("source_row"), value.alias("v")).select("source_row", "v.*")
     odd = long.where(F.col("value").isNotNull() & suspicious(F.col("value"))).withColumn("normal", _consistent("value"))
-    return odd.where("normal <> value").select(F.lit(table_name).alias("table_name"), "source_row", "field", "value", "normal")
+    return odd.where((F.col("normal") != F.col("value")) | F.col("normal").rlike(MIXED)).select(F.lit(table_name).alias("table_name"), "source_row", "field", "value", "normal")
