@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from catalogq.operators.keyed import attach_keyed
 from catalogq.session import cut
 
+# Code points that stand for the same letter or digit: Arabic and Persian letters, digits, full-width forms.
+_SAME = {"ي": "ی", "ى": "ی", "ې": "ی", "ك": "ک", "ڪ": "ک", "ە": "ه", "ہ": "ه", "ھ": "ه"}
+_SAME |= {chr(base + i): str(i) for base in (0x660, 0x6F0, 0xFF10) for i in range(10)}
+_SAME |= {chr(base + i): chr(ord("a") + i) for base in (0xFF21, 0xFF41) for i in range(26)}
 #: A word: a longest run of letters, digits, combining marks and zero-width non-joiners.
 WORD = r"[\p{L}\p{Nd}\p{M}‌]+"
 
 
 def canonical_form(fields: list[str]) -> Column:
-    """The words of all fields in lower case, sorted, one space apart: equal for equal multisets of words."""
-    text = F.lower(F.concat_ws("\n", *fields))
+    """The words of all fields, characters and case made one, sorted, one space apart: equal for equal multisets of words."""
+    text = F.translate(F.lower(F.concat_ws("\n", *fields)), "".join(_SAME), "".join(_SAME.values()))
     return F.array_join(F.array_sort(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), " ")
 
 

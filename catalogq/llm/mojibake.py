@@ -162,6 +162,12 @@ def _persian_letters(view: str) -> tuple[re.Pattern, dict[int, str]]:
     return re.compile(f"(?<![^\\W\\d_])[{''.join(map(re.escape, letters))}]{{2,}}(?![^\\W\\d_])"), table
 
 
+@cache
+def _beside(view: str) -> re.Pattern:
+    """A blank and a word of a view's characters that decode to something."""
+    return re.compile(f" [{''.join(re.escape(chr(c)) for c in _persian_letters(view)[1] if c >= 0x80)}]+(?![^\\W\\d_])")
+
+
 _FOREIGN = re.compile("[^\x00-\x7f\u0600-\u06ff]")
 _ONE_CASE = re.compile(r"\w[a-zß-öø-ÿа-џα-ώ]*|[A-ZÀ-ÖØ-ÞЀ-ЯΑ-Ω]+")
 
@@ -185,6 +191,7 @@ def _from_persian(text: str, view: str) -> tuple[int, str, int]:
     # a passage reaches over words of the view and what is neither of them nor a letter of another script
     first_last: list[list[int]] = []
     foreign = re.compile("[A-Za-z]{2,}|[ء-يپچژکگی]{2,}|\n")
+    beside = _beside(view)
     for m in found:
         if first_last and not foreign.search(text, first_last[-1][1], m.start()):
             first_last[-1][1] = m.end()
@@ -197,6 +204,9 @@ def _from_persian(text: str, view: str) -> tuple[int, str, int]:
                 b += 1
             while a > at and ord(text[a - 1]) in table and ord(text[a - 1]) >= 0x80:
                 a -= 1
+            # words beside it that hold a mark of the view's letters, such as a question mark, belong to it as well
+            while (m := beside.match(text, b)) and sum(bool(_ARABIC.match(table[ord(c)])) for c in m.group().strip()) > 1:
+                b = m.end()
             out += [text[at:a], text[a:b].translate(table)]
             at, count = b, count + 1
     return sum(len(m.group()) for m in found), "".join([*out, text[at:]]), count

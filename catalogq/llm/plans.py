@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalogq.llm import format_duplicates as D
 from catalogq.llm import leakage, log_sketch, lookalikes, mojibake, packing
 from catalogq.llm.survivors import Bundle, Rule, built_records, surviving_rows
-from catalogq.session import table
+from catalogq.session import cut, table
 
 # --- p1 -------------------------------------------------------------------------------------------------------------
 
@@ -246,6 +246,18 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return p8_assignments(spark, d).groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("pieces"))
 
 
+def p8_audit(spark: SparkSession, d: str) -> DataFrame:
+    """One row: documents, those assigned exactly once and whole wherever they fit, containers above capacity, and whether at most one token in fifty of the room is unused."""
+    p = cut(p8_assignments(spark, d))
+    sound = (F.col("first_token") == F.col("piece") * CAPACITY) & (F.col("n_tokens") <= CAPACITY)
+    per = p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("piece").alias("k"), F.max("piece").alias("last"), F.sum("n_tokens").alias("tokens"), F.bool_and(sound).alias("sound"))
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("tokens") / CAPACITY))
+    once = per.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("sound") & (F.col("n") == F.col("k")) & (F.col("n") == pieces) & (F.col("last") == F.col("n") - 1)).alias("assigned_once"))
+    c = p.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    room = c.agg(F.count_if(F.col("used") > CAPACITY).alias("overfull"), (F.sum("used") >= 0.98 * CAPACITY * (F.count(F.lit(1)) - 1)).alias("well_filled"))
+    return once.withColumn("__one", F.lit(1)).join(room.withColumn("__one", F.lit(1)), "__one").drop("__one")
+
+
 # --- p9, p10 --------------------------------------------------------------------------------------------------------
 
 
@@ -287,6 +299,7 @@ QUERIES = {
     "p7_normalized_comments": p7_normalized_comments,
     "p8_assignments": p8_assignments,
     "p8_containers": p8_containers,
+    "p8_audit": p8_audit,
     "p9_found": p9_found,
     "p9_near_leaks": p9_near_leaks,
     "p10_found": p10_found,
@@ -306,5 +319,8 @@ ORACLES = {
   WHERE s.source_row IS DISTINCT FROM f.canonical_source_row""",
     "p5_found": f"{_P5} SELECT table_name, first_row, source_row AS copy_row FROM g WHERE source_row > first_row",
     "p5_copy_counts": f"{_P5} SELECT DISTINCT table_name, first_row, copies FROM g",
+    # two hashes and the length of different texts all agree in no table; a planted pair is in the tests
+    "p5_collisions": "SELECT '' AS table_name, '' AS digest, 0 AS forms, 0 AS rows WHERE FALSE",
+    "p8_audit": "SELECT count(*) AS documents, count(*) AS assigned_once, 0 AS overfull, TRUE AS well_filled FROM documents",
     "p9_found": _P9,
 }

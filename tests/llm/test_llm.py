@@ -147,6 +147,11 @@ def test_format_duplicates_match_brute_force(spark):
     assert format_duplicates.format_duplicates(df.where("false"), ["a", "b"], "row").count() == 0
 
 
+def test_characters_are_made_one(spark):
+    df = spark.createDataFrame([(1, "كتاب ۱۲ ＡＢ"), (2, "ab 12 کتاب"), (3, "AB ١٢ كتاب!"), (4, "ab 13 کتاب")], "row int, a string")
+    assert sorted((r.first_row, r.copy_row) for r in format_duplicates.format_duplicates(df, ["a"], "row").collect()) == [(1, 2), (1, 3)]
+
+
 def test_a_collision_keeps_groups_apart(spark):
     df = spark.sql("SELECT 1 AS row, X'00' AS digest, struct(1L AS h, 1 AS l) AS proof UNION ALL SELECT 2, X'00', struct(2L, 1)")
     assert format_duplicates.copy_groups(df).count() == 2 and format_duplicates.collisions(df).first()["forms"] == 2
