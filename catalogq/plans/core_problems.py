@@ -58,18 +58,33 @@ def p4_orphans_by_month(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(orphan_counts(table(spark, d, "offers").select("product_id"), products, _PRODUCT, "offers"))
 
 
-_CATEGORY = [("category1", "category1"), ("category2", "category2"), ("sub_category", "sub_category")]
+#: Composite references with nulls: their table, the table they point to, and pairs of columns. A comment names the product and,
+#: often, the seller; the offers of that product hold the sellers that exist.
+COMPOSITE = {
+    "category": ("product_candidates", "final_products", [("category1", "category1"), ("category2", "category2"), ("sub_category", "sub_category")]),
+    "seller": ("comment_candidates", "offers", [("product_id", "product_id"), ("seller_title", "seller")]),
+}
+
 
+def _composite_status(name: str, match: str):
+    refs, targets, pairs = COMPOSITE[name]
 
-def _category_status(match: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        cols = [r for r, _ in _CATEGORY]
-        refs, targets = table(spark, d, "product_candidates").select(cols), table(spark, d, "final_products").select(cols)
-        return reference_status(refs, targets, _CATEGORY, match).where("is_orphan").select(*cols, "ref_rows")
+        cols = [r for r, _ in pairs]
+        status = reference_status(table(spark, d, refs).select(cols), table(spark, d, targets).select([t for _, t in pairs]), pairs, match)
+        return status.where("is_orphan").select(*cols, "ref_rows")
 
     return query
 
 
+def p4_seller_by_month(spark: SparkSession, d: str) -> DataFrame:
+    """Comments per month whose product, or product with seller, has no offer."""
+    refs, targets, pairs = COMPOSITE["seller"]
+    c = table(spark, d, refs).select("product_id", "seller_title", "created_at_gregorian")
+    o = table(spark, d, targets).select("product_id", "seller")
+    return orphan_counts(c, o, pairs, refs, F.date_format("created_at_gregorian", "yyyy-MM"), "partial")
+
+
 #: Fields of a record of each feed, and the position of those that are checked.
 FIELDS = {"comments": 15, "products": 12}
 
@@ -102,6 +117,24 @@ def p6_error_places(spark: SparkSession, d: str) -> DataFrame:
     return parsed_records(spark, d).where(F.col("kind").isNotNull()).select("record_id", "feed", "kind", "error_offset", "error_line", "error_field")
 
 
+#: Record ids that make one text of p6_recovered; bounds its size.
+JOINED = 64
+UNIT = "\x1f"
+
+
+def p6_recovered(spark: SparkSession, d: str) -> DataFrame:
+    """Sound records found in texts of many records, as a delivery brings them: ``feed`` and the fields, set apart by UNIT.
+
+    Records of a feed are joined by line breaks into texts, broken ones among them. Parsing goes on at validated record
+    starts after a broken quote, so the records found are those that are sound on their own.
+    """
+    raw = table(spark, d, "raw_records").select("feed", F.floor(F.col("record_id") / JOINED).alias("part"), F.struct("record_id", "raw_text").alias("r"))
+    texts = raw.groupBy("feed", "part").agg(F.array_sort(F.collect_list("r")).alias("r")).select("feed", F.array_join("r.raw_text", "\n").alias("text"))
+    n = F.when(F.col("feed") == "comments", FIELDS["comments"]).otherwise(FIELDS["products"])
+    found = R.parse_records(texts, "text", n, ["feed"], one_record=False).where("kind IS NULL")
+    return found.select("feed", F.array_join("fields", UNIT).alias("record"))
+
+
 def p6_comments(spark: SparkSession, d: str) -> DataFrame:
     f = F.col("fields")
     at = lambda i: F.get(f, F.lit(i))
@@ -135,11 +168,11 @@ QUERIES = {
     "p2_product_figures": p2_product_figures,
     "p4_found": p4_found,
     "p4_orphans_by_month": p4_orphans_by_month,
-    "p4_category_partial": _category_status("partial"),
-    "p4_category_full": _category_status("full"),
-    "p4_category_simple": _category_status("simple"),
+    **{f"p4_{c}_{m}": _composite_status(c, m) for c in COMPOSITE for m in ("partial", "full", "simple")},
+    "p4_seller_by_month": p4_seller_by_month,
     "p6_found": p6_found,
     "p6_error_places": p6_error_places,
+    "p6_recovered": p6_recovered,
     "p6_comments": p6_comments,
     "p6_offers": p6_offers,
 }
@@ -162,12 +195,16 @@ checked AS (
     END AS reason
   FROM split)"""
 
-_CATEGORY_SQL = """
-WITH k AS (SELECT category1, category2, sub_category, count(*) AS ref_rows FROM product_candidates GROUP BY ALL)
-SELECT * FROM k WHERE {where}"""
-_EXISTS = """EXISTS (SELECT 1 FROM final_products t WHERE (k.category1 IS NULL OR k.category1 = t.category1)
-  AND (k.category2 IS NULL OR k.category2 = t.category2) AND (k.sub_category IS NULL OR k.sub_category = t.sub_category))"""
-_NULLS = "(CASE WHEN category1 IS NULL THEN 1 ELSE 0 END + CASE WHEN category2 IS NULL THEN 1 ELSE 0 END + CASE WHEN sub_category IS NULL THEN 1 ELSE 0 END)"
+
+
+def _composite_sql(name: str, match: str) -> str:
+    refs, targets, pairs = COMPOSITE[name]
+    cols = ", ".join(r for r, _ in pairs)
+    nulls = "(" + " + ".join(f"CAST({r} IS NULL AS INT)" for r, _ in pairs) + ")"
+    known = f"EXISTS (SELECT 1 FROM {targets} t WHERE " + " AND ".join(f"(k.{r} IS NULL OR k.{r} = t.{t})" for r, t in pairs) + ")"
+    bad = {"simple": f"{nulls} = 0 AND NOT {known}", "partial": f"{nulls} < {len(pairs)} AND NOT {known}", "full": f"{nulls} BETWEEN 1 AND {len(pairs) - 1} OR ({nulls} = 0 AND NOT {known})"}
+    return f"WITH k AS (SELECT {cols}, count(*) AS ref_rows FROM {refs} GROUP BY ALL) SELECT * FROM k WHERE {bad[match]}"
+
 
 ORACLES = {
     "p2_found": "SELECT product_id FROM final_comments GROUP BY product_id HAVING count(*) > 0.02 * (SELECT count(*) FROM final_comments)",
@@ -179,9 +216,11 @@ ORACLES = {
     "p4_orphans_by_month": """SELECT 'comment_candidates' AS table_name, strftime(created_at_gregorian, '%Y-%m') AS period, count(*) AS orphans
   FROM comment_candidates WHERE product_id NOT IN (SELECT product_id FROM final_products) GROUP BY ALL
   UNION ALL SELECT 'offers', NULL, count(*) FROM offers WHERE product_id NOT IN (SELECT product_id FROM final_products) HAVING count(*) > 0""",
-    "p4_category_partial": _CATEGORY_SQL.format(where=f"{_NULLS} < 3 AND NOT {_EXISTS}"),
-    "p4_category_full": _CATEGORY_SQL.format(where=f"{_NULLS} IN (1, 2) OR ({_NULLS} = 0 AND NOT {_EXISTS})"),
-    "p4_category_simple": _CATEGORY_SQL.format(where=f"{_NULLS} = 0 AND NOT {_EXISTS}"),
+    **{f"p4_{c}_{m}": _composite_sql(c, m) for c in COMPOSITE for m in ("partial", "full", "simple")},
+    "p4_seller_by_month": f"""WITH o AS ({_composite_sql("seller", "partial")})
+  SELECT 'comment_candidates' AS table_name, strftime(created_at_gregorian, '%Y-%m') AS period, count(*) AS orphans FROM comment_candidates c
+  WHERE EXISTS (SELECT 1 FROM o WHERE o.product_id = c.product_id AND o.seller_title IS NOT DISTINCT FROM c.seller_title) GROUP BY ALL""",
+    "p6_recovered": f"WITH {_PARSED} SELECT feed, array_to_string(f, chr(31)) AS record FROM checked WHERE quoted_well AND len(f) = CASE WHEN feed = 'comments' THEN 15 ELSE 12 END",
     "p6_found": f"WITH {_PARSED} SELECT record_id, reason FROM checked WHERE reason IS NOT NULL",
     "p6_comments": f"""WITH {_PARSED} SELECT record_id, TRY_CAST(trim(f[1]) AS BIGINT) AS comment_id, TRY_CAST(trim(f[8]) AS BIGINT) AS product_id,
   f[2] AS title, f[3] AS body, CAST(nullif(trim(f[5]), '') AS DECIMAL(3,2)) AS rate, f[7] = 'True' AS is_buyer, CAST(nullif(trim(f[11]), '') AS BIGINT) AS likes
