@@ -94,9 +94,9 @@ def parse_record(text: str, start: int, columns: int, whole: bool = False) -> Re
     return Record(start, first.end, first.fields, "columns", first.end, len(first.fields))
 
 
-def _anchor(text: str, after: int, columns: int) -> int | None:
-    """The next validated record start behind ``after``."""
-    for m in _NEWLINE.finditer(text, after):
+def _anchor(text: str, after: int, columns: int, before: int | None = None) -> int | None:
+    """The next validated record start behind ``after``, and not behind ``before``."""
+    for m in _NEWLINE.finditer(text, after, len(text) if before is None else before):
         r = parse_record(text, m.end(), columns)
         if r.kind is None and _ID.match(r.fields[0]):
             return m.end()
@@ -104,7 +104,11 @@ def _anchor(text: str, after: int, columns: int) -> int | None:
 
 
 def parse_text(text: str, columns: int) -> Iterator[Record]:
-    """All records of a text, broken ones with their error; resumes at anchors."""
+    """All records of a text, broken ones with their error; resumes at anchors.
+
+    A record of a wrong number of fields that reaches over line breaks may be two stray quotes that met, with
+    records between them: parsing then resumes at the first anchor within it.
+    """
     at = 0
     while at < len(text):
         r = parse_record(text, at, columns)
@@ -114,6 +118,11 @@ def parse_text(text: str, columns: int) -> Iterator[Record]:
             yield r
             at = r.end
             continue
+        if r.kind == "columns" and _NEWLINE.search(text, at, r.end) and (again := _anchor(text, at, columns, r.end)) is not None:
+            r.end = again
+            yield r
+            at = again
+            continue
         if r.fields != [""]:  # a blank line is no record
             yield r
         m = _NEWLINE.match(text, r.end)

@@ -97,6 +97,8 @@ def test_recovery_at_anchors():
     got = list(R.parse_text(text, 3))
     assert [r.fields[0] for r in got if r.kind is None] == ["1", "3", "no id", "4", "7"]
     assert [(r.kind, r.error_at) for r in got if r.kind] == [("quoting", text.index('g\n5')), ("columns", text.index("6,j") + 3)]
+    met = '1,"b,x\n2,c,d\n3,e,f\n4,g"\n5,h,i'  # two stray quotes that close each other
+    assert [r.fields[0] for r in R.parse_text(met, 3) if r.kind is None] == ["2", "3", "5"]
     assert list(R.parse_text("", 3)) == [] and list(R.parse_text("\n\n", 3)) == []
 
 
