@@ -1,9 +1,10 @@
 """Per-key figures over heavily skewed keys by dense accumulator arrays.
 
-Each input split dictionary-encodes its keys and adds its rows into dense arrays with numpy; what leaves a
-split is one array entry per distinct key, however many rows the key has. The arrays are cut into blocks
-by the key's hash, and blocks are added up in a tree, so a key that owns a third of all rows costs the reduce
-side one entry per split like any other key.
+Each input split dictionary-encodes its keys and adds its rows into dense arrays with numpy (bincount, scatter-reduce); what
+leaves a split is one array entry per distinct key, however many rows the key has. The arrays are cut into blocks by the
+key's hash, each block goes to a task of its own, and there the arrays of all splits are added one after the other
+as they arrive. So a key that owns a third of all rows costs the reduce side one entry per split like any other key, and
+what a task holds is bounded by the keys of its block, not by the number of splits.
 """
 
 from __future__ import annotations
@@ -11,9 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,79 +20,91 @@ from pyspark.sql import types as T
 _MIN = np.iinfo(np.int64).min
 #: Distinct keys a split keeps before it sends what it has; bounds the memory of a task.
 FLUSH = 1_000_000
-#: Chunks of one block that a single reduce task adds; above it a level is put in between.
-FAN_IN = 64
+#: Distinct keys a block should hold; more keys make more blocks.
+BLOCK_KEYS = 250_000
 
 
 class _Accumulator:
-    """Dense arrays over a growing dictionary: row counts, and per measure the non-null count and its sum or maximum."""
+    """Dense arrays over a dictionary of keys: row counts, and per measure the non-null count and its sum or maximum.
+
+    Arrays of single batches are kept side by side and added up when they have doubled.
+    """
 
     def __init__(self, ops: list[str]):
-        self.ops, self.code, self.keys, self.blocks = ops, {}, [], []
-        self.n = np.zeros(0, np.int64)
-        self.seen = [np.zeros(0, np.int64) for _ in ops]
-        self.value = [np.zeros(0, np.int64) for _ in ops]
-
-    def _codes(self, keys: list, blocks: list) -> np.ndarray:
-        code = self.code
-        for k, b in zip(keys, blocks):
-            if k not in code:
-                code[k] = len(code)
-                self.keys.append(k)
-                self.blocks.append(b)
-        if grow := len(self.keys) - len(self.n):
-            self.n = np.concatenate([self.n, np.zeros(grow, np.int64)])
-            for i, op in enumerate(self.ops):
-                self.seen[i] = np.concatenate([self.seen[i], np.zeros(grow, np.int64)])
-                self.value[i] = np.concatenate([self.value[i], np.full(grow, _MIN if op == "max" else 0, np.int64)])
-        return np.fromiter((code[k] for k in keys), np.int64, len(keys))
-
-    def add(self, keys: list, blocks: list, n: np.ndarray, seen: list[np.ndarray], value: list[np.ndarray]) -> None:
-        """Adds arrays whose keys are distinct."""
-        at = self._codes(keys, blocks)
-        self.n[at] += n
-        for i, op in enumerate(self.ops):
-            self.seen[i][at] += seen[i]
-            self.value[i][at] = np.maximum(self.value[i][at], value[i]) if op == "max" else self.value[i][at] + value[i]
+        self.ops, self.parts, self.size, self.settled = ops, [], 0, 0
+
+    def add(self, keys: pa.Array, blocks: np.ndarray, n: np.ndarray, seen: list[np.ndarray], value: list[np.ndarray]) -> None:
+        """Adds arrays; their keys may repeat."""
+        self.parts.append((keys, blocks, n, seen, value))
+        self.size += len(keys)
+        if self.size > 2 * self.settled + 65_536:
+            self.settle()
+
+    def settle(self) -> None:
+        """Leaves one entry per key."""
+        if len(self.parts) < 1:
+            return
+        keys = pa.concat_arrays([p[0] for p in self.parts])
+        codes, dictionary = _encoded(keys)
+        size, first = len(dictionary), _first(codes, len(dictionary))
+        joined = lambda of: np.concatenate([of(p) for p in self.parts])
+        seen = [_summed(codes, joined(lambda p: p[3][i]), size) for i in range(len(self.ops))]
+        value = [_reduced(op, codes, joined(lambda p: p[4][i]), size) for i, op in enumerate(self.ops)]
+        self.parts = [(dictionary, joined(lambda p: p[1])[first], _summed(codes, joined(lambda p: p[2]), size), seen, value)]
+        self.size = self.settled = size
 
     def add_rows(self, batch: pa.RecordBatch) -> None:
-        encoded = batch.column(0).dictionary_encode(null_encoding="encode")
-        codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        size = len(encoded.dictionary)
-        first = np.zeros(size, np.int64)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
-        seen, value = [], []
+        codes, dictionary = _encoded(batch.column(0))
+        size, seen, value = len(dictionary), [], []
         for i, op in enumerate(self.ops):
             col = batch.column(2 + i)
             there = col.is_valid().to_numpy(zero_copy_only=False)
             v, c = col.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[there], codes[there]
             seen.append(np.bincount(c, minlength=size).astype(np.int64))
-            total = np.full(size, _MIN if op == "max" else 0, np.int64)
-            (np.maximum if op == "max" else np.add).at(total, c, v)
-            value.append(total)
-        blocks = batch.column(1).to_numpy(zero_copy_only=False)[first].tolist()
-        self.add(encoded.dictionary.to_pylist(), blocks, np.bincount(codes, minlength=size).astype(np.int64), seen, value)
-
-    def chunks(self, part: int) -> Iterator[dict]:
-        """The arrays cut by block."""
-        if not self.keys:
+            value.append(_reduced(op, c, v, size))
+        blocks = batch.column(1).to_numpy(zero_copy_only=False)[_first(codes, size)]
+        self.add(dictionary, blocks, np.bincount(codes, minlength=size).astype(np.int64), seen, value)
+
+    def chunks(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """The arrays cut by block, one row a block."""
+        self.settle()
+        if not self.size:
             return
-        blocks = np.asarray(self.blocks, np.int64)
+        ((keys, blocks, n, seen, value),) = self.parts
         order = np.argsort(blocks, kind="stable")
         cuts = np.flatnonzero(np.diff(blocks[order])) + 1
-        for at in np.split(order, cuts):
-            yield {
-                "block": int(blocks[at[0]]),
-                "part": part,
-                "keys": [self.keys[i] for i in at],
-                "n": self.n[at],
-                **{f"seen{i}": self.seen[i][at] for i in range(len(self.ops))},
-                **{f"value{i}": self.value[i][at] for i in range(len(self.ops))},
-            }
+        offsets = pa.array(np.concatenate([[0], cuts, [len(order)]]), pa.int32())
+        listed = lambda a: pa.ListArray.from_arrays(offsets, a)
+        arrays = [pa.array(blocks[order][np.concatenate([[0], cuts])], pa.int32()), listed(keys.take(pa.array(order)))]
+        arrays += [listed(pa.array(a[order])) for a in (n, *seen, *value)]
+        whole = pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema)], schema=schema)
+        for at in range(0, len(whole), 1024):
+            yield whole.slice(at, 1024)
+
+
+def _encoded(keys: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    e = keys.dictionary_encode(null_encoding="encode")
+    return e.indices.to_numpy(zero_copy_only=False).astype(np.int64), e.dictionary
+
+
+def _first(codes: np.ndarray, size: int) -> np.ndarray:
+    first = np.zeros(size, np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return first
+
+
+def _summed(codes: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)  # bincount adds as floats, which are exact for counts of one batch only
+    np.add.at(out, codes, v)
+    return out
 
 
-def _table(chunks: list[dict], columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(chunks, columns=columns)
+def _reduced(op: str, codes: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
+    if op == "sum":
+        return _summed(codes, v, size)
+    out = np.full(size, _MIN, np.int64)
+    np.maximum.at(out, codes, v)
+    return out
 
 
 def dense_key_figures(
@@ -105,17 +116,20 @@ def dense_key_figures(
     """One row per value of ``key``: ``n`` rows and, per measure, ``<name>_n`` non-null values and ``<name>``.
 
     ``measures`` maps a name to ("sum" | "max", column); columns are taken as bigint, sums wrap as bigint does.
-    ``blocks`` is the number of array blocks (default: four per shuffle partition); it bounds the keys of one reduce
-    task to 1/blocks of the dictionary. The key may have any hashable type. A null key is a key of its own, a key
-    without a non-null value has a null ``<name>`` and ``<name>_n`` 0, and an empty table gives no rows. Other columns
-    do not matter; a key column named ``n`` makes the row count ``n_rows``.
+    ``blocks`` is the number of array blocks, each a task; by default as many as there are shuffle partitions, or more where
+    the keys, counted roughly in a pass over their column alone, would make blocks of more than BLOCK_KEYS. The key may
+    have any type that can be dictionary-encoded. A null key is a key of its own, a key without a non-null value has
+    a null ``<name>`` and ``<name>_n`` 0, and an empty table gives no rows. Other columns do not matter; a key column
+    named ``n`` makes the row count ``n_rows``.
     """
     rows_name = "n_rows" if key == "n" else "n"
     spark = df.sparkSession
     ops = [op for op, _ in measures.values()]
     if bad := set(ops) - {"sum", "max"}:
         raise ValueError(f"unknown measure: {sorted(bad)}")
-    blocks = blocks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if blocks is None:
+        distinct = df.agg(F.approx_count_distinct(key)).first()[0]
+        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct // BLOCK_KEYS))
     kind = df.schema[key].dataType
     rows = df.select(
         F.col(key).alias("key"),
@@ -124,56 +138,38 @@ def dense_key_figures(
     )
     longs = T.ArrayType(T.LongType())
     arrays = ["n", *(f"seen{i}" for i in range(len(ops))), *(f"value{i}" for i in range(len(ops)))]
-    columns = ["block", "part", "keys", *arrays]
-    schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("keys", T.ArrayType(kind)), *(T.StructField(a, longs) for a in arrays)])
+    schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("keys", T.ArrayType(kind)), *(T.StructField(a, longs) for a in arrays)])
+    names = list(measures)
+    out_schema = T.StructType([T.StructField(key, kind), T.StructField(rows_name, T.LongType()), *(f for name in names for f in (T.StructField(f"{name}_n", T.LongType()), T.StructField(name, T.LongType())))])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        part, arrow, acc = TaskContext.get().partitionId(), to_arrow_schema(schema), _Accumulator(ops)
-
-        def sent(a: _Accumulator) -> Iterator[pa.RecordBatch]:
-            chunks = list(a.chunks(part))
-            for at in range(0, len(chunks), 1024):
-                yield pa.RecordBatch.from_pylist(chunks[at : at + 1024], schema=arrow)
-
+        arrow, acc = to_arrow_schema(schema), _Accumulator(ops)
         for batch in batches:
             if batch.num_rows:
                 acc.add_rows(batch)
-            if len(acc.keys) > FLUSH:
-                yield from sent(acc)
+            if acc.settled > FLUSH:
+                yield from acc.chunks(arrow)
                 acc = _Accumulator(ops)
-        yield from sent(acc)
-
-    def added(pdf: pd.DataFrame) -> _Accumulator:
-        acc = _Accumulator(ops)
-        for r in pdf.itertuples(index=False):
-            acc.add(
-                list(r.keys),
-                [r.block] * len(r.keys),
-                np.asarray(r.n),
-                [np.asarray(getattr(r, f"seen{i}")) for i in range(len(ops))],
-                [np.asarray(getattr(r, f"value{i}")) for i in range(len(ops))],
-            )
-        return acc
-
-    def between(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _table(list(added(pdf).chunks(int(pdf["part"].iloc[0]))), columns)
-
-    names = list(measures)
+        yield from acc.chunks(arrow)
 
-    def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        acc = added(pdf)
-        out = {key: pd.Series(acc.keys, dtype=object), rows_name: acc.n}
-        for i, name in enumerate(names):
-            out[f"{name}_n"] = acc.seen[i]
-            out[name] = pd.Series(acc.value[i]).astype("Int64").where(acc.seen[i] > 0)
-        return pd.DataFrame(out)
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    out_schema = T.StructType([T.StructField(key, kind), T.StructField(rows_name, T.LongType()), *(f for name in names for f in (T.StructField(f"{name}_n", T.LongType()), T.StructField(name, T.LongType())))])
-    chunks = rows.mapInArrow(split, schema)
-    splits = rows.rdd.getNumPartitions()
-    if splits > FAN_IN:
-        fan = int(np.ceil(np.sqrt(splits)))
-        chunks = chunks.withColumn("part", F.pmod("part", F.lit(fan))).groupBy("block", "part").applyInPandas(between, schema)
-    return chunks.groupBy("block").applyInPandas(last, out_schema)
+        acc, k = _Accumulator(ops), len(ops)
+        for batch in batches:
+            if batch.num_rows:
+                flat = [batch.column(1 + i).flatten() for i in range(2 + 2 * k)]
+                n, *rest = [a.to_numpy(zero_copy_only=False) for a in flat[1:]]
+                acc.add(flat[0], np.zeros(len(n), np.int64), n, rest[:k], rest[k:])
+        acc.settle()
+        if acc.size:
+            ((keys, _, n, seen, value),) = acc.parts
+            columns = [keys, pa.array(n)]
+            for s, v in zip(seen, value):
+                columns += [pa.array(s), pa.array(v, mask=s == 0)]
+            arrow = to_arrow_schema(out_schema)
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return rows.mapInArrow(split, schema).repartitionById(blocks, F.col("block")).mapInArrow(added, out_schema)

@@ -3,6 +3,8 @@
 from collections import defaultdict
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -19,16 +21,30 @@ def figures(df, key="k", **kw):
     return {r[key]: (r.n, r.total_n, r.total, r.top) for r in got.collect()}
 
 
-@pytest.mark.parametrize("fan_in", [64, 1])
-def test_dense_figures_match_brute_force(spark, monkeypatch, fan_in):
-    monkeypatch.setattr(dense, "FAN_IN", fan_in)
+@pytest.mark.parametrize("blocks", [7, 1, None])
+def test_dense_figures_match_brute_force(spark, monkeypatch, blocks):
+    monkeypatch.setattr(dense, "BLOCK_KEYS", 3)
     rows = [("hot" if i % 3 == 0 else f"k{i % 50}" if i % 7 else None, None if i % 5 == 0 else i - 500, i) for i in range(3000)]
     want = defaultdict(list)
     for k, v, _ in rows:
         want[k].append(v)
     df = spark.createDataFrame(rows, "k string, v bigint, n int").repartition(5)
     expect = {k: (len(vs), len(x := [v for v in vs if v is not None]), sum(x) if x else None, max(x, default=None)) for k, vs in want.items()}
-    assert figures(df, blocks=7) == expect
+    assert figures(df, blocks=blocks) == expect
+    big = df.withColumn("v", F.lit((1 << 53) + 1))
+    assert figures(big)["hot"] == (1000, 1000, 1000 * ((1 << 53) + 1), (1 << 53) + 1)
+
+
+def test_dense_figures_flush(spark, monkeypatch):
+    rows = [(i % 900 if i % 4 else None, i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k bigint, v bigint").repartition(2)
+    acc = dense._Accumulator(["sum"])
+    for i in range(30):  # many batches over the same keys stay one entry a key
+        acc.add(pa.array(range(5000)), np.zeros(5000, np.int64), np.ones(5000, np.int64), [np.ones(5000, np.int64)], [np.ones(5000, np.int64)])
+    acc.settle()
+    assert acc.size == 5000 and acc.parts[0][2].tolist() == [30] * 5000
+    got = figures(df)
+    assert len(got) == len({k for k, _ in rows}) and sum(g[0] for g in got.values()) == 4000 and got[None][2] == sum(range(0, 4000, 4))
 
 
 def test_dense_figures_edges(spark):
