@@ -10,8 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _length(b: Column, digits: int = 16) -> Column:
-    return F.unhex(F.lpad(F.hex(F.octet_length(b).cast("bigint")), digits, "0"))
+def _length(b: Column) -> Column:
+    """Eight bytes, the most significant first."""
+    return F.unhex(F.lpad(F.hex(F.octet_length(b).cast("bigint")), 16, "0"))
 
 
 def _utf8(c: Column) -> Column:

@@ -57,49 +57,68 @@ def _taken_apart(t: Column) -> Column:
     )
 
 
-def with_digits(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds ``__d_<column>``, each text taken apart once however often its parts are used."""
-    columns = list(dict.fromkeys(columns))
-    return df.withColumns({f"__t_{c}": stripped(F.col(c)) for c in columns}).withColumns({f"__d_{c}": _taken_apart(F.col(f"__t_{c}")) for c in columns}).drop(*[f"__t_{c}" for c in columns])
+#: Spellings that need not be taken apart: those of nearly all values.
+PLAIN = {"integer": "^[0-9]{1,18}$", "rate": r"^[0-9]{1,3}(\.[0-9]{1,9})?$"}
+
+
+def with_digits(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Adds ``__d_<column>`` per column and kind ("integer" or "rate"): the stripped text, whether it is plain, and only if it is not
+    its parts, once however often they are used."""
+    judged = df.withColumns({f"__p_{c}": F.coalesce(F.col(c).rlike(PLAIN[k]), F.lit(False)) for c, k in columns.items()})
+    texts = judged.withColumns({f"__t_{c}": F.when(F.col(f"__p_{c}"), F.col(c)).otherwise(stripped(F.col(c))) for c in columns})
+    parts = texts.withColumns({f"__d_{c}": F.struct(F.col(f"__t_{c}").alias("text"), F.col(f"__p_{c}").alias("plain"), F.when(~F.col(f"__p_{c}"), _taken_apart(F.col(f"__t_{c}"))).alias("parts")) for c in columns})
+    return parts.drop(*[f"__{x}_{c}" for x in "tp" for c in columns])
 
 
 def digits(column: str) -> Digits:
-    """The parts that with_digits added."""
-    d = F.col(f"__d_{column}")
+    """The parts that with_digits added; null where the text is plain."""
+    d = F.col(f"__d_{column}")["parts"]
     return Digits(d["valid"], d["negative"], d["digits"], d["shift"])
 
 
+def _plain(column: str) -> tuple[Column, Column]:
+    d = F.col(f"__d_{column}")
+    return d["plain"], d["text"]
+
+
 def integer(column: str, optional: bool = False) -> tuple[Column, Column]:
     """(value, reason): a non-negative integer up to 2^63-1, in any decimal spelling (``0012``, ``1.0``, ``1e3``).
 
     ``reason`` is null for a valid value and else "number", "fraction", "negative" or "range". With ``optional`` a
     blank is valid and null. Needs with_digits.
     """
-    d = digits(column)
+    (plain, text), d = _plain(column), digits(column)
     value = F.coalesce(F.nullif(d.whole, F.lit("")), F.lit("0")).try_cast("bigint")
-    reason = F.when(~d.valid, "number").when(~d.integral, "fraction").when(d.negative & ~d.is_zero, "negative").when(value.isNull(), "range")
+    reason = F.when(plain, None).when(~d.valid, "number").when(~d.integral, "fraction").when(d.negative & ~d.is_zero, "negative").when(value.isNull(), "range")
     if optional:
-        reason = F.when(~is_blank(F.col(column)), reason)
+        reason = F.when(~plain & ~is_blank(F.col(column)), reason)
     sound = d.valid & d.integral & ~(d.negative & ~d.is_zero)
-    return F.when(sound, value), reason
+    return F.when(plain, text.try_cast("bigint")).when(sound, value), reason
+
+
+def scale(column: str) -> Column:
+    """Digits behind the point as the number is written. Needs with_digits for a rate."""
+    plain, text = _plain(column)
+    return F.when(plain, F.when(text.contains("."), F.length(F.substring_index(text, ".", -1))).otherwise(0)).otherwise(-digits(column).shift)
 
 
-def rate(column: str, top: int, scale: int | None = None, kind: str = "decimal(3,2)") -> tuple[Column, Column]:
-    """(value, reason): a number from 0 to ``top``; with ``scale`` no more digits behind the point than that.
+def rate(column: str, top: int, scale_limit: int | None = None, kind: str = "decimal(3,2)") -> tuple[Column, Column]:
+    """(value, reason): a number from 0 to ``top``; with ``scale_limit`` no more digits behind the point than that.
 
     The scale is that of the text: 3.500 has three. Reasons: "blank" (null or white space), "number" (no number or out
-    of range), "zero", "scale". A zero has a value only without ``scale``, where zero is no reason. Needs with_digits.
+    of range), "zero", "scale". A zero has a value only without ``scale_limit``, where zero is no reason. Needs with_digits.
     """
-    d = digits(column)
+    (plain, text), d = _plain(column), digits(column)
     number = F.concat(F.when(d.negative, "-").otherwise(""), d.digits, F.lit("e"), d.shift.cast("string"))
-    exact = number.try_cast("decimal(38,18)")
+    exact = F.when(plain, text).otherwise(number).try_cast("decimal(38,18)")
     # a whole part equal to the top is within only if nothing but zeros follows
-    outside = exact.isNull() | (exact > top) | (d.negative & ~d.is_zero) | ((d.whole == str(top)) & ~d.integral)
-    reason = F.when(is_blank(F.col(column)), "blank").when(~d.valid | outside, "number")
-    sound = d.valid & ~outside
-    if scale is not None:
-        reason = reason.when(d.is_zero, "zero").when(-d.shift > scale, "scale")
-        sound = sound & ~d.is_zero & (-d.shift <= scale)
+    outside = F.when(plain, exact > top).otherwise(exact.isNull() | (exact > top) | (d.negative & ~d.is_zero) | ((d.whole == str(top)) & ~d.integral))
+    valid, zero = plain | d.valid, F.when(plain, exact == 0).otherwise(d.is_zero)
+    reason = F.when(~plain & is_blank(F.col(column)), "blank").when(~valid | outside, "number")
+    sound = valid & ~outside
+    if scale_limit is not None:
+        reason = reason.when(zero, "zero").when(scale(column) > scale_limit, "scale")
+        sound = sound & ~zero & (scale(column) <= scale_limit)
     return F.when(sound, exact.cast(kind)), reason
 
 

@@ -15,8 +15,8 @@ def stripped(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    """True for null and for white space alone."""
-    return F.coalesce(stripped(c) == "", F.lit(True))
+    """True for null and for white space alone; a look at the first character decides nearly always."""
+    return F.coalesce(F.when(F.lit(SPACES).contains(F.left(c, F.lit(1))), stripped(c) == "").otherwise(c.isNull()), F.lit(True))
 
 
 def clean_text(c: Column, sentinel: str | None = None) -> Column:

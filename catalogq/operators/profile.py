@@ -37,11 +37,12 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 def top_values(df: DataFrame, columns: list[str], row: str, k: int) -> DataFrame:
     """The ``k`` most frequent values per column; ties by first appearance.
 
-    Counts combine before the shuffle. A column's distinct values are first cut to k per task share, then to k.
+    Counts combine before the shuffle. A column's distinct values are first cut to k per share, as many shares as there are
+    shuffle partitions, then to k.
     """
     n = unpivoted(df, columns, row).where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row"))
     order = [F.col("n").desc(), F.col("first_row")]
-    share = n.withColumn("share", F.pmod(F.xxhash64("value"), F.lit(64)))
+    share = n.withColumn("share", F.pmod(F.xxhash64("value"), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     some = share.withColumn("place", F.row_number().over(Window.partitionBy("column", "share").orderBy(*order))).where(F.col("place") <= k)
     return some.withColumn("place", F.row_number().over(Window.partitionBy("column").orderBy(*order))).where(F.col("place") <= k).select("column", "place", "value", "n")
 
@@ -123,7 +124,7 @@ def stratified_sample(df: DataFrame, strata: list[str], row: str, k: int) -> Dat
     Strata are first cut to k per share of a stratum, so that a stratum of a third of all rows is never gathered.
     """
     order = [F.md5(F.col(row).cast("string")), F.col(row)]
-    shares = df.withColumn("__share", F.pmod(F.xxhash64(row), F.lit(256)))
+    shares = df.withColumn("__share", F.pmod(F.xxhash64(row), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     some = shares.withColumn("__place", F.row_number().over(Window.partitionBy(*strata, "__share").orderBy(*order))).where(F.col("__place") <= k)
     return some.withColumn("__place", F.row_number().over(Window.partitionBy(*strata).orderBy(*order))).where(F.col("__place") <= k).drop("__place", "__share")
 

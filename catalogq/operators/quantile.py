@@ -2,55 +2,54 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalogq.session import cut
-
 
 def value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """``groups``, ``value``, ``n``: non-null values with their counts; combined before the shuffle."""
     return df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Slices of the value range that cumulative counts are taken in; each is summed by a task of its own.
-SLICES = 256
+#: Slices per doubling of the value; a slice's distinct values lie within 1/64 of their size of each other.
+SLICES = 64
+
 
+def value_slice(value: Column) -> Column:
+    """A slice of the value range, rising with the value; the same for all rows and runs, so nothing has to be sampled."""
+    x = value.cast("double")
+    size = F.floor(F.log2(F.abs(x) + 1) * SLICES)
+    return F.when(F.isnan(x), F.lit((1 << 63) - 1)).otherwise(F.signum(x).cast("bigint") * size)
 
-def cumulative(counts: DataFrame, groups: list[str]) -> DataFrame:
-    """Adds ``upto`` (values up to this one) and ``total`` per group, without gathering a group in one task.
 
-    The distinct values are cut into ranges by a sampled order of the engine; counts are added within a range, and a
-    range's offset is the sum of the ranges before it, of which there are SLICES at most.
+def at_ranks(counts: DataFrame, groups: list[str], asked: dict[str, Column]) -> DataFrame:
+    """``groups``, ``name``, ``rank``, ``n``, ``value``: the values of the asked ranks (from 1, in terms of ``total``) per group.
+
+    Counts are first added up per slice of the value range; only the slices that hold an asked rank are sorted, each for itself. So
+    a group that owns a third of all values is spread over its slices, of which there are some thousand. Null group values form groups.
     """
-    # written once: were it computed twice, the sampled ranges could differ
-    ranged = cut(counts.repartitionByRange(SLICES, *groups, "value").withColumn("__slice", F.spark_partition_id()))
-    per = ranged.groupBy(*groups, "__slice").agg(F.sum("n").alias("__in"))
+    sliced = counts.withColumn("__slice", value_slice(F.col("value")))
+    per = sliced.groupBy(*groups, "__slice").agg(F.sum("n").alias("__in"))
     by = Window.partitionBy(*groups)
-    offsets = per.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__slice").alias("__s"), F.sum("__in").over(by).alias("total"), F.coalesce(F.sum("__in").over(by.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = ranged.withColumn("__upto", F.sum("n").over(Window.partitionBy(*groups, "__slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
-    on = F.col("__slice") == F.col("__s")
-    for i, g in enumerate(groups):
-        on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    joined = inside.join(offsets, on)
-    return joined.select(*groups, "value", "n", (F.col("__upto") + F.col("__before")).cast("bigint").alias("upto"), F.col("total").cast("bigint").alias("total"))
+    upto = F.sum("__in").over(by.orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0))
+    placed = per.select("*", (upto - F.col("__in")).alias("__before"), F.sum("__in").over(by).alias("total"))
+    ranks = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), r.cast("bigint").alias("rank")) for n, r in asked.items()])).alias("a")
+    hit = placed.select("*", ranks).where("a.rank > __before AND a.rank <= __before + __in")
+    keys = [*groups, "__slice"]
+    hit = hit.select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)], "a.name", "a.rank", "__before", "total")
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__h{i}")) for i, k in enumerate(keys)])
+    within = Window.partitionBy(*[f"__h{i}" for i in range(len(keys))], "name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    found = sliced.join(hit, on).withColumn("__upto", F.col("__before") + F.sum("n").over(within))
+    return found.where("__upto >= rank AND __upto - n < rank").select(*groups, "name", "rank", F.col("total").alias("n"), "value")
 
 
 def nearest_rank(df: DataFrame, groups: list[str], value: str, per_mille: list[int]) -> DataFrame:
     """``groups``, ``per_mille``, ``n``, ``rank``, ``threshold``: the value of rank ceil(p * n / 1000), in integer arithmetic."""
-    c = small_cumulative(value_counts(df, groups, value), groups)
-    asked = c.withColumn("per_mille", F.explode(F.array(*map(F.lit, per_mille))))
-    rank = F.expr("(per_mille * total + 999) div 1000")
-    hit = asked.withColumn("rank", F.greatest(F.lit(1), rank)).where("upto >= rank AND upto - n < rank")
-    return hit.select(*groups, "per_mille", F.col("total").alias("n"), "rank", F.col("value").alias("threshold"))
-
-
-def small_cumulative(counts: DataFrame, groups: list[str]) -> DataFrame:
-    """As cumulative; with groups the groups themselves spread the work over tasks."""
-    if not groups:
-        return cumulative(counts, groups)
-    by = Window.partitionBy(*groups)
-    return counts.withColumn("upto", F.sum("n").over(by.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(by))
+    asked = {str(p): F.greatest(F.lit(1), F.expr(f"({p} * total + 999) div 1000")) for p in per_mille}
+    r = at_ranks(value_counts(df, groups, value), groups, asked)
+    return r.select(*groups, F.col("name").cast("int").alias("per_mille"), "n", "rank", F.col("value").alias("threshold"))
 
 
 def above_threshold(df: DataFrame, value: str, per_mille: int, flag: str) -> DataFrame:
@@ -59,24 +58,13 @@ def above_threshold(df: DataFrame, value: str, per_mille: int, flag: str) -> Dat
     return df.withColumn(flag, F.lit(False) if t is None else F.coalesce(F.col(value) > F.lit(t.threshold), F.lit(False)))
 
 
-def interpolated(values: Column, p: float) -> Column:
-    """Linear interpolation at position (n - 1) * p of a sorted array; null for an empty one."""
-    n = F.size(values)
-    at = (n - 1).cast("double") * F.lit(p)
-    low = F.floor(at).cast("int")
-    a, b = F.get(values, low).cast("double"), F.get(values, F.least(low + 1, n - 1)).cast("double")
-    return F.when(n > 0, a + (b - a) * (at - low))
-
-
 def interpolated_quantiles(df: DataFrame, groups: list[str], value: str, ps: dict[str, float]) -> DataFrame:
     """Per group the interpolated quantiles, from counts per value: no group's values are collected."""
-    c = small_cumulative(value_counts(df, groups, value), groups)
-    aggs = []
-    for name, p in ps.items():
-        at = (F.col("total") - 1).cast("double") * F.lit(p)
-        low = F.floor(at)
-        holds = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k)
-        a = F.max(F.when(holds(low), F.col("value").cast("double")))
-        b = F.max(F.when(holds(F.least(low + 1, F.col("total") - 1)), F.col("value").cast("double")))
-        aggs.append((a + (b - a) * F.max(at - low)).alias(name))
-    return c.groupBy(*groups).agg(F.max("total").alias("n"), *aggs)
+    at = {name: (F.col("total") - 1).cast("double") * F.lit(p) for name, p in ps.items()}
+    asked = {}
+    for name, c in at.items():
+        asked |= {f"{name}/low": F.floor(c) + 1, f"{name}/high": F.least(F.floor(c) + 2, F.col("total"))}
+    r = at_ranks(value_counts(df, groups, value), groups, asked).withColumnRenamed("n", "total")
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("value").cast("double")))
+    aggs = [(of(f"{n}/low") + (of(f"{n}/high") - of(f"{n}/low")) * F.max(c - F.floor(c))).alias(n) for n, c in at.items()]
+    return r.groupBy(*groups).agg(F.max("total").alias("n"), *aggs)

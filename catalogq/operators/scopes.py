@@ -54,11 +54,11 @@ def inventory(products: DataFrame, offers: DataFrame, comments: DataFrame, level
         F.count("price").alias("priced_products"),
         *[F.count_if(F.col("comments") >= k).alias(f"products_with_{k}") for k in STEPS],
     )
-    prices = interpolated_quantiles(s, keys, "price", {"price_p05": 0.05, "price_p50": 0.5, "price_p95": 0.95}).drop("n")
-    depth = interpolated_quantiles(s.where("comments > 0"), keys, "comments", {"comments_p50": 0.5, "comments_p95": 0.95}).drop("n")
-    named = lambda d, t: d.select(*[F.col(k).alias(f"{t}_{k}") for k in keys], *[c for c in d.columns if c not in keys])
-    on = lambda t: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{t}_{k}")) for k in keys])
-    out = figures.join(named(prices, "q"), on("q"), "left").join(named(depth, "d"), on("d"), "left")
+    values = F.explode(F.array(F.struct(F.lit("price").alias("metric"), F.col("price").cast("bigint").alias("value")), F.struct(F.lit("comments").alias("metric"), F.when(F.col("comments") > 0, F.col("comments")).alias("value")))).alias("v")
+    q = interpolated_quantiles(s.select(*keys, values).select(*keys, "v.*"), [*keys, "metric"], "value", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    asked = [("price", "p05"), ("price", "p50"), ("price", "p95"), ("comments", "p50"), ("comments", "p95")]
+    q = q.groupBy(*[F.col(k).alias(f"q_{k}") for k in keys]).agg(*[F.max(F.when(F.col("metric") == m, F.col(p))).alias(f"{m}_{p}") for m, p in asked])
+    out = figures.join(q, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"q_{k}")) for k in keys]), "left")
     share = lambda c: (F.col(c) * 100).cast("double") / F.col("products")
     return out.select(
         *keys,

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogq.functions import digest, jalali
-from catalogq.functions.num import digits, integer, rate, with_digits
+from catalogq.functions.num import integer, rate, scale, with_digits
 from catalogq.functions.text import clean_text, is_blank, strict_boolean
 from catalogq.operators.evidence import Rule, said, with_events
 from catalogq.operators.rules import BOOLEAN_SAYS, COUNT_SAYS, DATE_SAYS, ID_SAYS, RATE_SAYS, SENTINEL_RULES
@@ -27,14 +27,15 @@ PRODUCT_CORE = ["title_fa", "category1", "category2", "brand", "rate", "rate_cou
 COMMENT_CONTENT = ["product_id", "title", "body", "created_at_raw", "created_at_jalali", "created_at_gregorian", "rate", "is_unrated", "invalid_rate", "recommendation_status", "is_buyer", "advantages", "disadvantages", "likes", "dislikes", "seller_title", "seller_code", "true_to_size_rate"]
 
 
-def parsed(df: DataFrame, numbers: list[str], values: dict[str, Column]) -> DataFrame:
-    """``df`` with ``values`` computed once per row, over the ``numbers`` taken apart.
+def parsed(df: DataFrame, integers: list[str], values: dict[str, Column], rates: list[str] | None = None) -> DataFrame:
+    """``df`` with ``values`` computed once per row, over the ``integers`` and ``rates`` taken apart.
 
     The values come out of a generator, which keeps filters on them from being pushed below it and so from
     computing every parse a second time.
     """
     one = F.inline(F.array(F.struct(*[c.alias(n) for n, c in values.items()])))
-    return with_digits(df, numbers).select(*df.columns, one)
+    kinds = dict.fromkeys(integers, "integer") | dict.fromkeys(rates or [], "rate")
+    return with_digits(df, kinds).select(*df.columns, one)
 
 
 def _blanks(fields: list[str]) -> dict[str, Column]:
@@ -56,7 +57,7 @@ def product_rows(raw: DataFrame) -> DataFrame:
     """Adds the typed product columns (prefix ``p_``), ``events`` and ``fatal``."""
     values = dict(zip(("id_v", "id_r", "count_v", "count_r", "rate_v", "rate_r"), (*integer("id"), *integer("Rate_cnt"), *rate("Rate", 100, kind="double"))))
     text = {"title_fa": "title_fa", "category1": "Category1", "category2": "Category2", "brand": "Brand", "sub_category": "sub_category"}
-    rows = parsed(raw, ["id", "Rate_cnt", "Rate"], values | _blanks(list(text.values())))
+    rows = parsed(raw, ["id", "Rate_cnt"], values | _blanks(list(text.values())), ["Rate"])
     product_id, bad_id, count, bad_count, value, bad_rate = map(F.col, values)
     usable = bad_count.isNull() & bad_rate.isNull()
     zero = usable & (value == 0)
@@ -137,9 +138,9 @@ def comment_rows(raw: DataFrame) -> DataFrame:
     """Adds the typed comment columns (prefix ``c_``), ``events`` and ``fatal``."""
     names = ("id_v", "id_r", "product_v", "product_r", "likes_v", "likes_r", "dislikes_v", "dislikes_r", "rate_v", "rate_r", "rate_scale", "date_iso", "date_v", "date_r", "buyer_v")
     counts = (*integer("id"), *integer("product_id"), *integer("likes", optional=True), *integer("dislikes", optional=True))
-    values = dict(zip(names, (*counts, *rate("rate", 5, scale=2), -digits("rate").shift, *jalali.parsed(F.col("created_at")), strict_boolean(F.col("is_buyer")))))
-    rows = parsed(raw, ["id", "product_id", "likes", "dislikes", "rate"], values | _blanks(list(SENTINEL_RULES)))
-    comment_id, bad_id, product_id, bad_product, likes, bad_likes, dislikes, bad_dislikes, value, bad_rate, scale, iso, day, bad_date, buyer = map(F.col, values)
+    values = dict(zip(names, (*counts, *rate("rate", 5, 2), scale("rate"), *jalali.parsed(F.col("created_at")), strict_boolean(F.col("is_buyer")))))
+    rows = parsed(raw, ["id", "product_id", "likes", "dislikes"], values | _blanks(list(SENTINEL_RULES)), ["rate"])
+    comment_id, bad_id, product_id, bad_product, likes, bad_likes, dislikes, bad_dislikes, value, bad_rate, places, iso, day, bad_date, buyer = map(F.col, values)
     rules = [
         Rule("ID-002", "id", bad_id.isNotNull(), said(bad_id, ID_SAYS), fatal=True),
         Rule("ID-002", "product_id", bad_product.isNotNull(), said(bad_product, ID_SAYS), fatal=True),
@@ -163,7 +164,7 @@ def comment_rows(raw: DataFrame) -> DataFrame:
         iso.alias("c_created_at_jalali"),
         day.alias("c_created_at_gregorian"),
         value.alias("c_rate"),
-        F.when(scale == 0, value.cast("decimal(1,0)").cast("string")).when(scale == 1, value.cast("decimal(2,1)").cast("string")).otherwise(value.cast("string")).alias("c_rate_text"),
+        F.when(places == 0, value.cast("decimal(1,0)").cast("string")).when(places == 1, value.cast("decimal(2,1)").cast("string")).otherwise(value.cast("string")).alias("c_rate_text"),
         F.coalesce(bad_rate == "zero", F.lit(False)).alias("c_is_unrated"),
         F.coalesce(bad_rate.isin("number", "scale"), F.lit(False)).alias("c_invalid_rate"),
         t("recommendation_status"),

@@ -98,7 +98,7 @@ def product_rate_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def comment_rate_rules(spark: SparkSession, d: str) -> DataFrame:
-    return T.parsed(raw_comments(spark, d), ["rate"], dict(zip(("value", "reason"), T.rate("rate", 5, scale=2)))).select("source_row", "value", "reason")
+    return T.parsed(raw_comments(spark, d), [], dict(zip(("value", "reason"), T.rate("rate", 5, 2))), ["rate"]).select("source_row", "value", "reason")
 
 
 def text_sentinels(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,15 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset and the master is local
-    (tests) a temporary folder is made; on a cluster without the setting this raises.
+    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset and the whole session is this one process
+    (tests) a temporary folder is made, which goes with the process; on any cluster, a local one too, this raises.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="catalogq-checkpoint-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found

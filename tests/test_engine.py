@@ -86,6 +86,15 @@ def test_nearest_rank_of_1001(spark):
     assert quantile.above_threshold(df.where("p IS NULL"), "p", 999, "high").where("high").count() == 0
 
 
+def test_ranks_of_any_values(spark):
+    values = [float("-inf"), -1e300, -7.0, -7.0, -0.5, 0.0, 0.3, 0.3, 1.0, 1e17, 2e17, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(g, v) for g in ("a", None) for v in values], "g string, v double")
+    got = quantile.nearest_rank(df, ["g"], "v", list(range(0, 1001, 40))).collect()
+    there = values[:-1]
+    assert len(got) == 52 and all(r.n == 13 and (r.threshold == there[r["rank"] - 1] or r["rank"] == 13) and r["rank"] == max(1, -(-r.per_mille * 13 // 1000)) for r in got)
+    assert quantile.nearest_rank(df.where("false"), ["g"], "v", [500]).count() == 0
+
+
 def test_interpolation(spark):
     for values in ([5], [1, 2], [1, 2, 2, 9], list(range(100))):
         df = spark.createDataFrame([("g", v) for v in values], "g string, v bigint")

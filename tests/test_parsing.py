@@ -9,9 +9,9 @@ from catalogq.functions import jalali, num, text
 from catalogq.operators.transforms import parsed
 
 
-def values(spark, tokens, make):
+def values(spark, tokens, make, kind="integer"):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, x string")
-    out = parsed(df, ["x"], dict(zip(("v", "r"), make("x")))).orderBy("i").collect()
+    out = parsed(df, ["x"] * (kind == "integer"), dict(zip(("v", "r"), make("x"))), ["x"] * (kind == "rate")).orderBy("i").collect()
     return [(r.v, r.r) for r in out]
 
 
@@ -25,13 +25,13 @@ def test_integers(spark):
 
 def test_comment_rates(spark):
     good = ["0.05", "0.15", "0.25", "0.5", "0.75", "1", "3.33", "4.85", "5", "5.00", " 4 ", "4e0"]
-    assert [(str(v), r) for v, r in values(spark, good, lambda c: num.rate(c, 5, 2))] == [(f"{float(t):.2f}", None) for t in good]
+    assert [(str(v), r) for v, r in values(spark, good, lambda c: num.rate(c, 5, 2), "rate")] == [(f"{float(t):.2f}", None) for t in good]
     bad = {"3.500": "scale", "0": "zero", "0.000": "zero", "-0": "zero", "-1": "number", "5.001": "number", "5.000000000000000000001": "number", "2500": "number", "bad": "number", "NaN": "number", "inf": "number", "": "blank", " ": "blank", None: "blank"}
-    assert values(spark, list(bad), lambda c: num.rate(c, 5, 2)) == [(None, r) for r in bad.values()]
+    assert values(spark, list(bad), lambda c: num.rate(c, 5, 2), "rate") == [(None, r) for r in bad.values()]
 
 
 def test_product_rates(spark):
-    got = values(spark, ["0", "100", "100.0", "100.1", "-0.5", "78.4", ""], lambda c: num.rate(c, 100, kind="double"))
+    got = values(spark, ["0", "100", "100.0", "100.1", "-0.5", "78.4", ""], lambda c: num.rate(c, 100, kind="double"), "rate")
     assert got == [(0.0, None), (100.0, None), (100.0, None), (None, "number"), (None, "number"), (78.4, None), (None, "blank")]
 
 
