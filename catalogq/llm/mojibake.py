@@ -217,14 +217,20 @@ def _size(text: str) -> tuple[int, int]:
     return len(text), len(_FOREIGN.findall(text))
 
 
+#: Two characters in a row that are neither ASCII nor Arabic; the least that a view other than the Arabic ones makes of a letter.
+_PAIR = re.compile("[^\x00-\x7f\u0600-\u06ff]{2}")
+
+
 def restore(text: str) -> tuple[str, int, str]:
     """The text with its garbled passages decoded, their number, and the views that did it ("lost" for lost bytes)."""
     total, how, used, beside = 0, [], [], False
 
     def best(views: list[str], single_views: tuple[str, ...]) -> tuple[int, str, int, str, bool]:
-        left = _size(text)
+        if not _PAIR.search(text):  # only the Arabic views have letters that such a text can be garbled into
+            views, single_views = [v for v in views if v in ARABIC_VIEWS], ()
         tried = [(*_from_utf8(text, v, beside), v, False) for v in views] + [(*_from_persian(text, v), v, True) for v in single_views]
-        tried = [t for t in tried if not t[4] or _size(t[1]) < left]
+        left = _size(text) if any(t[2] and t[4] for t in tried) else (0, 0)
+        tried = [t for t in tried if t[2] and (not t[4] or _size(t[1]) < left)]
         return max(tried, key=lambda t: t[0], default=(0, text, 0, "", False))  # explains most; the first of equal ones
 
     while True:
