@@ -53,6 +53,6 @@ def format_duplicates(df: DataFrame, fields: list[str], row: str) -> DataFrame:
     Repeated values of ``row`` are rows of their own, one of which is the first. Empty input gives no rows.
     """
     keyed = cut(keyed_rows(df, fields, row))
-    groups = copy_groups(keyed)
-    found = attach_keyed(keyed, groups, ["digest", "proof"], "copies", keep=F.col("copies") > 1)
+    groups = cut(copy_groups(keyed).where("copies > 1"))  # counted once; read for the largest groups and for the others
+    found = attach_keyed(keyed, groups, ["digest", "proof"], "copies")
     return found.where("row > first_row").select("first_row", F.col("row").alias("copy_row"))
