@@ -236,15 +236,16 @@ def _finish(spark: SparkSession, out: P.Publication, audit: dict, sources: dict[
     out.write_json("run_manifest.json", {"status": "success", "run_id": run, "sources": audit["sources"], "configuration": settings, "versions": versions, "outputs": tables})
 
 
-#: Named scopes that a summary shows beside the best ones, as (category1, category2).
-NAMED_SCOPES: list[tuple[str, str]] = []
+def category_inventory(spark: SparkSession, products: str, offers: str, comments: DataFrame, target: str, force: bool = False, named: list[tuple[str, str]] | None = None, expected: tuple[dict, dict] | None = None) -> DataFrame:
+    """The inventory per scope as parquet, CSV and Markdown. A scope is a pair of categories, so the report is small.
 
-
-def category_inventory(spark: SparkSession, products: str, offers: str, comments: DataFrame, target: str, force: bool = False, named: list[tuple[str, str]] | None = None) -> DataFrame:
-    """The inventory per scope as parquet, CSV and Markdown. A scope is a pair of categories, so the report is small."""
+    ``named`` scopes are shown beside the best ones; ``expected`` gives a scope and figures it must have, or nothing is written.
+    """
     inv = cut(scopes.inventory(spark.read.parquet(products), spark.read.parquet(offers).select("product_id", F.col("price_raw").alias("price")), comments, ["category1", "category2"]))
     if broken := scopes.broken_invariants(inv).count():
         raise ReconciliationError(f"{broken} scopes contradict themselves")
+    if expected and (unmet := scopes.unmet(inv, *expected)):
+        raise ReconciliationError(f"{expected[0]}: {unmet}")
     with P.Publication(target, force) as out:
         ordered = scopes.report(inv).orderBy("scope_level", "category1", "category2")
         ordered.write.parquet(f"{out.path}/inventory")
@@ -255,8 +256,8 @@ def category_inventory(spark: SparkSession, products: str, offers: str, comments
         pairs = ordered.where("scope_level = 'category1_category2'").orderBy(ten, F.col("products_with_comments").desc(), F.col("comment_count").desc(), "category1", "category2").limit(20)
         wholes = ordered.where("scope_level = 'category1'").orderBy(ten, "category1").limit(20)
         sections = [("Top 20 pairs of categories", pairs), ("Category1 summary", wholes)]
-        if named or NAMED_SCOPES:
-            asked = spark.createDataFrame([(i, *x) for i, x in enumerate(named or NAMED_SCOPES)], "__place int, __a string, __b string")
+        if named:
+            asked = spark.createDataFrame([(i, *x) for i, x in enumerate(named)], "__place int, __a string, __b string")
             sections.append(("Selected comparison scopes", ordered.join(F.broadcast(asked), F.col("category1").eqNullSafe(F.col("__a")) & F.col("category2").eqNullSafe(F.col("__b"))).orderBy("__place")))
         text = "# Category inventory\n" + "".join(f"\n## {t}\n\n{P.markdown_table([r.asDict() for r in df.collect()], cols)}" for t, df in sections)
         out.write_text("inventory.md", text)

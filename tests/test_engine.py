@@ -161,6 +161,9 @@ def test_clean_products(spark, tmp_path):
     assert len(lost) == 2 and json.loads(lost[0].raw_mapped_json).keys() == set(T.COMMENT_COLUMNS[1:]) and {r.completeness for r in lost} == {11, 12}
     assert {(r.entity_id, tuple(r.rule_ids), r.reason) for r in spark.read.parquet(f"{tmp_path}/com/comment_quarantine").collect()} == {(3, ("JOIN-002",), pipelines.NO_PRODUCT["JOIN-002"]), (4, ("DATE-003",), "DATE-003: quarantine comment (invalid day for Jalali month and year)")}
     inv = pipelines.category_inventory(spark, f"{tmp_path}/out/products_clean", f"{tmp_path}/out/offers_clean", spark.read.parquet(f"{tmp_path}/com/comments_clean"), str(tmp_path / "inv"))
+    with pytest.raises(pipelines.ReconciliationError):
+        pipelines.category_inventory(spark, f"{tmp_path}/out/products_clean", f"{tmp_path}/out/offers_clean", spark.read.parquet(f"{tmp_path}/com/comments_clean"), str(tmp_path / "inv2"), expected=({"category1": "دسته یک", "category2": None}, {"products": 99}))
+    assert not (tmp_path / "inv2").exists()
     assert inv.count() == 2 and b"\r" not in (tmp_path / "inv/inventory.csv").read_bytes()
 
 
