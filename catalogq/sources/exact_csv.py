@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,7 +80,17 @@ class ExactCsv(DataSource):
 
 
 def read_exact_csv(spark: SparkSession, path: str, columns: list[str], field_limit: int = FIELD_LIMIT, max_rows: int | None = None) -> DataFrame:
-    """Records of a file with ``source_row`` and the declared columns as text."""
+    """Records of a file (several joined by commas) with ``source_row`` and the declared columns as text.
+
+    Files beyond ``split_csv.PIECE`` bytes are read in pieces, a task each, unless only the first records are asked for.
+    """
+    from catalogq.sources import split_csv
+
+    paths = [p for p in path.split(",") if p]
+    if max_rows is None and any(os.path.getsize(p) > split_csv.PIECE for p in paths):
+        pieces = split_csv.plan(spark, paths, split_csv.PIECE)
+        if pieces:
+            return split_csv.read_pieces(spark, pieces, columns, field_limit, "utf-8")
     spark.dataSource.register(ExactCsv)
     schema = T.StructType([T.StructField("source_row", T.LongType()), *(T.StructField(c, T.StringType()) for c in columns)])
     r = spark.read.format("exact_csv").schema(schema).option("fieldLimit", field_limit)

@@ -2,11 +2,14 @@
 
 import csv
 import hashlib
+import io
 import json
 import os
 from fractions import Fraction
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from catalogq import pipelines, schemas
@@ -15,7 +18,7 @@ from catalogq.cli import main
 from catalogq.operators import canonical, dedup, profile, quantile, scopes
 from catalogq.operators import transforms as T
 from catalogq.plans import catalogue
-from catalogq.sources import exact_csv, publish, sniff
+from catalogq.sources import exact_csv, publish, sniff, split_csv
 
 PRODUCT = dict(zip(T.PRODUCT_COLUMNS, ["1", "محصول یک", "80", "10", "دسته یک", "دسته دو", "برند", "100", "فروشنده یک", "False", "90", "test"]))
 COMMENT = dict(zip(T.COMMENT_COLUMNS, ["1", "عنوان", "متن نظر", "23 تیر 1395", "4", "recommended", "True", "1", "خوب", "", "2", "0", "فروشنده", "001A", ""]))
@@ -44,6 +47,45 @@ def test_broken_files(text):
         list(exact_csv.exact_rows(iter(text.splitlines(keepends=True)), ["a", "b", "c"], limit=40))
 
 
+LINES = st.lists(st.sampled_from(['1,a,b', '2,"x\ny",z', '3,a"b,c', '4,"p""q",', ',,', '', '5,"\n\n,\n""",r', '6,"a\rb",c', 'س,"،\n",é', '7,"",""']), max_size=25)
+
+
+@given(LINES, st.sampled_from(["\n", "\r\n"]), st.booleans(), st.booleans(), st.integers(1, 40))
+@settings(max_examples=300, deadline=None)
+def test_pieces_hold_the_records_of_the_whole(tmp_path_factory, lines, end, bom, closed, size):
+    """Every way of cutting a file gives the row numbers and first records that reading it in one go gives."""
+    text = end.join(["a,b,c", *lines]) + end * closed
+    path = tmp_path_factory.mktemp("cut") / "x.csv"
+    path.write_bytes((b"\xef\xbb\xbf" if bom else b"") + text.encode())
+    with open(path, encoding="utf-8-sig", newline="") as f:
+        want = [r for r in csv.reader(f, strict=True) if r]
+    number, quoted, got, data = 0, False, [], path.read_bytes()
+    for no in range(-(-len(data) // size)):
+        a, b = split_csv._piece(str(path), no, size)
+        piece = data[a:b].removeprefix(b"\xef\xbb\xbf") if no == 0 else data[a:b]
+        s = split_csv.scan(piece, quoted)
+        if s.records:
+            got.append((number, next(r for r in csv.reader(io.StringIO((piece[s.first :] + data[b:]).decode(), newline=""), strict=True) if r)))
+        number, quoted = number + s.records, s.quoted
+    assert number == len(want) and got == [(n, want[n]) for n, _ in got]
+
+
+def test_cut_files_read_as_whole_ones(spark, tmp_path, monkeypatch):
+    rows = [{"title_fa": 'a ""b"\r\nc, "' * (i % 3), "Seller": f"s{i}\n" * (i % 4), "id": str(i)} for i in range(200)]
+    path = write(tmp_path / "p.csv", T.PRODUCT_COLUMNS, PRODUCT, rows, end="\r\n")
+    whole = sorted(map(tuple, exact_csv.read_exact_csv(spark, path, T.PRODUCT_COLUMNS).collect()))
+    monkeypatch.setattr(split_csv, "PIECE", 5000)
+    assert len(split_csv.plan(spark, [path], 5000)) > 3
+    assert sorted(map(tuple, exact_csv.read_exact_csv(spark, path, T.PRODUCT_COLUMNS).collect())) == whole and len(whole) == 200
+    bad = tmp_path / "bad.csv"
+    bad.write_text("a,b\n" + "1,2\n" * 3000 + "1,2,3\n")
+    with pytest.raises(Exception, match="row 3002 has 3 fields"):
+        exact_csv.read_exact_csv(spark, str(bad), ["a", "b"]).count()
+    lone = tmp_path / "lone.csv"
+    lone.write_bytes(b"a,b\r" + b"1,2\r" * 3000)
+    assert split_csv.plan(spark, [str(lone)], 5000) is None and exact_csv.read_exact_csv(spark, str(lone), ["a", "b"]).count() == 3000
+
+
 def test_sniffing(tmp_path):
     assert sniff.encoding_of("﻿سلام".encode("utf-8")) == "utf-8-sig" and sniff.encoding_of("سلام".encode()[:-1]) == "utf-8-sig"
     assert sniff.encoding_of("سلام".encode("cp1256")) == "cp1256"
