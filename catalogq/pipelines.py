@@ -68,7 +68,7 @@ def clean_products(spark: SparkSession, source: str, target: str, force: bool =
     """Raw products and offers to products_clean, offers_clean, product_conflicts, product_quarantine, offer_quarantine and row_audit; gives the audit."""
     inject = failure_injector or (lambda phase: None)
     before = P.checksums(spark, [source])
-    with P.Publication(target, force, failure_injector) as out:
+    with P.publication(spark, target, force, failure_injector) as out:
         raw = read_exact_csv(spark, source, T.PRODUCT_COLUMNS, max_rows=max_rows)
         distinct = dedup.first_of_equal(raw, T.PRODUCT_COLUMNS, "source_row")
         products, offers = cut(T.product_rows(distinct)), cut(T.offer_rows(distinct))
@@ -150,7 +150,7 @@ def clean_comments(spark: SparkSession, source: str, products: str, target: str,
     """Raw comments to comments_clean, comment_conflicts, comment_quarantine and row_audit, against a table of products; gives the audit."""
     inject = failure_injector or (lambda phase: None)
     before = P.checksums(spark, [source, products])
-    with P.Publication(target, force, failure_injector) as out:
+    with P.publication(spark, target, force, failure_injector) as out:
         keys = P.read_key_universe(spark, products, "product_id")
         inject("after_product_index")
         raw = read_exact_csv(spark, source, T.COMMENT_COLUMNS, field_limit=64 << 20, max_rows=max_rows)
@@ -246,11 +246,11 @@ def category_inventory(spark: SparkSession, products: str, offers: str, comments
         raise ReconciliationError(f"{broken} scopes contradict themselves")
     if expected and (unmet := scopes.unmet(inv, *expected)):
         raise ReconciliationError(f"{expected[0]}: {unmet}")
-    with P.Publication(target, force) as out:
+    with P.publication(spark, target, force) as out:
         ordered = scopes.report(inv).orderBy("scope_level", "category1", "category2")
         ordered.write.parquet(f"{out.path}/inventory")
         columns = ordered.columns
-        P.write_csv_report((r.asDict() for r in ordered.toLocalIterator()), columns, f"{out.path}/inventory.csv")
+        out.write_text("inventory.csv", P.csv_report((r.asDict() for r in ordered.toLocalIterator()), columns))
         cols = ["category1", "category2", "product_count", "comment_count", "products_with_comments", *(f"products_with_at_least_{k}_comments" for k in scopes.STEPS), "median_comments_per_commented_product", "p95_comments_per_commented_product", "non_empty_body_count", "unique_brand_count", "historical_price_coverage_pct"]
         ten = F.col("products_with_at_least_10_comments").desc()
         pairs = ordered.where("scope_level = 'category1_category2'").orderBy(ten, F.col("products_with_comments").desc(), F.col("comment_count").desc(), "category1", "category2").limit(20)
@@ -349,7 +349,7 @@ def profile_files(spark: SparkSession, paths: list[str], max_rows: int | None =
 
 
 def write_profile(report: dict, target: str, force: bool = False) -> None:
-    with P.Publication(target, force) as out:
+    with P.publication(SparkSession.active(), target, force) as out:
         out.write_json("dataset_profile.json", report)
         lines = ["# Profile"]
         for d in report["datasets"]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import hashlib
+import io
 import json
 import os
 import shutil
@@ -100,7 +101,7 @@ class Publication:
         (self.path / name).write_text(to_json(value) + "\n", encoding="utf-8")
 
     def write_text(self, name: str, text: str) -> None:
-        (self.path / name).write_text(text, encoding="utf-8")
+        (self.path / name).write_text(text, encoding="utf-8", newline="")
 
     def __exit__(self, kind: type | None, error: BaseException | None, trace: object) -> None:
         backup = self.target.with_name(f".{self.target.name}.backup-{uuid.uuid4().hex[:8]}")
@@ -123,17 +124,83 @@ class Publication:
                 shutil.rmtree(backup, ignore_errors=True)
 
 
+class VersionedPublication:
+    """A publication for stores without renames, through Hadoop's file systems.
+
+    Each run writes below ``<target>/runs/<id>``, its completion marker last. Then the one small object ``<target>/CURRENT`` is
+    replaced by the run's name, which is what makes the run visible: ``current`` gives the folder to read. Until then the
+    earlier run stays current, and on an error nothing of the run stays. The run before is removed after the switch.
+    """
+
+    def __init__(self, spark: SparkSession, target: str, force: bool = False, failure_injector: Callable[[str], None] | None = None):
+        self.spark, self.target, self.force, self.inject = spark, target.rstrip("/"), force, failure_injector or (lambda phase: None)
+        self.run = uuid.uuid4().hex[:12]
+        self.path = f"{self.target}/runs/{self.run}"
+
+    def __enter__(self) -> VersionedPublication:
+        self.before = current(self.spark, self.target)
+        if self.before and not self.force:
+            raise FileExistsError(self.target)
+        return self
+
+    def _write(self, at: str, text: str) -> None:
+        fs, path = _hadoop(self.spark, at)
+        stream = fs.create(path, True)
+        stream.write(bytearray(text.encode("utf-8")))
+        stream.close()
+
+    def write_text(self, name: str, text: str) -> None:
+        self._write(f"{self.path}/{name}", text)
+
+    def write_json(self, name: str, value: object) -> None:
+        self.write_text(name, to_json(value) + "\n")
+
+    def __exit__(self, kind: type | None, error: BaseException | None, trace: object) -> None:
+        done = False
+        try:
+            if kind is None:
+                self.inject("before_completion")
+                self.write_text(MARKER, "success\n")
+                self._write(f"{self.target}/CURRENT", self.run)
+                done = True
+        finally:
+            for gone in [self.before] if done else [self.path]:
+                if gone:
+                    fs, path = _hadoop(self.spark, gone)
+                    fs.delete(path, True)
+
+
+def _hadoop(spark: SparkSession, at: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def current(spark: SparkSession, target: str) -> str | None:
+    """The folder of the run that a versioned target shows, None where there is none."""
+    fs, path = _hadoop(spark, f"{target.rstrip('/')}/CURRENT")
+    if not fs.exists(path):
+        return None
+    run = spark.read.text(f"{target.rstrip('/')}/CURRENT").first()[0]
+    return f"{target.rstrip('/')}/runs/{run}"
+
+
+def publication(spark: SparkSession, target: str, force: bool = False, failure_injector: Callable[[str], None] | None = None) -> Publication | VersionedPublication:
+    """By rename for paths of mounted file systems, by versions for addresses of stores (``scheme://``)."""
+    return VersionedPublication(spark, target, force, failure_injector) if "://" in target else Publication(target, force, failure_injector)
+
+
 def run_id(inputs: dict[str, str], settings: dict) -> str:
     """Deterministic id of a run: of its inputs' checksums and its settings."""
     return hashlib.sha256(to_json({"inputs": inputs, "settings": settings}).encode()).hexdigest()
 
 
-def write_csv_report(rows: Iterable[dict], columns: list[str], path: str) -> None:
-    """A small report as one CSV file: LF line ends, nothing for null."""
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        w = csv.writer(f, lineterminator="\n")
-        w.writerow(columns)
-        w.writerows(["" if r[c] is None else r[c] for c in columns] for r in rows)
+def csv_report(rows: Iterable[dict], columns: list[str]) -> str:
+    """A small report as CSV text: LF line ends, nothing for null."""
+    out = io.StringIO(newline="")
+    w = csv.writer(out, lineterminator="\n")
+    w.writerow(columns)
+    w.writerows(["" if r[c] is None else r[c] for c in columns] for r in rows)
+    return out.getvalue()
 
 
 def markdown_table(rows: list[dict], columns: list[str]) -> str:

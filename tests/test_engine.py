@@ -225,6 +225,27 @@ def test_a_failed_run_leaves_what_was(spark, tmp_path, phase):
     assert sorted(os.listdir(tmp_path)) == ["out", "p.csv"] and (target / "old").read_text() == "kept"
 
 
+def test_versions_for_stores_without_renames(spark, tmp_path):
+    path, target = write(tmp_path / "p.csv", T.PRODUCT_COLUMNS, PRODUCT, [{}]), f"file://{tmp_path}/store"
+    assert publish.current(spark, target) is None
+    pipelines.clean_products(spark, path, target)
+    first = publish.current(spark, target)
+    assert spark.read.parquet(f"{first}/products_clean").count() == 1 and os.path.exists(first.removeprefix("file://") + "/_SUCCESS")
+    with pytest.raises(FileExistsError):
+        pipelines.clean_products(spark, path, target)
+
+    def fail(at):
+        if at == "before_completion":
+            raise RuntimeError(at)
+
+    with pytest.raises(RuntimeError):
+        pipelines.clean_products(spark, path, target, force=True, failure_injector=fail)
+    assert publish.current(spark, target) == first and os.listdir(tmp_path / "store/runs") == [first.rpartition("/")[2]]
+    pipelines.clean_products(spark, path, target, force=True)
+    second = publish.current(spark, target)
+    assert second != first and os.listdir(tmp_path / "store/runs") == [second.rpartition("/")[2]]
+
+
 def test_profile_run(spark, tmp_path):
     p = tmp_path / "products.csv"
     p.write_text("id;title;Price;Rate\n1;a;10;50\n1;b;bad;101\n;c;0;-1\n3;NA;-5;\n3;NA;-5;\n")
