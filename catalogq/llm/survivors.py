@@ -113,13 +113,11 @@ def search(bundles: list[list[tuple[Trust, int, list, list]]]) -> list[int]:
 def demanded(df: DataFrame, rule: Rule) -> DataFrame:
     """``x``, ``demand``, ``seen``: per determinant value the dependent value it occurs with most often (ties: the greatest).
 
-    A determinant that occurs with nothing but nulls demands nothing (null), and so does null, which has the last row.
+    A determinant that occurs with nothing but nulls demands nothing (null), and so does null.
     """
-    pairs = df.select(F.col(rule.determinant).cast("string").alias("x"), F.col(rule.dependent).cast("string").alias("y")).where("x IS NOT NULL")
+    pairs = df.select(F.col(rule.determinant).cast("string").alias("x"), F.col(rule.dependent).cast("string").alias("y"))
     counted = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    found = counted.groupBy("x").agg(F.max(F.when(F.col("y").isNotNull(), F.struct("n", "y")))["y"].alias("demand"), F.sum("n").alias("seen"))
-    none = F.lit(None).cast("string")
-    return found.unionByName(df.sparkSession.range(1).select(none.alias("x"), none.alias("demand"), F.lit(1 << 62).alias("seen")))
+    return counted.groupBy("x").agg(F.max(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.struct("n", "y")))["y"].alias("demand"), F.sum("n").alias("seen"))
 
 
 _KEY = ["__k0", "__k1"]
