@@ -26,9 +26,9 @@ def attach_keyed(
 ) -> DataFrame:
     """Inner join of ``rows`` with ``keyed``, one row per key, where a key may own a third of all rows.
 
-    The ``hot_keys`` heaviest keys by ``weight`` (rows per key; default: HOT_KEYS_A_PARTITION per shuffle partition) are
-    broadcast, so their rows stay where they are; all other rows are shuffled by key, and none of those keys owns more
-    than 1/hot_keys of the rows, half of what a shuffle partition holds on average.
+    Keys that own at least 1/hot_keys of all rows by ``weight`` (rows per key; default: HOT_KEYS_A_PARTITION per shuffle
+    partition) are broadcast, so their rows stay where they are; there can be no more than ``hot_keys`` of them. All other
+    rows are shuffled by key, and none of those keys owns half of what a shuffle partition holds on average.
     ``keep`` filters ``keyed`` after the hot keys were chosen, so that rows of a hot key that is filtered
     out never reach the shuffle. Keys compare null-safely: null equals null. ``keyed`` must have the columns
     ``keys`` and ``weight``; its other columns are added to the rows and win over no clash: a clashing name raises.
@@ -41,8 +41,8 @@ def attach_keyed(
     pairs = [(k, f"__key_{i}") for i, k in enumerate(keys)]
     named = keyed.select(*[F.col(k).alias(n) for k, n in pairs], *extra)
     names = [n for _, n in pairs]
-    # ties broken by key, so that every use of this plan chooses the same keys
-    hot = named.orderBy(F.col(weight).desc(), *names).limit(hot_keys)
+    total = keyed.agg(F.sum(F.col(weight).cast("double"))).scalar()
+    hot = named.where(F.col(weight).cast("double") * hot_keys >= total)
     hot_names = hot.select(names)
     cold = named.join(F.broadcast(hot_names.toDF(*[f"{n}_h" for n in names])), _by(names), "left_anti")
     if keep is not None:

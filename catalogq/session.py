@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # what cut() wrote goes once nothing reads it any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # methods above 8000 bytes of bytecode are never compiled by the JVM; smaller ones are generated instead
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
