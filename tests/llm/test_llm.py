@@ -93,6 +93,22 @@ def test_search_is_linear_in_signatures():
     assert survivors.search([left, [*right, ((7,), 7, [None], ["x5"])]]) == [5, 7] and time.time() - began < 1
 
 
+def test_a_hot_id_with_many_signatures(spark):
+    rng = random.Random(6)
+    rows = [(1, i, None, f"c{rng.randrange(40)}" if i % 9 else None, f"s{rng.randrange(60)}" if i % 7 else None, rng.randrange(4), 0) for i in range(300)]
+    rows += [(2 + i, 1000 + i, None, f"c{i % 40}", f"s{i % 60}", 1, 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, row bigint, name string, cat string, shelf string, score bigint, day int").repartition(5)
+    demand = {}
+    for s in {r[4] for r in rows if r[4]}:
+        n = Counter(r[3] for r in rows if r[4] == s and r[3] is not None)
+        demand[s] = max(n, key=lambda c: (n[c], c))
+    hot = [r for r in rows if r[0] == 1]
+    cost = lambda shelf, cat: (shelf[4] is not None and cat[3] is not None and demand[shelf[4]] != cat[3], -(shelf[4] is not None) - (cat[3] is not None), -shelf[5] - cat[5], shelf[1], cat[1])
+    best = min(cost(a, b) for a in hot for b in hot)
+    got = {r.id: r for r in survivors.surviving_rows(df, "id", "row", BUNDLES, RULES).collect()}
+    assert (got[1].shelf_row, got[1].category_row) == best[3:] and got[1].candidates == 300 and len(got) == 601
+
+
 def test_trust_has_no_cap(spark):
     top = 2**63 - 1
     df = spark.createDataFrame([(1, 1, top, 1), (1, 2, top - 1, 9), (2, 3, -1, 1), (2, 4, None, 9), (2, 5, -7, 3), (3, 6, 10**13, 1), (3, 7, 10**12, 5)], "id int, row bigint, rate_count bigint, completeness bigint")
